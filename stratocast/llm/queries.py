@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratocast.llm import crf, html, mixing, packing, rans, rules, simhash, topk, toxicity
+from stratocast.llm import crf, html, mixing, ngram, packing, rans, rules, simhash, topk, toxicity
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -69,6 +69,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")), threshold=0.5)
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probabilities of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return ngram.score(docs, ngram.train(docs))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_simhash": op2_simhash,
@@ -79,6 +85,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_toxicity": op9_toxicity,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 ORACLES = {
