@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratocast.llm.common import WORD_PATTERN, materialize
+from stratocast.llm.common import WORD_PATTERN, materialize, unused_name
 
 
 def capped_shares(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -190,18 +190,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Documents without words add nothing to the mix and go. Rows that repeat an id stand in for one another: each is
     written as often as the mix takes rows of that id, shared out evenly.
     """
-    taken = mix(docs, **options).where("size > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("uses"))
-    counted = materialize(taken.groupBy("doc_id").agg(F.sum("uses").alias("uses"), F.count("*").alias("rows")).where("uses > 0").withColumnRenamed("doc_id", "mix_id"), "uses")
-    times = lambda column: F.explode(F.sequence(F.lit(1), column.cast("int"))).alias("mix_copy_")
+    key, uses, rows, times = (unused_name(docs, n) for n in ("mix_key", "mix_uses", "mix_rows", "mix_times"))
+    taken = mix(docs, **options).where("size > 0").select(F.col("doc_id").alias(key), (F.col("taken") / F.col("size")).cast("int").alias(uses))
+    counted = materialize(taken.groupBy(key).agg(F.sum(uses).alias(uses), F.count("*").alias(rows)).where(F.col(uses) > 0), "uses")
     worded = docs.where(F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD_PATTERN)) > 0)
-    own = [docs[f"`{c}`"] for c in docs.columns]
-    alone = counted.where("rows = 1 and mix_id is not null")
-    out = worded.join(alone, docs.doc_id.cast("long") == F.col("mix_id")).select(*own, times(F.col("uses"))).drop("mix_copy_")
-    shared = counted.where("rows > 1 or mix_id is null")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+
+    def copies(joined, column):
+        return joined.select(*own, F.explode(F.sequence(F.lit(1), column.cast("int"))).alias(times)).drop(times)
+
+    alone = counted.where((F.col(rows) == 1) & F.col(key).isNotNull())
+    out = copies(worded.join(alone, F.col("doc_id").cast("long") == F.col(key)), F.col(uses))
+    shared = counted.where((F.col(rows) > 1) | F.col(key).isNull())
     if shared.isEmpty():
         return out
-    even = F.floor(F.col("uses") / F.col("rows")).cast("int")
-    number = F.row_number().over(Window.partitionBy("mix_id").orderBy(F.xxhash64("text")))
-    each = even + (number <= F.col("uses") - even * F.col("rows")).cast("int")
-    several = worded.join(shared, docs.doc_id.cast("long").eqNullSafe(F.col("mix_id"))).select(*own, each.alias("mix_times_")).where("mix_times_ > 0")
-    return out.union(several.select(*[F.col(f"`{c}`") for c in docs.columns], times(F.col("mix_times_"))).drop("mix_copy_"))
+    even = F.floor(F.col(uses) / F.col(rows)).cast("int")
+    number = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text")))
+    each = even + (number <= F.col(uses) - even * F.col(rows)).cast("int")
+    several = worded.join(shared, F.col("doc_id").cast("long").eqNullSafe(F.col(key))).withColumn(times, each)
+    return out.union(copies(several.where(F.col(times) > 0).withColumnRenamed(times, uses + times), F.col(uses + times)))

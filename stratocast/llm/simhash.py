@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratocast.llm.common import bounded, materialize, text_bytes
+from stratocast.llm.common import append_column, bounded, materialize, text_bytes, unused_name
 
 #: Reference fingerprints of the distance table: multiples of an odd constant, so they differ in about half of the bits.
 PIVOTS = np.array([(i * 0x9E3779B97F4A7C15 ^ (i << 29)) & (2**64 - 1) for i in range(1, 17)], dtype=np.uint64)
@@ -230,16 +230,15 @@ def keep_one_of_each(docs: DataFrame, most: int = 3, id_col: str = "doc_id", tex
     Of repeated rows one stays. In a group of rows that all have null ids, one row stays.
     """
     found = near_duplicates(docs, most, id_col, text_col)
-    dropped = found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
+    gone = unused_name(docs, "dropped_id")
+    dropped = found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(dropped, named[id_col].cast("long") == F.col("dropped_id"), "left_anti").dropDuplicates([id_col])
+    kept = named.join(dropped, F.col(id_col).cast("long") == F.col(gone), "left_anti").dropDuplicates([id_col])
     nameless = docs.where(F.col(id_col).isNull())
     if nameless.isEmpty():
         return kept
     alone = found.where("component_id is null").select("fingerprint", "component_fp").distinct()
     chosen = alone.groupBy("component_fp").agg(F.min("fingerprint").alias("fingerprint")).select("fingerprint")
-    from stratocast.llm.common import append_column, unused_name
-
     name, key = unused_name(docs, "fp_of_text"), unused_name(docs, "fp_digits")
     with_fp = append_column(nameless, text_col, name, "long", lambda: lambda texts: fingerprints_of(texts).view(np.int64))
     with_fp = with_fp.withColumn(name, F.lower(F.lpad(F.hex(name), 16, "0")))
