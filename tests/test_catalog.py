@@ -56,7 +56,8 @@ def steps(spark, rows):
 @pytest.mark.parametrize(
     "rows,code",
     [
-        ([(0.0, 0.0, 95.0, 0.0, 0.0, 0.0, 0.0, 0.0)] * 2 + [(1.0, 1.0, 60.0, 0.0, 0.0, 0.0, 0.0, 0.0)] * 2, "20207"),
+        ([(0.0, 0.0, 95.0, 0.0, 0.0, 0.0, 0.0, 0.0)] * 2 + [(1.0, 1.0, 60.0, 0.0, 0.0, 0.0, 0.0, 0.0)] * 2, "20702"),
+        ([(0.0, 0.0, 95.0, 0.0, 0.0, 0.0, 0.0, 0.0)] * 3 + [(1.0, 1.0, 60.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "20207"),
         ([(0.0, 0.0, 20.0, 0.0, 0.0, 0.0, 0.0, 0.0)] * 3 + [(0.0, 0.0, 60.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "20001"),
         ([(0.0, 0.0, 20.0, 0.0, 2.0, 0.0, 0.0, 0.0)] + [(0.0, 0.0, 20.0, 1.0, 0.0, 0.0, 0.0, 0.0)] * 3, "35661"),
         ([(0.0, 0.0, 60.0, 0.0, 0.0, 0.0, 0.0, 0.0)] * 4, "00101"),
