@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratocast.llm.common import WORD_PATTERN, materialize, unused_name
+from stratocast.llm.common import WORD_PATTERN, materialize
 
 
 def capped_shares(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -100,7 +100,7 @@ def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int
     return flows
 
 
-def sized(docs: DataFrame, source_col: str = "source", text_col: str = "text") -> DataFrame:
+def sized(docs: DataFrame, source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, pattern (its distinct sources in code-point order, null last), size (words of the whole text)."""
     kind = dict(docs.dtypes)[source_col]
     if kind.startswith("array"):
@@ -109,27 +109,24 @@ def sized(docs: DataFrame, source_col: str = "source", text_col: str = "text") -
     else:
         pattern = F.array(F.col(source_col).cast("string"))
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), pattern.cast("array<string>").alias("pattern"), size.alias("size"))
+    return docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), pattern.cast("array<string>").alias("pattern"), size.alias("size"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 1, buckets: int = 1024, max_patterns: int = 100_000) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row; taken is a whole multiple of size, at most `most` times.
+def _hashed(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """sized() rows with key (the pattern as text), hash and bucket (the hash's top 10 bits, in its order)."""
+    rows = sized(docs, keep=keep).withColumn("hash", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
+    return rows.withColumn("key", F.to_json(F.struct("pattern"))).withColumn("bucket", F.shiftright("hash", 54).cast("int"))
 
-    Sources in code-point order, null last, weigh `weights` in turn and share `share` times all words; a target stops
-    at `most` times its source's size. Documents aggregate by membership pattern (one source, or an array of
-    overlapping ones, of which the first gives source_size and target); the flow sets how many words of each pattern
-    each use supplies. Each use then takes documents in the order of a seeded hash until its words are reached.
 
-    Null texts have size 0 and are taken 0. Rows with null ids or repeated rows count and are taken like others. An
-    empty table gives no rows. Other columns are not read.
+def plan_mix(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int, max_patterns: int) -> tuple[DataFrame, DataFrame]:
+    """(sizes of all rows, plan): a plan row for each pattern has key, source_size, target, full, cut and fillers.
 
-    The driver holds one row for each pattern (an error beyond max_patterns). No window sees a whole source: sums by
-    hash bucket find the bucket in which a use ends, and only that bucket, 1/buckets of a source, is ranked.
+    full uses take every document. One more use takes documents up to the hash `cut`, and those with a hash in
+    `fillers` (at most 64). Which documents are taken thus follows from a row's own columns and its plan row.
     """
     spark = docs.sparkSession
-    hash_ = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    rows = materialize(sized(docs).withColumn("hash", hash_).withColumn("bucket", F.pmod(F.shiftright("hash", 20), F.lit(buckets)).cast("int")), "sizes")
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
+    rows = materialize(_hashed(docs, seed), "sizes")
+    found = rows.groupBy("key").agg(F.first("pattern").alias("pattern"), F.sum("size").alias("size")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
     order = lambda s: (s is None, (s or "").encode("utf-8"))  # noqa: E731  UTF-8 keeps code-point order
@@ -147,65 +144,59 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     for r, flow in zip(patterns, flows, strict=True):
         first = place[r.pattern[0]]
         words = [sum(by_use[k] for by_use in flow.values()) for k in range(most)]
-        plan.append((list(r.pattern), sizes[first], targets[first], sum(w == r.size for w in words), next((w for w in words if 0 < w < r.size), 0)))
-    # a row for each pattern: uses that take all of it, and the words of the one use that takes part of it
-    planned = F.broadcast(spark.createDataFrame(plan, "pattern array<string>, source_size long, target double, full int, part long"))
-    key = F.to_json(F.struct("pattern"))
-    planned, rows = planned.withColumn("key", key).drop("pattern"), rows.withColumn("key", key)
+        plan.append((r.key, sizes[first], targets[first], sum(w == r.size for w in words), next((w for w in words if 0 < w < r.size), 0)))
+    planned = spark.createDataFrame(plan, "key string, source_size long, target double, full int, part long")
     sums = rows.where("size > 0").groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = (
-        sums.withColumn("before", before)
-        .join(planned.select("key", "part"), "key")
-        .where("part > before and part <= before + words")
-        .select("key", F.col("bucket").alias("cut"), (F.col("part") - F.col("before")).alias("rest"))
-    )
-    cut = F.broadcast(materialize(cut, "cuts"))  # at most a row for each pattern
-    marked = rows.join(planned, "key").join(cut, "key", "left").select("doc_id", "size", "source_size", "target", "full", "hash", "bucket", "key", "cut", "rest")
-    ranked = marked.where("bucket = cut and size > 0")
-    upto = F.sum("size").over(Window.partitionBy("key").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = ranked.withColumn("part", (upto <= F.col("rest")).cast("int"))
-    plain = marked.where("cut is null or bucket <> cut or size = 0").withColumn("part", F.coalesce((F.col("bucket") < F.col("cut")).cast("int"), F.lit(0)))
-    columns = ["doc_id", "key", "hash", "size", "source_size", "target", "full", "part", "rest"]
-    chosen = materialize(plain.select(*columns).union(ranked.select(*columns)), "chosen")
-    # the words still open after the last document that fits: the largest documents not yet taken that fit fill them
-    spent = ranked.groupBy("key").agg((F.first("rest") - F.sum(F.col("part") * F.col("size"))).alias("gap"))
-    gap = F.broadcast(materialize(spent, "gaps"))  # at most a row for each pattern
-    fits = chosen.where("part = 0 and size > 0").join(gap, "key").where("size <= gap")
-    largest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("size"), "hash", "doc_id"))
-    few = fits.withColumn("r", largest).where("r <= 64").groupBy("key").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("size", "hash", "doc_id")), asc=False).alias("rows"))
-    none = F.array().cast("array<struct<size:bigint,hash:bigint,doc_id:bigint>>")
-    take = lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.array_append(a["rows"], x).alias("rows"))).otherwise(a)
-    greedy = F.aggregate("rows", F.struct(F.col("gap").alias("left"), none.alias("rows")), take)["rows"]
-    filler = F.broadcast(materialize(few.select("key", F.inline(greedy)).distinct().withColumn("fill", F.lit(1)), "fillers"))  # at most 64 a pattern
-    same = [chosen.key == filler.key, chosen["size"] == filler["size"], chosen["hash"] == filler["hash"], chosen.part == 0, chosen.doc_id.eqNullSafe(filler.doc_id)]
-    filled = chosen.join(filler, same, "left")
-    uses = chosen.full + chosen.part + F.coalesce(filler.fill, F.lit(0))
-    return filled.select(chosen.doc_id, chosen["size"], chosen.source_size, chosen.target, (uses * chosen["size"]).cast("long").alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    ends = sums.withColumn("before", before).join(F.broadcast(planned.select("key", "part")), "key").where("part > before and part <= before + words")
+    ends = F.broadcast(materialize(ends.select("key", F.col("bucket").alias("last"), (F.col("part") - F.col("before")).alias("rest")), "ends"))  # a row a pattern
+    # in the bucket where the use ends, documents by hash while they fit; equal hashes (repeated rows) go together
+    ranked = rows.where("size > 0").join(ends, "key").where("bucket = last")
+    upto = F.sum("size").over(Window.partitionBy("key").orderBy("hash").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = ranked.withColumn("upto", upto).where(F.col("upto") <= F.col("rest")).groupBy("key").agg(F.max("hash").alias("inner"), F.max("upto").alias("spent"))
+    cuts = ends.join(inside, "key", "left").select("key", F.coalesce("inner", F.shiftleft(F.col("last").cast("long"), 54) - 1).alias("cut"), (F.col("rest") - F.coalesce("spent", F.lit(0))).alias("gap"))
+    cuts = F.broadcast(materialize(cuts, "cuts"))
+    # the words still open are filled by the largest documents beyond the cut that fit
+    groups = rows.where("size > 0").join(cuts, "key").where("hash > cut and size <= gap").groupBy("key", "hash").agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
+    largest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("size"), "hash"))
+    few = groups.where("size <= gap").withColumn("r", largest).where("r <= 64").groupBy("key").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("size", "hash")), asc=False).alias("rows"))
+    take = lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.array_append(a["hashes"], x["hash"]).alias("hashes"))).otherwise(a)
+    greedy = F.aggregate("rows", F.struct(F.col("gap").alias("left"), F.array().cast("array<bigint>").alias("hashes")), take)["hashes"]
+    out = planned.join(cuts.drop("gap"), "key", "left").join(few.select("key", greedy.alias("fillers")), "key", "left")
+    return rows, F.broadcast(materialize(out.drop("part"), "plan"))
+
+
+def _uses() -> F.Column:
+    """How often the mix takes a row that is joined to its plan row."""
+    more = (F.col("hash") <= F.col("cut")) | F.coalesce(F.array_contains("fillers", F.col("hash")), F.lit(False))
+    return F.col("full") + F.coalesce(more.cast("int"), F.lit(0))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 1, max_patterns: int = 100_000) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row; taken is a whole multiple of size, at most `most` times.
+
+    Sources in code-point order, null last, weigh `weights` in turn and share `share` times all words; a target stops
+    at `most` times its source's size. Documents aggregate by membership pattern (one source, or an array of
+    overlapping ones, of which the first gives source_size and target); the flow sets how many words of each pattern
+    each use supplies. Each use then takes documents in the order of a seeded hash until its words are reached.
+
+    Null texts have size 0 and are taken 0. Rows with null ids or repeated rows count and are taken like others. An
+    empty table gives no rows. Other columns are not read.
+
+    The driver holds one row for each pattern (an error beyond max_patterns). No window sees a whole source: sums by
+    hash bucket find the bucket in which a use ends, and only that bucket, 1/1024 of a source, is ranked.
+    """
+    rows, plan = plan_mix(docs, weights, share, most, seed, max_patterns)
+    return rows.join(plan, "key").select("doc_id", "size", "source_size", "target", (_uses() * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 1, max_patterns: int = 100_000) -> DataFrame:
     """The rows of docs as often as the mix takes them (taken / size), with all their columns.
 
-    Documents without words add nothing to the mix and go. Rows that repeat an id stand in for one another: each is
-    written as often as the mix takes rows of that id, shared out evenly.
+    Documents without words add nothing to the mix and go. The plan is broadcast and each row decides by its own
+    columns, so texts are not shuffled.
     """
-    key, uses, rows, times = (unused_name(docs, n) for n in ("mix_key", "mix_uses", "mix_rows", "mix_times"))
-    taken = mix(docs, **options).where("size > 0").select(F.col("doc_id").alias(key), (F.col("taken") / F.col("size")).cast("int").alias(uses))
-    counted = materialize(taken.groupBy(key).agg(F.sum(uses).alias(uses), F.count("*").alias(rows)).where(F.col(uses) > 0), "uses")
-    worded = docs.where(F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD_PATTERN)) > 0)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-
-    def copies(joined, column):
-        return joined.select(*own, F.explode(F.sequence(F.lit(1), column.cast("int"))).alias(times)).drop(times)
-
-    alone = counted.where((F.col(rows) == 1) & F.col(key).isNotNull())
-    out = copies(worded.join(alone, F.col("doc_id").cast("long") == F.col(key)), F.col(uses))
-    shared = counted.where((F.col(rows) > 1) | F.col(key).isNull())
-    if shared.isEmpty():
-        return out
-    even = F.floor(F.col(uses) / F.col(rows)).cast("int")
-    number = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text")))
-    each = even + (number <= F.col(uses) - even * F.col(rows)).cast("int")
-    several = worded.join(shared, F.col("doc_id").cast("long").eqNullSafe(F.col(key))).withColumn(times, each)
-    return out.union(copies(several.where(F.col(times) > 0).withColumnRenamed(times, uses + times), F.col(uses + times)))
+    _, plan = plan_mix(docs, weights, share, most, seed, max_patterns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text")
+    decided = _hashed(packed, seed, keep=("row",)).where("size > 0").join(plan, "key").select("row", _uses().alias("uses")).where("uses > 0")
+    return decided.select("row", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int")))).select("row.*")
