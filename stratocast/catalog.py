@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratocast.functions import weather as W
+from stratocast.operators import fields as K
 from stratocast.operators import phenomena as P
 from stratocast.operators import relational as R
 from stratocast.plans import projections as T
@@ -276,3 +277,29 @@ def valid_time_pairs(spark, d):
     observed = rows.where("k = 1").select("id", "time", _c("key").alias("o_key"))
     forecast = rows.select("id", "time", _c("k").alias("n"), (_c("k") * 24).alias("dtime"), _c("key").alias("f_key"))
     return R.pair_on_valid_time(forecast, observed, ["id"]).select("id", _c("n").alias("dtime"), "f_key", "o_key")
+
+
+def _embedded_fields(spark, d):
+    """Embeddings as 8 x 8 fields: id, iy, ix, value."""
+    m = T.members(spark, d)
+    return m.select("id", F.floor(_c("member") / 8).cast("int").alias("iy"), (_c("member") % 8).cast("int").alias("ix"), "value")
+
+
+@query("smooth9_fields")
+def smooth9_fields(spark, d):
+    return K.per_field(_embedded_fields(spark, d), "id", K.smooth9(2))
+
+
+@query("cascade_fields")
+def cascade_fields(spark, d):
+    return K.per_field(_embedded_fields(spark, d), "id", K.cascade_level(1, 4))
+
+
+@query("advected_fields")
+def advected_fields(spark, d):
+    return K.per_field(_embedded_fields(spark, d), "id", K.advect(0.5, -0.25))
+
+
+@query("labelled_fields")
+def labelled_fields(spark, d):
+    return K.per_field(_embedded_fields(spark, d), "id", K.labelled(0.02))
