@@ -156,10 +156,12 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...], share: float, most: in
     inside = ranked.withColumn("upto", upto).where(F.col("upto") <= F.col("rest")).groupBy("key").agg(F.max("hash").alias("inner"), F.max("upto").alias("spent"))
     cuts = ends.join(inside, "key", "left").select("key", F.coalesce("inner", F.shiftleft(F.col("last").cast("long"), 54) - 1).alias("cut"), (F.col("rest") - F.coalesce("spent", F.lit(0))).alias("gap"))
     cuts = F.broadcast(materialize(cuts, "cuts"))
-    # the words still open are filled by the largest documents beyond the cut that fit
+    # the words still open are filled from the documents beyond the cut: of each of 64 hash classes the largest that fits.
+    # A maximum merges before the shuffle, so no task sees a source's candidates; the last step reads 64 rows a pattern
     groups = rows.where("size > 0").join(cuts, "key").where("hash > cut and size <= gap").groupBy("key", "hash").agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
-    largest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("size"), "hash"))
-    few = groups.where("size <= gap").withColumn("r", largest).where("r <= 64").groupBy("key").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("size", "hash")), asc=False).alias("rows"))
+    kind = F.pmod(F.xxhash64("hash"), F.lit(64)).alias("kind")
+    best = groups.where("size <= gap").groupBy("key", kind).agg(F.max(F.struct("size", "hash")).alias("row"), F.first("gap").alias("gap"))
+    few = best.groupBy("key").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list("row"), asc=False).alias("rows"))
     take = lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.array_append(a["hashes"], x["hash"]).alias("hashes"))).otherwise(a)
     greedy = F.aggregate("rows", F.struct(F.col("gap").alias("left"), F.array().cast("array<bigint>").alias("hashes")), take)["hashes"]
     out = planned.join(cuts.drop("gap"), "key", "left").join(few.select("key", greedy.alias("fillers")), "key", "left")
