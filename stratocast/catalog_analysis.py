@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from stratocast.catalog import _embedded_fields, query, scalar
 from stratocast.functions import calendar as C
 from stratocast.operators import analysis as A
+from stratocast.operators import blending as B
+from stratocast.operators import calibration as E
 from stratocast.operators import fields as K
 from stratocast.operators import radar as D
 from stratocast.operators import relational as R
@@ -235,3 +237,41 @@ def convective_stratiform(spark, d):
 @query("unfolded_velocity")
 def unfolded_velocity(spark, d):
     return K.per_field(_embedded_fields(spark, d).withColumn("value", F.pmod(_c("value") * 100 + 10, F.lit(20.0)) - 10), "id", D.unfolded(10.0))
+
+
+COEFFICIENTS = "(SELECT DISTINCT id, id % 5 / 10.0::DOUBLE AS alpha, 0.9::DOUBLE AS beta, 0.1::DOUBLE AS gamma, 1.2::DOUBLE AS delta FROM " + T.MEMBERS + " WHERE id % 3 > 0)"
+
+
+@query("calibrated_percentiles", f"""
+    WITH f AS (SELECT id, avg(value) AS mean, coalesce(var_samp(value), 0) AS var FROM {T.MEMBERS} GROUP BY id),
+    c AS (SELECT f.id, coalesce(alpha, 0) + coalesce(beta, 1) * mean AS loc, sqrt(power(coalesce(gamma, 0), 2) + power(coalesce(delta, 1), 2) * var) AS sc FROM f LEFT JOIN {COEFFICIENTS} k USING (id))
+    SELECT id, q AS percentile, round(loc + z * sc, 4) AS value FROM c, (VALUES (10.0::DOUBLE, -1.2815515655446008::DOUBLE), (50.0, 0.0), (90.0, 1.2815515655446008)) x(q, z)""")
+def calibrated_percentiles(spark, d):
+    members = T.members(spark, d)
+    k = members.where("id % 3 > 0").select("id").distinct().select("id", ((_c("id") % 5) / 10).alias("alpha"), F.lit(0.9).alias("beta"), F.lit(0.1).alias("gamma"), F.lit(1.2).alias("delta"))
+    out = E.at_percentiles(E.calibrated(E.location_and_scale(members, ["id"], "value"), k, ["id"]), [10.0, 50.0, 90.0])
+    return out.select("id", "percentile", F.round("value", 4).alias("value"))
+
+
+@query("ensemble_fit")
+def ensemble_fit(spark, d):
+    """The fit of each return and status flag over all line items: f as mean, a spread from the tax, o as truth."""
+    rows = T.table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("m"), _c("l_quantity").alias("mean"), (_c("l_tax") * 100 + 1).alias("var"), (_c("l_partkey") % 51).cast("double").alias("truth"))
+    return E.fit(rows, ["m"])
+
+
+@query("upwind_mean", f"""
+    WITH g AS (SELECT iy, ix, v AS value, CAST(iy - 8 AS DOUBLE) AS u, CAST(z / 20 AS DOUBLE) AS w FROM {T.GRID}), k AS (SELECT *, sqrt(u * u + w * w) AS speed, greatest(abs(u), abs(w)) / sqrt(u * u + w * w) AS lead FROM g),
+    p AS (SELECT *, unnest(generate_series(0, CAST(floor(lead * 5) AS BIGINT) - 1)) AS step FROM k WHERE floor(lead * 5) > 0),
+    q AS (SELECT iy, ix, speed, step / lead AS d, greatest(0, least(19, CAST(round_even(iy - step / lead * w / speed, 0) AS INTEGER))) AS sy, greatest(0, least(19, CAST(round_even(ix - step / lead * u / speed, 0) AS INTEGER))) AS sx FROM p),
+    m AS (SELECT q.iy, q.ix, 0.25 * sum(exp(-0.5 * power(d / (speed * 102.0 / 1000), 2)) * g.value) / sum(exp(-0.5 * power(d / (speed * 102.0 / 1000), 2))) AS c FROM q JOIN g ON q.sy = g.iy AND q.sx = g.ix GROUP BY 1, 2)
+    SELECT g.iy, g.ix, round(coalesce(m.c, 0), 4) AS carried FROM g LEFT JOIN m USING (iy, ix)""")
+def upwind_mean(spark, d):
+    g = T.grid(spark, d).select("iy", "ix", _c("v").alias("value"), (_c("iy") - 8).cast("double").alias("u"), (_c("z") / 20).alias("v"))
+    return B.drifted(g, "value", (19, 19), 5000.0, 1000.0, 102.0, 0.25).select("iy", "ix", F.round("carried", 4).alias("carried"))
+
+
+@query("skill_blend_fields")
+def skill_blend_fields(spark, d):
+    rows = _embedded_fields(spark, d).withColumn("value", F.abs("value") * 50)
+    return B.per_pair(rows, rows.withColumn("value", 50 - _c("value")), "id", B.skill_blend(30, levels=4))
