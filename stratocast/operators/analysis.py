@@ -55,7 +55,7 @@ def nearest_residual(residuals: DataFrame, cells: DataFrame, reach: int) -> Data
 def spread_residuals(residuals: DataFrame, cells: DataFrame, reach: int, k: int, scale: float, power: float = 2.0) -> DataFrame:
     """cells plus the inverse-distance mean of the k nearest residuals, each damped by exp(-(d / scale)**2).
 
-    The damping is left out of the divisor, as in the reference semantics.
+    The damping is left out of the divisor, so far stations weaken the sum.
     """
     order = Window.partitionBy("iy", "ix").orderBy("d", "id")
     near = in_reach(residuals, reach).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
