@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratocast.catalog import query, scalar
+from stratocast.catalog import _embedded_fields, query, scalar
 from stratocast.functions import satellite as S
 from stratocast.operators import multimodel as M
+from stratocast.operators import nowcast as N
 from stratocast.operators import profiles as P
 from stratocast.plans import projections as T
 
@@ -91,10 +92,10 @@ def training_blocks(spark, d):
     s AS (SELECT DISTINCT cell, CAST(cell % 40 AS DOUBLE) AS sigma, cell % 7 / 20.0::DOUBLE AS a, cell % 5 / 10.0::DOUBLE AS z0, CAST(cell % 90 - cell % 50 AS DOUBLE) AS dz FROM p),
     k AS (SELECT *, sigma * sqrt(2) AS amp, sigma > 0 AND a > 0 AS hilly, CASE WHEN sigma > 0 AND a > 0 THEN least(greatest(a * pi() / (sigma * sqrt(2)), pi() / 12000), 2 * pi() / 1000) END AS k FROM s),
     f AS (SELECT *, CASE WHEN hilly THEN greatest(least(greatest(least(greatest(ln(k * amp) - ln(0.04::DOUBLE), 0), 1) / k, 1), 2 * amp), 1) ELSE 0 END AS ref FROM k),
-    q AS (SELECT f.*, at, which FROM f, LATERAL (VALUES (ref, 'r'), (1 / k, 'd')) v(at, which) WHERE hilly),
-    e AS (SELECT q.cell, which, at, coalesce(min(h) FILTER (h > at), min(h)) AS h1, coalesce(arg_min(u, h) FILTER (h > at), arg_min(u, h)) AS u1, coalesce(max(h) FILTER (h <= at), min(h)) AS h0,
-        coalesce(arg_max(u, h) FILTER (h <= at), arg_min(u, h)) AS u0 FROM q JOIN p ON q.cell = p.cell GROUP BY 1, 2, 3),
-    w AS (SELECT cell, which, CASE WHEN h1 = h0 THEN at / h1 * u1 ELSE u0 + (at - h0) / (h1 - h0) * (u1 - u0) END AS u FROM e)
+    q AS (SELECT f.*, goal, which FROM f, LATERAL (VALUES (ref, 'r'), (1 / k, 'd')) v(goal, which) WHERE hilly),
+    e AS (SELECT q.cell, which, goal, coalesce(min(h) FILTER (h > goal), min(h)) AS h1, coalesce(arg_min(u, h) FILTER (h > goal), arg_min(u, h)) AS u1, coalesce(max(h) FILTER (h <= goal), min(h)) AS h0,
+        coalesce(arg_max(u, h) FILTER (h <= goal), arg_min(u, h)) AS u0 FROM q JOIN p ON q.cell = p.cell GROUP BY 1, 2, 3),
+    w AS (SELECT cell, which, CASE WHEN h1 = h0 THEN goal / h1 * u1 ELSE u0 + (goal - h0) / (h1 - h0) * (u1 - u0) END AS u FROM e)
     SELECT p.cell, p.h, round(greatest(0, CASE WHEN hilly AND z0 > 0 AND p.h < ref THEN r.u * ln(p.h / z0) / ln(ref / z0) ELSE p.u END + CASE WHEN hilly AND d.u > 0 THEN d.u * dz * k * exp(-k * p.h) ELSE 0 END), 3) AS u
     FROM p JOIN f ON p.cell = f.cell LEFT JOIN w r ON r.cell = p.cell AND r.which = 'r' LEFT JOIN w d ON d.cell = p.cell AND d.which = 'd'""")
 def corrected_profiles(spark, d):
@@ -105,3 +106,10 @@ def corrected_profiles(spark, d):
         {"sigma": (c % 40).cast("double"), "a_over_s": (c % 7) / 20, "z0": (c % 5) / 10, "terrain": (c % 90).cast("double"), "model_terrain": (c % 50).cast("double")}
     )
     return P.corrected_profiles(cells, 1000.0, 4000.0).select("cell", F.inline("corrected")).select("cell", "h", F.round("u", 3).alias("u"))
+
+
+@query("nowcast_fields")
+def nowcast_fields(spark, d):
+    """Two members and two leads of every three successive embeddings, taken as steps of one field."""
+    rows = _embedded_fields(spark, d).withColumn("step", (_c("id") % 3).cast("int")).withColumn("id", F.floor(_c("id") / 3)).withColumn("value", F.abs("value") * 10)
+    return N.nowcast(rows, "id", 2, members=2, levels=3, half=3, fewest=20)
