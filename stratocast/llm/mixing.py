@@ -119,10 +119,10 @@ def _hashed(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFrame
 
 
 def plan_mix(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int, max_patterns: int) -> tuple[DataFrame, DataFrame]:
-    """(sizes of all rows, plan): a plan row for each pattern has key, source_size, target, full, cut and fillers.
+    """(sizes of all rows, plan): a plan row for each pattern has key, source_size, target, full, cut and fills.
 
-    full uses take every document. One more use takes documents up to the hash `cut`, and those with a hash in
-    `fillers` (at most 64). Which documents are taken thus follows from a row's own columns and its plan row.
+    full uses take every document. One more use takes documents up to the hash `cut`, and those that a round of `fills`
+    takes. Which documents are taken thus follows from a row's own columns and its plan row.
     """
     spark = docs.sparkSession
     rows = materialize(_hashed(docs, seed), "sizes")
@@ -154,23 +154,53 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...], share: float, most: in
     ranked = rows.where("size > 0").join(ends, "key").where("bucket = last")
     upto = F.sum("size").over(Window.partitionBy("key").orderBy("hash").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     inside = ranked.withColumn("upto", upto).where(F.col("upto") <= F.col("rest")).groupBy("key").agg(F.max("hash").alias("inner"), F.max("upto").alias("spent"))
-    cuts = ends.join(inside, "key", "left").select("key", F.coalesce("inner", F.shiftleft(F.col("last").cast("long"), 54) - 1).alias("cut"), (F.col("rest") - F.coalesce("spent", F.lit(0))).alias("gap"))
+    cuts = ends.join(inside, "key", "left").select("key", F.coalesce("inner", _before_bucket("last")).alias("cut"), (F.col("rest") - F.coalesce("spent", F.lit(0))).alias("gap"))
     cuts = F.broadcast(materialize(cuts, "cuts"))
-    # the words still open are filled from the documents beyond the cut: of each of 64 hash classes the largest that fits.
-    # A maximum merges before the shuffle, so no task sees a source's candidates; the last step reads 64 rows a pattern
-    groups = rows.where("size > 0").join(cuts, "key").where("hash > cut and size <= gap").groupBy("key", "hash").agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
-    kind = F.pmod(F.xxhash64("hash"), F.lit(64)).alias("kind")
-    best = groups.where("size <= gap").groupBy("key", kind).agg(F.max(F.struct("size", "hash")).alias("row"), F.first("gap").alias("gap"))
-    few = best.groupBy("key").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list("row"), asc=False).alias("rows"))
-    take = lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.array_append(a["hashes"], x["hash"]).alias("hashes"))).otherwise(a)
-    greedy = F.aggregate("rows", F.struct(F.col("gap").alias("left"), F.array().cast("array<bigint>").alias("hashes")), take)["hashes"]
-    out = planned.join(cuts.drop("gap"), "key", "left").join(few.select("key", greedy.alias("fillers")), "key", "left")
+    out = planned.join(cuts.drop("gap"), "key", "left").join(_fills(rows, cuts), "key", "left")
     return rows, F.broadcast(materialize(out.drop("part"), "plan"))
 
 
+def _before_bucket(bucket: str) -> F.Column:
+    """The last hash before a bucket; for the first bucket the least long, which stands for none."""
+    return F.when(F.col(bucket) > -512, F.shiftleft(F.col(bucket).cast("long"), 54) - 1).otherwise(F.lit(-(2**63)))
+
+
+def _fills(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """key, fills: rounds (after, gap, upto, without) that fill the gap beyond the cut until no document fits.
+
+    A round takes the documents with after < hash <= upto and size <= gap, but for the hashes `without`: repeated rows
+    that fit one by one, not together. It ends before the first that does not fit; the next goes on from there with the
+    smaller gap, so that each document beyond the cut is taken if it fits in what those before it leave.
+    """
+    beyond = rows.where("size > 0").join(cuts, "key").where("hash > cut and size <= gap")
+    groups = materialize(beyond.groupBy("key", "bucket", "hash").agg(F.first("size").alias("size"), F.sum("size").alias("words")), "beyond")
+    state = cuts.select("key", F.col("cut").alias("after"), "gap")
+    rounds = None
+    while True:
+        fitting = groups.join(F.broadcast(state), "key").where("hash > after and words <= gap")
+        sums = fitting.groupBy("key", "bucket").agg(F.sum("words").alias("words"), F.first("after").alias("after"), F.first("gap").alias("gap"))
+        before = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        reached = sums.withColumn("before", before).where("before <= gap").groupBy("key", "after", "gap").agg(F.max(F.struct("bucket", "before")).alias("end"))
+        ends = F.broadcast(reached.select("key", "after", "gap", F.col("end.bucket").alias("last"), (F.col("gap") - F.col("end.before")).alias("rest")))
+        ranked = groups.join(ends, "key").where("bucket = last and hash > after and words <= gap")
+        spent = F.sum("words").over(Window.partitionBy("key").orderBy("hash"))
+        last = ranked.withColumn("spent", spent).groupBy("key", "after", "gap", "last", "rest").agg(*[F.max(F.when(F.col("spent") <= F.col("rest"), F.col(c))).alias(c) for c in ("hash", "spent")])
+        done = last.select("key", "after", "gap", F.coalesce("hash", _before_bucket("last")).alias("upto"), (F.col("rest") - F.coalesce("spent", F.lit(0))).alias("left"))
+        done = materialize(done, "round")
+        rounds = done if rounds is None else rounds.union(done)
+        state = done.where("left > 0").select("key", F.col("upto").alias("after"), F.col("left").alias("gap"))
+        if state.isEmpty():
+            break
+    apart = groups.join(F.broadcast(rounds), "key").where("hash > after and hash <= upto and size <= gap and words > gap")
+    apart = apart.groupBy("key", "after").agg(F.collect_list("hash").alias("without"))
+    each = rounds.join(apart, ["key", "after"], "left").withColumn("without", F.coalesce("without", F.array().cast("array<bigint>")))
+    return each.groupBy("key").agg(F.collect_list(F.struct("after", "gap", "upto", "without")).alias("fills"))
+
+
 def _uses() -> F.Column:
     """How often the mix takes a row that is joined to its plan row."""
-    more = (F.col("hash") <= F.col("cut")) | F.coalesce(F.array_contains("fillers", F.col("hash")), F.lit(False))
+    inside = lambda r: (F.col("hash") > r["after"]) & (F.col("hash") <= r["upto"]) & (F.col("size") <= r["gap"]) & ~F.array_contains(r["without"], F.col("hash"))
+    more = (F.col("hash") <= F.col("cut")) | F.coalesce(F.exists("fills", inside), F.lit(False))
     return F.col("full") + F.coalesce(more.cast("int"), F.lit(0))
 
 
@@ -180,13 +210,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     Sources in code-point order, null last, weigh `weights` in turn and share `share` times all words; a target stops
     at `most` times its source's size. Documents aggregate by membership pattern (one source, or an array of
     overlapping ones, of which the first gives source_size and target); the flow sets how many words of each pattern
-    each use supplies. Each use then takes documents in the order of a seeded hash until its words are reached.
+    each use supplies. Each use then takes documents in the order of a seeded hash until its words are reached; one
+    that does not fit in the words still open is passed over, and the search goes on until no document fits.
 
     Null texts have size 0 and are taken 0. Rows with null ids or repeated rows count and are taken like others. An
     empty table gives no rows. Other columns are not read.
 
     The driver holds one row for each pattern (an error beyond max_patterns). No window sees a whole source: sums by
-    hash bucket find the bucket in which a use ends, and only that bucket, 1/1024 of a source, is ranked.
+    hash bucket find the bucket in which a use or a round of filling ends, and only that, 1/1024 of a source, is ranked.
     """
     rows, plan = plan_mix(docs, weights, share, most, seed, max_patterns)
     return rows.join(plan, "key").select("doc_id", "size", "source_size", "target", (_uses() * F.col("size")).cast("long").alias("taken"))

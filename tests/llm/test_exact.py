@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -211,6 +212,18 @@ def test_mix_meets_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 0.03 * target[s] for s in target)
 
 
+def test_a_long_document_at_the_cut_leaves_no_gap(spark):
+    """Repeated rows go together; whatever the order, each document not taken is longer than the words left open."""
+    rows = [(i, "w " * (20 + i % 5)) for i in range(1000)] + [(i, "w " * 40) for i in range(1000, 1200) for _ in range(2)]
+    rows += [(i, "w " * 20_000) for i in range(2000, 2003)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("a")).withColumn("lang", F.lit("en"))
+    for seed in range(1, 7):
+        out = mixing.mix(docs, share=0.5, seed=seed).collect()
+        left = out[0].target - sum(r.taken for r in out)
+        times = Counter(r.doc_id for r in out)
+        assert left >= 0 and all(r.size * times[r.doc_id] > left for r in out if not r.taken)
+
+
 def test_overlapping_sources_share_capacity():
     flow = mixing.min_cost_flow([100, 50, 30], [[0], [0, 1], [1]], [150, 90], 2)
     assert sum(sum(f.get(0, [0])) for f in flow) == 150 and sum(sum(f.get(1, [0])) for f in flow) == 90
