@@ -225,22 +225,17 @@ def near_duplicates(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text
 
 
 def keep_one_of_each(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, one of each near-duplicate group: that of the smallest id, with all its columns.
+    """The rows of docs, one of each near-duplicate group, with all its columns.
 
-    Of repeated rows one stays. In a group of rows that all have null ids, one row stays.
+    Rows are judged by their own text: of the fingerprints in a group that stand beside its smallest id (beside null, if
+    it has no other), the least is kept, in one row. Rows that share an id but no group thus all stay.
     """
     found = near_duplicates(docs, most, id_col, text_col)
-    gone = unused_name(docs, "dropped_id")
-    dropped = found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(dropped, F.col(id_col).cast("long") == F.col(gone), "left_anti").dropDuplicates([id_col])
-    nameless = docs.where(F.col(id_col).isNull())
-    if nameless.isEmpty():
-        return kept
-    alone = found.where("component_id is null").select("fingerprint", "component_fp").distinct()
-    chosen = alone.groupBy("component_fp").agg(F.min("fingerprint").alias("fingerprint")).select("fingerprint")
-    name, key = unused_name(docs, "fp_of_text"), unused_name(docs, "fp_digits")
-    with_fp = append_column(nameless, text_col, name, "long", lambda: lambda texts: fingerprints_of(texts).view(np.int64))
-    with_fp = with_fp.withColumn(name, F.lower(F.lpad(F.hex(name), 16, "0")))
-    chosen = chosen.select(F.col("fingerprint").alias(key))
-    return kept.union(with_fp.join(chosen, F.col(name) == F.col(key)).dropDuplicates([name]).select(*docs.columns))
+    own = found.where("doc_id <=> component_id").groupBy("component_fp").agg(F.min("fingerprint").alias("fingerprint"), F.min("component_id").alias("doc_id"))
+    row_key = lambda digits, doc_id: F.concat_ws(" ", digits, doc_id.cast("long").cast("string"))
+    name, key, chosen_key = unused_name(docs, "fp_of_text"), unused_name(docs, "row_key"), unused_name(docs, "chosen_key")
+    chosen = materialize(own.select(row_key(F.col("fingerprint"), F.col("doc_id")).alias(chosen_key)), "chosen")
+    with_fp = append_column(docs, text_col, name, "long", lambda: lambda texts: fingerprints_of(texts).view(np.int64))
+    # equal keys merge before the shuffle, and the join needs no other one
+    one = with_fp.withColumn(key, row_key(F.lower(F.lpad(F.hex(name), 16, "0")), F.col(id_col))).dropDuplicates([key])
+    return one.join(chosen, F.col(key) == F.col(chosen_key), "left_semi").select(*docs.columns)

@@ -96,6 +96,12 @@ def test_dedup_keeps_one_of_each_group(docs):
     assert sum(r.doc_id is None for r in kept) == 1  # the null-id text of its own; the other belongs to group 2
 
 
+def test_dedup_judges_rows_that_share_an_id_by_their_own_text(spark):
+    rows = [(3, "one two three four"), (7, "quite another text here"), (7, "one two three four"), (8, "first of eight"), (8, "second text of eight"), (8, "first of eight")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one_of_each(docs).collect())) == sorted({*rows[:2], *rows[3:5]})
+
+
 def test_mixed_documents_stand_as_often_as_taken(docs):
     taken = {}
     for r in mixing.mix(docs).collect():
