@@ -36,15 +36,15 @@ PEERS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr":
 
 
 class Node:
-    """An element: its name, whether it is page furniture by name, its children (nodes and text) and its subtree's hash."""
+    """An element: its name, whether it is page furniture by element or named like it, its children (nodes and text) and its subtree's hash."""
 
-    __slots__ = ("tag", "furniture", "role", "children", "hash")
+    __slots__ = ("tag", "furniture", "named", "role", "children", "hash")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.furniture, self.role, self.children, self.hash = tag, tag in FURNITURE, "", [], 0
+        self.tag, self.furniture, self.named, self.role, self.children, self.hash = tag, tag in FURNITURE, False, "", [], 0
         for hint in HINT.finditer(attributes):
             words = PART.findall(hint[1].lower())
-            self.furniture |= tag not in ("html", "body", "main", "article") and not FURNITURE_WORDS.isdisjoint(words)
+            self.named |= tag not in ("html", "body", "main", "article") and not FURNITURE_WORDS.isdisjoint(words)
             self.furniture |= tag == "article" and not {"comment", "comments"}.isdisjoint(words)
             self.role = self.role or ("main" if hint[0].lower().startswith("role") and "main" in words else "")
 
@@ -110,24 +110,32 @@ def hash_subtrees(root: Node) -> list[Node]:
 
 
 def main_roots(root: Node) -> list[Node]:
-    """The outermost articles; else the main elements; else the page."""
-    for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.role == "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if wanted(node) and not node.furniture:
-                found.append(node)
-            elif not node.furniture or node.tag in ("form", "header"):
-                todo += [c for c in reversed(node.children) if type(c) is Node]
-        if found:
-            return found
+    """The outermost articles; else the main elements; else those below furniture elements; else the page."""
+    for below in (("form", "header"), FURNITURE):
+        for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.role == "main"):
+            found, todo = [], [root]
+            while todo:
+                node = todo.pop()
+                if wanted(node) and not node.furniture:
+                    found.append(node)
+                elif not node.furniture or node.tag in below:
+                    todo += [c for c in reversed(node.children) if type(c) is Node]
+            if found:
+                return found
     return [root]
 
 
 def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
-    """Blocks of the main text in page order. Inside an article only elements that are not prose can be template."""
+    """Blocks of the main text in page order. Inside an article only elements that are not prose can be template.
+
+    Names like furniture's count outside articles only, and not where nothing else would be left.
+    """
     roots = main_roots(root)
     marked = roots[0] is not root
+    return _blocks(roots, template, marked, not marked and _blocks(roots, frozenset(), marked, True) != "")
+
+
+def _blocks(roots: list[Node], template: frozenset[int], marked: bool, by_name: bool) -> str:
     blocks: list[str] = []
     run: list[str] = []
 
@@ -146,7 +154,7 @@ def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
             run.append(node)
         elif node.tag == "br":
             run.append(" ")
-        elif node.furniture and not (marked and node.tag == "header") or (template and node.hash in template and node.tag in BLOCK and not (marked and node.tag in PROSE)):
+        elif node.furniture and not (marked and node.tag == "header") or (by_name and node.named) or (template and node.hash in template and node.tag in BLOCK and not (marked and node.tag in PROSE and not node.named)):
             run.append(" ")
         elif node.tag in BLOCK:
             flush()
@@ -162,7 +170,7 @@ def extract(pages: DataFrame, least_pages: int = 4, least_share: float = 0.2, sa
     """page_id, url, text, n_chars for every row.
 
     The main text is that of the article elements (else main, else the whole page) without page furniture, known by
-    element, class, id or role, and without template subtrees: block elements whose hash stands on at least least_pages
+    element and, on pages without article and main, by class, id or role, and without template subtrees: block elements whose hash stands on at least least_pages
     different pages of a host and on least_share of them. Pages with the same text count as one, so copies of an
     article are no template; prose elements inside an article stay, so a sentence that articles share is kept.
 

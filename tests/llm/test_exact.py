@@ -199,6 +199,21 @@ def test_templates_go_and_copies_stay(spark):
     assert got[3] == "Text 9" and got[105] == "A copied article"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='with-sidebar'><article><p>Real text</p></article></div>",
+        "<div id='content-sidebar-wrap'><main><p>Real text</p></main></div><div class='sidebar'>Other</div>",
+        "<article><div class='entry-header'><h1>Real text</h1></div></article>",
+        "<article><section id='related-work'>Real text</section></article><nav>Menu</nav>",
+        "<aside><article>Real text</article></aside>",
+        "<div class='page-with-sidebar'><p>Real text</p></div>",
+    ],
+)
+def test_names_alone_drop_no_article_text(page):
+    assert html.main_text(html.parse(f"<body>{page}</body>")) == "Real text"
+
+
 def test_mix_meets_targets(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     again = [sorted(map(tuple, mixing.mix(docs.repartition(n)).collect())) for n in (2, 5)]
