@@ -32,6 +32,7 @@ FURNITURE_WORDS = frozenset(
     "respond share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar skip".split()
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main body html li dd dt td th figcaption".split())
+PAGE = 0  # stands among a page's subtree hashes for the page itself
 PEERS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
@@ -166,19 +167,19 @@ def _blocks(roots: list[Node], template: frozenset[int], marked: bool, by_name:
     return "\n".join(blocks)
 
 
-def extract(pages: DataFrame, least_pages: int = 4, least_share: float = 0.2, salts: int = 16) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 4, least_share: float = 0.2, salts: int = 16, many_pages: int = 100, many_share: float = 0.001) -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
     The main text is that of the article elements (else main, else the whole page) without page furniture, known by
     element and, on pages without article and main, by class, id or role, and without template subtrees: block elements whose hash stands on at least least_pages
-    different pages of a host and on least_share of them. Pages with the same text count as one, so copies of an
-    article are no template; prose elements inside an article stay, so a sentence that articles share is kept.
+    different pages of a host and on least_share of them, or on many_pages and many_share. Pages with the same main text
+    count as one on both sides, so copies of an article are no template and hide none; prose elements inside an article stay, so a sentence that articles share is kept.
 
     Null and empty pages give an empty text. Null or odd URLs have no host and no template. Null ids stay null and
     repeated rows are each returned. An empty table gives no rows. Other columns are not read.
 
     Hashes are counted per host by map-side aggregation. The template hashes of a host (at most its blocks per page over
-    least_share) meet its pages by (host, salt), so a host with a third of all pages is spread over many tasks.
+    many_share) meet its pages by (host, salt), so a host with a third of all pages is spread over many tasks.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.col("html").cast("string").alias("html"))
@@ -188,7 +189,7 @@ def extract(pages: DataFrame, least_pages: int = 4, least_share: float = 0.2, sa
             rows, hashes, texts = [], [], []
             for i, page in enumerate(batch.column(1).to_pylist()):
                 root = parse(page or "")
-                found = {n.hash for n in hash_subtrees(root)}
+                found = {n.hash for n in hash_subtrees(root)} | {PAGE}
                 rows += [i] * len(found)
                 hashes += found
                 texts += [xxhash.xxh64_intdigest(main_text(root))] * len(found)
@@ -198,10 +199,10 @@ def extract(pages: DataFrame, least_pages: int = 4, least_share: float = 0.2, sa
 
     seen = source.where("host <> ''").select("host", "html").mapInArrow(subtrees, "host string, subtree long, page long")
     per_subtree = seen.groupBy("host", "subtree", "page").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("*").alias("on_pages"))
-    per_subtree = materialize(per_subtree.where(F.col("on_pages") >= least_pages), "subtrees")
-    # the page element is on each page, so a host's different pages are those of its most frequent subtree or more
-    host_pages = materialize(source.where("host <> ''").groupBy("host").agg(F.approx_count_distinct(F.xxhash64("html")).alias("pages")), "hosts")
-    template = per_subtree.join(host_pages, "host").where(F.col("on_pages") >= least_share * F.col("pages"))
+    per_subtree = materialize(per_subtree.where((F.col("on_pages") >= least_pages) | (F.col("subtree") == PAGE)), "subtrees")
+    host_pages = per_subtree.where(F.col("subtree") == PAGE).select("host", F.col("on_pages").alias("pages"))
+    often = (F.col("on_pages") >= least_share * F.col("pages")) | (F.col("on_pages") >= F.greatest(F.lit(many_pages), many_share * F.col("pages")))
+    template = per_subtree.where((F.col("subtree") != PAGE) & (F.col("on_pages") >= least_pages)).join(host_pages, "host").where(often)
     by_host = template.groupBy("host").agg(F.collect_set("subtree").alias("template"))
     spread = materialize(by_host, "templates").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int"))

@@ -199,6 +199,15 @@ def test_templates_go_and_copies_stay(spark):
     assert got[3] == "Text 9" and got[105] == "A copied article"
 
 
+def test_copies_and_large_hosts_hide_no_template(spark):
+    slogan, menu = "<div><p>Site slogan</p></div>", "<div><p>Section menu</p></div>"
+    rows = [(i, "http://copies.example/", f"<body>{slogan}<p>Text {i * i}</p></body>") for i in range(20)]
+    rows += [(100 + i, "http://copies.example/", f"<!-- {i} --><body>{slogan}<p>Copied</p></body>") for i in range(300)]
+    rows += [(1000 + i, "http://large.example/", f"<body>{menu if i % 10 == 0 else ''}<p>Text {i * i}</p></body>") for i in range(1500)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Text 9" and got[150] == "Copied" and got[1010] == "Text 100"
+
+
 @pytest.mark.parametrize(
     "page",
     [
