@@ -32,6 +32,8 @@ FURNITURE_WORDS = frozenset(
     "respond share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar skip".split()
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main body html li dd dt td th figcaption".split())
+WHOLE = frozenset("article main body html".split())
+LINES = PROSE - WHOLE
 PAGE = 0  # stands among a page's subtree hashes for the page itself
 PEERS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
@@ -126,17 +128,34 @@ def main_roots(root: Node) -> list[Node]:
     return [root]
 
 
-def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
-    """Blocks of the main text in page order. Inside an article only elements that are not prose can be template.
+def prose_places(root: Node) -> set[tuple[int, int]]:
+    """(hash, place) of the prose elements inside a page's articles: 2i for the i-th child, 2j + 1 for the j-th last."""
+    roots = main_roots(root)
+    out, todo = set(), roots if roots[0] is not root else []
+    while todo:
+        inner = [c for c in todo.pop().children if type(c) is Node]
+        for i, node in enumerate(inner):
+            if node.tag in LINES and not node.named:
+                out |= {(node.hash, 2 * i), (node.hash, 2 * (len(inner) - 1 - i) + 1)}
+        todo = todo + inner
+    return out
+
+
+def main_text(root: Node, template: frozenset[int] = frozenset(), placed: frozenset[int] = frozenset()) -> str:
+    """Blocks of the main text in page order. Inside an article prose elements are template only if placed.
 
-    Names like furniture's count outside articles only, and not where nothing else would be left.
+    Placed prose that makes up over half of the text stays: so recur the paragraphs of an article's near copies. Names like furniture's count outside articles only, and not where nothing else would be left.
     """
     roots = main_roots(root)
     marked = roots[0] is not root
-    return _blocks(roots, template, marked, not marked and _blocks(roots, frozenset(), marked, True) != "")
+    text = _blocks(roots, template, frozenset(), marked, not marked and _blocks(roots, frozenset(), frozenset(), marked, True) != "")
+    if marked and placed:
+        less = _blocks(roots, template, placed, marked, False)
+        return less if 2 * len(less) >= len(text) else text
+    return text
 
 
-def _blocks(roots: list[Node], template: frozenset[int], marked: bool, by_name: bool) -> str:
+def _blocks(roots: list[Node], template: frozenset[int], placed: frozenset[int], marked: bool, by_name: bool) -> str:
     blocks: list[str] = []
     run: list[str] = []
 
@@ -155,7 +174,7 @@ def _blocks(roots: list[Node], template: frozenset[int], marked: bool, by_name:
             run.append(node)
         elif node.tag == "br":
             run.append(" ")
-        elif node.furniture and not (marked and node.tag == "header") or (by_name and node.named) or (template and node.hash in template and node.tag in BLOCK and not (marked and node.tag in PROSE and not node.named)):
+        elif node.furniture and not (marked and node.tag == "header") or (by_name and node.named) or (template and node.hash in template and node.tag in BLOCK and not (marked and node.tag in PROSE and not node.named)) or (node.hash in placed and node.tag in LINES):
             run.append(" ")
         elif node.tag in BLOCK:
             flush()
@@ -173,7 +192,9 @@ def extract(pages: DataFrame, least_pages: int = 4, least_share: float = 0.2, sa
     The main text is that of the article elements (else main, else the whole page) without page furniture, known by
     element and, on pages without article and main, by class, id or role, and without template subtrees: block elements whose hash stands on at least least_pages
     different pages of a host and on least_share of them, or on many_pages and many_share. Pages with the same main text
-    count as one on both sides, so copies of an article are no template and hide none; prose elements inside an article stay, so a sentence that articles share is kept.
+    count as one on both sides, so copies of an article are no template and hide none; prose elements inside an article go only if half of their pages have them in one
+    place (the i-th child or the j-th last) and they are at most half of the text, so a sentence that articles share, or
+    an article in many near copies, is kept.
 
     Null and empty pages give an empty text. Null or odd URLs have no host and no template. Null ids stay null and
     repeated rows are each returned. An empty table gives no rows. Other columns are not read.
@@ -186,36 +207,41 @@ def extract(pages: DataFrame, least_pages: int = 4, least_share: float = 0.2, sa
 
     def subtrees(batches):
         for batch in bounded(batches, "html"):
-            rows, hashes, texts = [], [], []
+            rows, hashes, places, texts = [], [], [], []
             for i, page in enumerate(batch.column(1).to_pylist()):
                 root = parse(page or "")
-                found = {n.hash for n in hash_subtrees(root)} | {PAGE}
+                found = [(h, None) for h in {n.hash for n in hash_subtrees(root)} | {PAGE}]
+                found += prose_places(root)
                 rows += [i] * len(found)
-                hashes += found
+                hashes += [h for h, _ in found]
+                places += [p for _, p in found]
                 texts += [xxhash.xxh64_intdigest(main_text(root))] * len(found)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(np.array(texts, np.uint64).view(np.int64))], names=["host", "subtree", "page"]
+                [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(places, pa.int32()), pa.array(np.array(texts, np.uint64).view(np.int64))],
+                names=["host", "subtree", "place", "page"],
             )
 
-    seen = source.where("host <> ''").select("host", "html").mapInArrow(subtrees, "host string, subtree long, page long")
-    per_subtree = seen.groupBy("host", "subtree", "page").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.count("*").alias("on_pages"))
-    per_subtree = materialize(per_subtree.where((F.col("on_pages") >= least_pages) | (F.col("subtree") == PAGE)), "subtrees")
+    seen = source.where("host <> ''").select("host", "html").mapInArrow(subtrees, "host string, subtree long, place int, page long")
+    per_subtree = seen.groupBy("host", "subtree", "place", "page").agg(F.lit(1).alias("one")).groupBy("host", "subtree", "place").agg(F.count("*").alias("n"))
+    per_subtree = per_subtree.where((F.col("n") >= least_pages) | (F.col("subtree") == PAGE)).groupBy("host", "subtree")
+    per_subtree = per_subtree.agg(F.max(F.when(F.col("place").isNull(), F.col("n"))).alias("on_pages"), F.max(F.when(F.col("place").isNotNull(), F.col("n"))).alias("in_place"))
+    per_subtree = materialize(per_subtree, "subtrees")
     host_pages = per_subtree.where(F.col("subtree") == PAGE).select("host", F.col("on_pages").alias("pages"))
     often = (F.col("on_pages") >= least_share * F.col("pages")) | (F.col("on_pages") >= F.greatest(F.lit(many_pages), many_share * F.col("pages")))
     template = per_subtree.where((F.col("subtree") != PAGE) & (F.col("on_pages") >= least_pages)).join(host_pages, "host").where(often)
-    by_host = template.groupBy("host").agg(F.collect_set("subtree").alias("template"))
+    by_host = template.groupBy("host").agg(F.collect_set("subtree").alias("template"), F.collect_set(F.when(2 * F.col("in_place") >= F.col("on_pages"), F.col("subtree"))).alias("placed"))
     spread = materialize(by_host, "templates").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int"))
-    joined = salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    joined = salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "template", "placed")
 
     def texts(batches):
         for batch in bounded(batches, "html"):
             out = []
-            for page, hashes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for page, *hashes in zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)], strict=True):
                 root = parse(page or "")
-                if hashes:
+                if hashes[0]:
                     hash_subtrees(root)
-                out.append(main_text(root, frozenset(h & (2**64 - 1) for h in hashes or ())))
+                out.append(main_text(root, *[frozenset(h & (2**64 - 1) for h in some or ()) for some in hashes]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long")

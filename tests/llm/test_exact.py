@@ -208,6 +208,19 @@ def test_copies_and_large_hosts_hide_no_template(spark):
     assert got[3] == "Text 9" and got[150] == "Copied" and got[1010] == "Text 100"
 
 
+def test_recurring_lines_in_articles_go_by_place(spark):
+    def page(i):
+        body = [f"<p>Paragraph {i} {j} of this article</p>" for j in range(6)]
+        body.insert(i % 6 + 1 if i % 6 < 5 else 0, "<p>A shared sentence</p>")
+        return f"<article>{''.join(body[: 3 + i % 5])}<p>Shared</p>{''.join(body[3 + i % 5 :])}<p>Subscribe now</p></article>"
+
+    rows = [(i, "http://h.example/", page(i)) for i in range(40)]
+    rows += [(100 + i, "http://n.example/", f"<article>{''.join(f'<p>Line {j} of a long copied story</p>' for j in range(6))}<p>{i}</p></article>") for i in range(40)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Subscribe" not in got[i] and "A shared sentence" in got[i] and "Shared" in got[i] and "of this article" in got[i] for i in range(40))
+    assert all("Line 5 of" in got[100 + i] for i in range(40))
+
+
 @pytest.mark.parametrize(
     "page",
     [
