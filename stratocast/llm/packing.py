@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratocast.llm.common import bounded
-from stratocast.llm.tokens import encoder
+from stratocast.llm.tokens import encoder, with_end
 
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -180,8 +180,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
         raise ValueError("the window is a power of two")
 
     def run(batches):
-        encode = encoder(tokenizer_path).ids
-        end = np.array([end_id], dtype="<u2").tobytes()
+        encode = encoder(tokenizer_path).batch
         base = TaskContext.get().partitionId() << 40
         packer = Packer(window)
         runs: list[tuple[int, int]] = []
@@ -204,9 +203,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
             names = RESULT.replace(" long", "").split(", ")
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-        for batch in bounded(batches, "text"):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encode(text or "") + end, dtype="<u2")
+        for batch in bounded(batches, "text", max_bytes=16 << 20, max_rows=1 << 14):
+            flat, counts = with_end(*encode(batch.column(1)), end_id)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), np.split(flat, np.cumsum(counts)[:-1]), strict=True):
                 held[serial] = (doc_id, ids)
                 runs.append((serial, len(ids)))
                 serial += 1

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.llm.common import bounded, materialize, shared_path
-from stratocast.llm.tokens import encoder
+from stratocast.llm.tokens import encoder, with_end
 
 MAGIC = b"STOK"
 HEAD = struct.Struct("<4sIIIIII")  # magic, table checksum, lanes, tokens, documents, words, checkpoints
@@ -156,19 +156,19 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, block_to
     spark = docs.sparkSession
 
     def tokenise(batches):
-        encode = encoder(tokenizer_path).ids
-        end = np.array([end_id], dtype="<u2").tobytes()
-        for batch in bounded(batches, "text"):
-            ids = [encode(t or "") + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        encode = encoder(tokenizer_path).batch
+        for batch in bounded(batches, "text", max_bytes=16 << 20, max_rows=1 << 14):
+            ids, counts = with_end(*encode(batch.column(1)), end_id)
+            offsets = np.r_[0, np.cumsum(counts) * 2].astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw], names=["doc_id", "ids"])
 
     def count(batches):
         total = np.zeros(1 << 16, dtype=np.int64)
-        for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(ids, "<u2"), minlength=1 << 16) if len(ids) > 4096 else 0
-            short = b"".join(ids for ids in batch.column(0).to_pylist() if len(ids) <= 4096)
-            total += np.bincount(np.frombuffer(short, "<u2"), minlength=1 << 16)
+        for batch in bounded(batches, "ids", max_bytes=32 << 20, max_rows=1 << 20):
+            raw = batch.column(0)
+            bounds = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+            total += np.bincount(np.frombuffer(raw.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view("<u2"), minlength=1 << 16)
         live = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array(total[live])], names=["id", "n"])
 

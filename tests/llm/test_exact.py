@@ -2,10 +2,12 @@
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -131,12 +133,23 @@ def test_marginals_equal_enumeration():
         at += n
 
 
+ODD = [
+    "a", "The", "don't", "'s", "'", "word", "\u00e9", "\u00c9", "\u0130", "\u0130stanbul", "\u0301", "e\u0301", "\u00a0", "\u2003", "\u3000", "\x85", "\x1c", "\x0b", "\t", "\n", "\n\n", " ", "  ",
+    "   ", "\r\n", "***", ".", ",", "...", "$$$", "1", "23", "\u00b2", "\u00bd", "\u00aa", "\u00df", "\u01c5", "\u4e2d\u6587", "\ud55c", "\u0391\u03a3", "\U0001f600", "<|endoftext|>", "<|startoftext|>", "<|", "|>",
+    "_", "-", "\u2014", "\u00ab", "\u200b", "\u00ad", "\x00", "\x7f", "\u00b5", "\u017f", "\u212a",
+]
+
+
 @pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
 def test_encoder_equals_library(name, texts):
-    own, library = Encoder(_tokenizer(name)), Tokenizer.from_file(_tokenizer(name))
-    odd = ["", "a ", " a", "a  b", "x\n\ny", "x \ny", "a\tb c", "It's don't", "<|endoftext|> a<|endoftext|>b", "é x", "ΑΣ a b", "12 345 $%^ !!!", "中文 ok.,"]
-    for t in odd + list(texts.values())[:100]:
-        assert list(np.frombuffer(own.ids(t), "<u2")) == library.encode(t, add_special_tokens=False).ids
+    """Random strings of odd parts, with a memory so small that it turns over, and whole documents."""
+    own, library = Encoder(_tokenizer(name), most=100), Tokenizer.from_file(_tokenizer(name))
+    rng = random.Random(5)
+    made = ["".join(rng.choice(ODD) for _ in range(rng.randrange(9))) for _ in range(6000)]
+    for some in (*np.array_split(np.array(made, dtype=object), 12), ["", "\u0130stanbul", " a", "a "], list(texts.values())[:100], [], [None, ""]):
+        ids, counts = own.batch(pa.array(list(some), pa.string()))
+        want = [e.ids for e in library.encode_batch([t or "" for t in some], add_special_tokens=False)]
+        assert list(counts) == [len(w) for w in want] and list(ids) == [i for w in want for i in w]
 
 
 def test_packing_covers_each_id_once(spark, texts):
