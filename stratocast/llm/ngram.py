@@ -1,9 +1,9 @@
-"""LM scoring: interpolated modified Kneser-Ney over word pairs, in sorted hash arrays that workers memory-map."""
+"""LM scoring: interpolated modified Kneser-Ney of order 3, counted in Spark, in sorted hash arrays that workers map."""
 
 from __future__ import annotations
 
-import json
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,90 +12,81 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratocast.llm.common import bounded, posix_path, shared_path, text_bytes
-
-START, END = (np.uint64(xxhash.xxh64_intdigest(name)) for name in (b" start", b" end"))  # no word holds a blank
-ODD1, ODD2, TURN = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
-HALF = np.uint64(32)
-
-
-class _Hashes(dict):
-    """Word to hash, emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
-_OPEN: dict[str, np.ndarray] = {}
-
-
-def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(previous, current, tokens of each text): hashes of ASCII-lower-cased words, each text closed by one end."""
-    flat: list[int] = []
-    counts = np.empty(len(texts), dtype=np.int64)
-    look, end = _HASHES.__getitem__, int(END)
-    for i, text in enumerate(texts):
-        before = len(flat)
-        if text:
-            flat += map(look, text.lower().split())
-        flat.append(end)
-        counts[i] = len(flat) - before
-    current = np.array(flat, dtype=np.uint64)
-    previous = np.empty_like(current)
-    previous[1:] = current[:-1]
-    if len(counts):
-        previous[np.cumsum(counts) - counts] = START
-    return previous, current, counts
-
-
-def pair_keys(previous: np.ndarray, current: np.ndarray) -> np.ndarray:
-    """One hash for each pair."""
-    x = previous * ODD1 ^ (current + ODD2) * ODD2
-    x ^= x >> TURN
-    x *= ODD1
-    return x ^ x >> HALF
+from stratocast.llm.arrays import build, look_up, mapped, mixed, save, summed
+from stratocast.llm.common import bounded, materialize, posix_path, shared_path, text_bytes
+
+START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # stand for no word: words' hashes pass through mixed()
+REACH = 64  # bytes of a word that the table of letters covers
+_LETTERS = mixed(np.arange(REACH * 256, dtype=np.uint64)).reshape(REACH, 256)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+OWN = 65535  # code of a word that is not among the common ones: its hash follows
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every token, tokens of each text): words with A-Z lower-cased, each text closed by END."""
+    column = column.cast(pa.binary())
+    n = len(column)
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    letter = ~_BLANK[data]
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    inner = bounds[:-1][np.diff(bounds) > 0]
+    begins[inner] = letter[inner]
+    starts = np.flatnonzero(begins)
+    words = np.zeros(0, np.uint64)
+    if len(starts):
+        solid = np.flatnonzero(letter)
+        first = np.searchsorted(solid, starts)
+        length = np.diff(np.r_[first, len(solid)])
+        place = np.arange(len(solid), dtype=np.int32)
+        place -= np.repeat(first.astype(np.int32), length)
+        np.minimum(place, REACH - 1, out=place)
+        lowered = _LOWER[data[solid]]
+        words = mixed(np.add.reduceat(_LETTERS.ravel()[(place << 8) | lowered], first))
+        for i in np.flatnonzero(length > REACH):
+            words[i] = xxhash.xxh64_intdigest(lowered[first[i] : first[i] + length[i]].tobytes())
+    held = np.searchsorted(starts, bounds)
+    counts = np.diff(held)
+    return np.insert(words, held[1:], END), counts + 1
+
+
+def triples(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(second last, last, token, tokens of each text) for every token; START stands before a text's beginning."""
+    w, counts = word_hashes(column)
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[starts] = START
+    u = np.empty_like(w)
+    u[2:] = w[:-2]
+    u[starts] = START
+    u[starts[counts > 1] + 1] = START
+    return u, v, w, counts
 
 
 def shard_of(x: np.ndarray, shards: int) -> np.ndarray:
     """Even ranges of the hash, in its order."""
-    return ((x >> HALF) * np.uint64(shards) >> HALF).astype(np.int64)
+    return ((x >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def pair_shard(previous, keys, heavy: np.ndarray, shards: int) -> np.ndarray:
-    """A context's pairs share its shard; those of heavy contexts are spread by pair."""
-    return shard_of(np.where(np.isin(previous, heavy), keys, previous), shards)
+def among(x: np.ndarray, ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each is in the ascending array, where)."""
+    if not len(ascending):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    i = np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)
+    return ascending[i] == x, i
 
 
-def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Ascending distinct keys, the place of one row of each, and the sums of counts."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return (ordered[starts], order[starts], *(np.add.reduceat(c[order].astype(np.int64), starts) if len(keys) else np.zeros(0, np.int64) for c in counts))
-
-
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Written aside and moved into place, so a repeated task leaves the same whole file."""
-    partial = f"{folder}/.{name}.{os.getpid()}.{id(array)}"
-    with open(partial, "wb") as f:
-        np.save(f, array)
-    os.replace(partial, f"{folder}/{name}.npy")
-
-
-def _load(folder: str, name: str) -> np.ndarray:
-    path = f"{folder}/{name}.npy"
-    if path not in _OPEN:
-        if len(_OPEN) > 20_000:
-            _OPEN.clear()
-        try:
-            _OPEN[path] = np.load(path, mmap_mode="r")
-        except ValueError:  # an empty array cannot be mapped
-            _OPEN[path] = np.load(path)
-    return _OPEN[path]
+def runs_of(ascending: np.ndarray) -> list[tuple[int, int]]:
+    """Beginning and end of each run of equal values."""
+    cuts = np.flatnonzero(np.diff(ascending)) + 1
+    return list(zip(np.r_[0, cuts], np.r_[cuts, len(ascending)], strict=True)) if len(ascending) else []
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -106,97 +97,129 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([min(max(d, 0.0), float(i)) for i, d in enumerate(raw)])
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(len(a).to_bytes(4, "little") + a.dtype.itemsize.to_bytes(1, "little") + a.tobytes() for a in arrays)
+@dataclass
+class Places:
+    """Where triples are counted: by their middle word, so that one task sees all a word's contexts and continuations.
 
+    Middle words with over a thousandth of all tokens are dealt by (first, middle), and such pairs by the whole triple.
+    common: the most frequent words, which packets name in two bytes.
+    """
 
-def _unpack(raw: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(raw):
-        n, width = int.from_bytes(raw[at : at + 4], "little"), raw[at + 4]
-        out.append(np.frombuffer(raw, f"<u{width}", n, at + 5))
-        at += 5 + n * width
-    return out
+    shards: int
+    side: int  # shards of what is summed by hash: words' counts, continuations of heavy words
+    words: np.ndarray
+    pairs: np.ndarray
+    common: np.ndarray
+
+    def shard(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        spread, _ = among(v, self.words)
+        key = mixed(v)
+        at = np.flatnonzero(spread)
+        pair = mixed(u[at], v[at])
+        key[at] = pair
+        at = at[among(pair, self.pairs)[0]]
+        key[at] = mixed(u[at], v[at], w[at])
+        return shard_of(key, self.shards)
+
+
+class Packets:
+    """Triples as bytes: runs of one middle word, words by two-byte codes or in full, times only where above 1."""
+
+    def __init__(self, common: np.ndarray):
+        self.common = common
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        known, i = among(x, self.common)
+        return np.where(known, i, OWN).astype("<u2")
+
+    def pack(self, u, v, w, times) -> bytes:
+        runs = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+        parts = [np.diff(np.r_[runs, len(v)]).astype("<u4")]
+        for x in (v[runs], u, w):
+            code = self.codes(x)
+            parts += [code, x[code == OWN]]
+        often = np.flatnonzero(times > 1)
+        parts += [often.astype("<u4"), times[often].astype("<u8")]
+        raw = np.array([p.size for p in parts], "<u4").tobytes() + b"".join(p.tobytes() for p in parts)
+        return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+    def unpack(self, packet: bytes) -> tuple[np.ndarray, ...]:
+        raw = pa.decompress(memoryview(packet)[4:], int.from_bytes(packet[:4], "little"), codec="zstd", asbytes=True)
+        sizes, at, parts = np.frombuffer(raw, "<u4", 9), 36, []
+        for size, kind in zip(sizes, ("<u4", "<u2", "<u8", "<u2", "<u8", "<u2", "<u8", "<u4", "<u8"), strict=True):
+            parts.append(np.frombuffer(raw, kind, size, at))
+            at += parts[-1].nbytes
+        u, v, w = (self._words(parts[i], parts[i + 1]) for i in (3, 1, 5))
+        times = np.ones(len(u), np.int64)
+        times[parts[7]] = parts[8]
+        return u, np.repeat(v, parts[0]), w, times
+
+    def _words(self, code: np.ndarray, own: np.ndarray) -> np.ndarray:
+        out = np.empty(len(code), np.uint64)
+        full = code == OWN
+        out[~full] = self.common[code[~full]]
+        out[full] = own
+        return out
 
 
 @dataclass
 class Model:
-    """Where the arrays lie and the few numbers that hold for all: picklable, a few kilobytes."""
+    """Where the arrays lie and the few numbers that hold for all: picklable, under a megabyte."""
 
     folder: str
-    shards: int
-    word_shards: int
-    heavy: np.ndarray  # ascending hashes of contexts spread over all shards
-    heavy_stats: np.ndarray  # their total, n1, n2, n3+
-    pair_discount: np.ndarray
-    word_discount: np.ndarray
+    places: Places
+    heavy_words: np.ndarray  # of each heavy middle word: total, n1, n2, n3+ of its continuations
+    heavy_pairs: np.ndarray  # of each heavy pair: total, n1, n2, n3+ of its triples
+    discount: list[np.ndarray]  # by order, from 1
     tokens: int
     distinct: int
     pairs: int
     tail: float  # mass of the continuation distribution left to the uniform one
 
-    def words(self, current: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, continuation count) of each hash."""
-        count, after = np.zeros(len(current), np.int64), np.zeros(len(current), np.int64)
-        for s, at in _by_shard(shard_of(current, self.word_shards)):
-            keys = _load(self.folder, f"word-{s}")
-            i, hit = _find(keys, current[at])
-            count[at[hit]] = _load(self.folder, f"count-{s}")[i]
-            after[at[hit]] = _load(self.folder, f"after-{s}")[i]
-        return count, after
-
-    def pair_counts(self, previous: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each pair's count, and total, n1, n2, n3+ of its context."""
-        count, stats = np.zeros(len(keys), np.int64), np.zeros((len(keys), 4))
-        for s, at in _by_shard(pair_shard(previous, keys, self.heavy, self.shards)):
-            i, hit = _find(_load(self.folder, f"pair-{s}"), keys[at])
-            small = _load(self.folder, f"times-{s}")[i].astype(np.int64)
-            large = np.flatnonzero(small == 255)
-            if len(large):
-                places = _load(self.folder, f"large-{s}")
-                small[large] = _load(self.folder, f"many-{s}")[np.searchsorted(places, i[large])]
-            count[at[hit]] = small
-            i, hit = _find(_load(self.folder, f"context-{s}"), previous[at])
-            stats[at[hit]] = _load(self.folder, f"stats-{s}")[i]
-        if len(self.heavy):
-            i, hit = _find(self.heavy, previous)
-            stats[hit] = self.heavy_stats[i]
-        return count, stats
-
-    def score(self, previous: np.ndarray, current: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability, training count) of each token after its predecessor."""
-        words, word_at = np.unique(current, return_inverse=True)
-        count, after = self.words(words)
-        d = self.word_discount[np.minimum(after, 3)]
-        low = np.maximum(after - d, 0) / max(self.pairs, 1) + self.tail / (self.distinct + 1)
-        keys = pair_keys(previous, current)
-        distinct, first, pair_at = np.unique(keys, return_index=True, return_inverse=True)
-        times, stats = self.pair_counts(previous[first], distinct)
-        total = stats[:, 0]
-        seen = total > 0
-        safe = np.where(seen, total, 1)
-        high = np.where(seen, np.maximum(times - self.pair_discount[np.minimum(times, 3)], 0) / safe, 0)
-        back = np.where(seen, stats[:, 1:] @ self.pair_discount[1:] / safe, 1)
-        p = high + back * low[word_at[first]]
-        return np.log10(p)[pair_at], count[word_at]
-
-
-def _by_shard(shard: np.ndarray):
-    order = np.argsort(shard, kind="stable")
-    ordered = shard[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(shard) else []
-    for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
-        yield int(ordered[a]), order[a:b]
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in keys of those wanted that it holds, which of the wanted they are)."""
-    if not len(keys):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(wanted, kind="stable")  # ascending look-ups walk the mapped pages in order
-    i = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
-    hit = keys[i] == wanted[order]
-    return i[hit], order[hit]
+    def score(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, training count) of each token after its two predecessors."""
+        _, first, inverse = np.unique(mixed(u, v, w), return_index=True, return_inverse=True)
+        u, v, w = u[first], v[first], w[first]
+        words, back = np.unique(w, return_inverse=True)
+        counted = self._found("word", shard_of(words, self.places.side), [words])[0]
+        low = self._cut(counted[:, 1], self.discount[0]) / max(self.pairs, 1) + self.tail / (self.distinct + 1)
+        shard = self.places.shard(u, v, w)
+        pair_key, next_key = mixed(u, v), mixed(v, w)
+        triple, context, after, middle = self._found("gram", shard, [mixed(u, v, w), pair_key, next_key, v])
+        spread, i = among(v, self.places.words)
+        middle[spread] = self.heavy_words[i[spread]]
+        at = np.flatnonzero(spread)
+        after[at] = self._found("next", shard_of(next_key[at], self.places.side), [next_key[at]])[0]
+        heavy, i = among(pair_key[at], self.places.pairs)
+        context[at[heavy]] = self.heavy_pairs[i[heavy]]
+        p = self._level(after[:, 0], middle, self.discount[1], low[back])
+        p = self._level(triple[:, 0], context, self.discount[2], p)
+        return np.log10(p)[inverse], counted[back, 0][inverse]
+
+    @staticmethod
+    def _cut(times: np.ndarray, discount: np.ndarray) -> np.ndarray:
+        return np.maximum(times - discount[np.minimum(times, 3)], 0)
+
+    def _level(self, times, stats, discount, lower):
+        seen = stats[:, 0] > 0
+        total = np.where(seen, stats[:, 0], 1)
+        back = np.where(seen, stats[:, 1:] @ discount[1:] / total, 1)
+        return np.where(seen, self._cut(times, discount) / total, 0) + back * lower
+
+    def _found(self, kind: str, shard: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
+        """Rows of counts of each list of keys, list j from the j-th table of each key's shard file."""
+        out = [np.zeros((len(shard), COLUMNS[kind][j]), np.int64) for j in range(len(keys))]
+        order = np.argsort(shard, kind="stable")
+        for a, b in runs_of(shard[order]):
+            at = order[a:b]
+            arrays = mapped(f"{self.folder}/{kind}-{shard[at[0]]}")
+            for j in range(len(keys) if arrays else 0):
+                out[j][at] = look_up(arrays[7 * j : 7 * j + 7], keys[j][at])[0]
+        return out
+
+
+COLUMNS = {"word": (2,), "gram": (1, 4, 1, 4), "next": (1,)}
+SHIPPED = "kind string, shard int, key long, numbers array<long>, packet binary"
 
 
 def fold_for_lm(column) -> F.Column:
@@ -204,157 +227,228 @@ def fold_for_lm(column) -> F.Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 5, F.lit(0)).cast("int")
 
 
-def heavy_contexts(rows: DataFrame, n_rows: int, sampled: int = 5000, share: float = 0.001) -> np.ndarray:
-    """Hashes of words with over share of the tokens of about `sampled` documents: at most 1/share of them.
+def choose_places(rows: DataFrame, n_rows: int, shards: int, side: int, sampled: int = 5000, share: float = 0.001) -> Places:
+    """Heavy words, heavy pairs (over share of the tokens, so under 1/share each) and common words, of about `sampled` texts.
 
-    They only decide where pairs are counted, not what is counted.
+    They only decide where triples are counted and how packets name words, not what is counted.
     """
 
     def count(batches):
-        total: dict[int, int] = {}
+        totals: list[dict[int, int]] = [{}, {}]
         n = 0
         for batch in bounded(batches, "text"):
-            previous, _, _ = tokens_of(batch.column(1).to_pylist())
-            n += len(previous)
-            for k, c in zip(*np.unique(previous, return_counts=True), strict=True):
-                total[int(k)] = total.get(int(k), 0) + int(c)
-            if len(total) > 500_000:
-                total = {k: c for k, c in total.items() if c > share / 10 * n}
-        top = sorted(((c, k) for k, c in total.items() if c > share / 4 * n), reverse=True)[: int(8 / share)]
-        yield pa.RecordBatch.from_arrays([pa.array([np.uint64(k).view(np.int64) for _, k in top], pa.int64()), pa.array([c for c, _ in top], pa.int64())], names=["k", "c"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["k", "c"])
-
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_rows // sampled))) == 0)
-    found = sample.mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).orderBy(F.col("k").isNotNull(), F.desc("c")).limit(int(1 / share) + 1).collect()
-    total = sum(r.c for r in found if r.k is None)
-    return np.sort(np.array([r.k for r in found if r.k is not None and r.c > share * total] + [int(START.view(np.int64))], dtype=np.int64).view(np.uint64))
-
-
-def train(docs: DataFrame, fold: int = 1, shard_bytes: int = 24 << 20, chunk_tokens: int = 3_000_000) -> Model:
-    """Count word pairs of all documents but those of the fold, and lay the model out in the shared folder.
-
-    A scan task counts its pairs in chunks and sends them in sorted packets, a shard each; pairs of a context share a
-    shard unless it is heavy. A shard's task sums them, writes the sorted arrays of its pairs and contexts, and sends
-    counts by word; a word shard's task writes the sorted arrays of its words. Shards hold a fixed share of the text, so
-    memory does not grow with the corpus. The driver reads one short summary a shard.
+            u, v, _, _ = triples(batch.column(1))
+            n += len(v)
+            for total, x in zip(totals, (v, mixed(u, v)), strict=True):
+                for k, c in zip(*(a.tolist() for a in np.unique(x, return_counts=True)), strict=True):
+                    total[k] = total.get(k, 0) + c
+                if len(total) > 500_000:
+                    for k in [k for k, c in total.items() if c <= n * share / 500]:
+                        del total[k]
+        words = sorted(((c, k) for k, c in totals[0].items() if c > 1), reverse=True)[:OWN]
+        pairs = sorted(((c, k) for k, c in totals[1].items() if c > n * share / 8), reverse=True)[: int(8 / share)]
+        rows = [(0, k, c) for c, k in words] + [(1, k, c) for c, k in pairs] + [(2, 0, n)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)), pa.array([r[2] for r in rows], pa.int64())], names=["what", "k", "c"])
+
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n_rows // sampled))) == 0)
+    counted = materialize(sample.mapInArrow(count, "what int, k long, c long").groupBy("what", "k").agg(F.sum("c").alias("c")), "common-words")
+    top = {what: counted.where(F.col("what") == what).orderBy(F.desc("c"), "k").limit(OWN if what == 0 else int(2 / share)).collect() for what in (0, 1, 2)}  # bounded by their limits
+    least = share * sum(r.c for r in top[2])
+    hashes = lambda found: np.unique(np.array([r.k for r in found], np.int64)).view(np.uint64)
+    ascending = lambda found: np.sort(hashes(found))
+    words = [r for r in top[0] if r.c > least]
+    heavy_words = np.unique(np.r_[ascending(words), START])
+    return Places(shards, side, heavy_words, ascending([r for r in top[1] if r.c > least]), ascending(top[0]))
+
+
+def _merged(packets: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct triples of several packets with summed times: (key, u, v, w, times), keys ascending."""
+    u, v, w, times = (np.concatenate([p[i] for p in packets]) for i in range(4))
+    keys, first, times = summed(mixed(u, v, w), times)
+    return keys, u[first], v[first], w[first], times
+
+
+def _by_shard(rows: Iterator[pa.RecordBatch], column: str = "shard") -> Iterator[tuple[int, list[dict]]]:
+    """Runs of rows with one shard, of a partition sorted by it."""
+    shard, held = None, []
+    for batch in rows:
+        for row in batch.to_pylist():
+            if row[column] != shard and held:
+                yield shard, held
+                held = []
+            shard = row[column]
+            held.append(row)
+    if held:
+        yield shard, held
+
+
+def _shipped(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["kind", "shard", "key", "numbers", "packet"])
+
+
+def _columns(*arrays: np.ndarray) -> bytes:
+    return pa.compress(b"".join(a.astype("<u8").tobytes() for a in arrays), codec="zstd", asbytes=True)
+
+
+def _uncolumns(rows: list[dict], columns: int) -> list[np.ndarray]:
+    parts = [np.frombuffer(pa.decompress(r["packet"], 8 * columns * r["key"], codec="zstd", asbytes=True), "<u8").reshape(columns, -1) for r in rows]
+    return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0, np.uint64)] * columns
+
+
+def _split(kind: str, keys: np.ndarray, shards: int, *columns: np.ndarray) -> list[tuple]:
+    """A row for each shard that keys fall in; keys are ascending in the hash that places them."""
+    shard = shard_of(keys, shards)
+    return [(kind, int(shard[a]), int(b - a), [], _columns(*(c[a:b] for c in columns))) for a, b in runs_of(shard)]
+
+
+def train(docs: DataFrame, fold: int = 1, shard_bytes: int = 64 << 20, chunk_bytes: int = 18 << 20, fan: int = 512) -> Model:
+    """Count word triples of all documents but those of the fold, and lay the model out in the shared folder.
+
+    A scan task counts triples in chunks and sends each chunk in at most `fan` packets, so packets grow with the text.
+    Beyond fan shards of shard_bytes text, packets are merged and dealt again, fan ways a level. A shard's task sums its
+    triples and writes one file of sorted arrays: triples, their contexts (pairs), continuations of pairs, and of words.
+    What lies spread over shards (heavy words, heavy pairs, all words' counts) is sent on and summed by hash. The driver
+    reads a fixed number of sums. Null ids are trained on; null and empty texts are the end alone; repeated rows count
+    each; nothing to train on leaves a uniform model.
     """
     spark = docs.sparkSession
     rows = text_bytes(docs).where(fold_for_lm(F.col("doc_id")) != fold)
     n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    shards = max(1, -(-n_bytes // shard_bytes))
-    word_shards = max(1, -(-shards // 4))
-    heavy = heavy_contexts(rows, n_rows)
+    levels, reach = 1, fan
+    while reach * shard_bytes < n_bytes:
+        levels, reach = levels + 1, reach * fan
+    places = choose_places(rows, n_rows, reach, min(reach, max(8, -(-n_bytes // shard_bytes))))
     folder = posix_path(shared_path(spark, "ngram"))
     os.makedirs(folder, exist_ok=True)
+    tasks = max(1, min(fan, -(-n_bytes // shard_bytes * 4)))
+
+    def packets(u, v, w, times, width: int) -> pa.RecordBatch:
+        """A packet for each range of `width` shards."""
+        code = Packets(places.common)
+        ranges = places.shard(u, v, w) // width
+        order = np.lexsort((v, ranges))
+        u, v, w, times, ranges = (x[order] for x in (u, v, w, times, ranges))
+        runs = runs_of(ranges)
+        made = [code.pack(u[a:b], v[a:b], w[a:b], times[a:b]) for a, b in runs]
+        return pa.RecordBatch.from_arrays([pa.array([int(ranges[a]) for a, _ in runs], pa.int32()), pa.array(made, pa.binary())], names=["shard", "packet"])
 
     def chunks(batches):
-        texts: list[bytes | None] = []
-        size = 0
-
-        def packets():
-            previous, current, _ = tokens_of(texts)
-            keys, first, times = _summed(pair_keys(previous, current), np.ones(len(current), np.int64))
-            previous, current = previous[first], current[first]
-            order = np.lexsort((previous, shard := pair_shard(previous, keys, heavy, shards)))
-            previous, current, times, shard = previous[order], current[order], times[order], shard[order]
-            starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-            payloads = []
-            for a, b in zip(starts, [*starts[1:], len(shard)], strict=True):
-                p = previous[a:b]
-                runs = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-                payloads.append(_pack(p[runs], np.diff(np.r_[runs, b - a]).astype("<u4"), current[a:b], times[a:b].astype("<u4")))
-            return pa.RecordBatch.from_arrays([pa.array(shard[starts].astype(np.int32)), pa.array(payloads, pa.binary())], names=["shard", "packet"])
-
+        held, size = [], 0
         for batch in bounded(batches, "text"):
-            texts += batch.column(1).to_pylist()
+            u, v, w, _ = triples(batch.column(1))
+            held.append((u, v, w, np.ones(len(u), np.int64)))
             size += batch.column(1).nbytes
-            if size >= 6 * chunk_tokens:
-                yield packets()
-                texts.clear()
-                size = 0
-        if texts:
-            yield packets()
-
-    def pair_arrays(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        s = key[0].as_py()
-        parts = [_unpack(x) for x in table["packet"].to_pylist()]
-        previous = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        current, times = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-        del parts
-        keys, first, times = _summed(pair_keys(previous, current), times)
-        previous, current = previous[first], current[first]
-        large = np.flatnonzero(times >= 255)
-        _save(folder, f"pair-{s}", keys)
-        _save(folder, f"times-{s}", np.minimum(times, 255).astype(np.uint8))
-        _save(folder, f"large-{s}", large.astype(np.int64))
-        _save(folder, f"many-{s}", times[large])
-        contexts, _, *stats = _summed(previous, times, times == 1, times == 2, times >= 3)
-        stats = np.stack(stats, axis=1).astype(np.float64)
-        spread = np.isin(contexts, heavy)
-        _save(folder, f"context-{s}", contexts[~spread])
-        _save(folder, f"stats-{s}", stats[~spread])
-        summary = {
-            "pairs": len(keys), "n": [int((times == k).sum()) for k in (1, 2, 3, 4)],
-            "heavy": {str(int(c)): [int(x) for x in row] for c, row in zip(contexts[spread], stats[spread], strict=True)},
-        }
-        _save(folder, f"about-{s}", np.frombuffer(json.dumps(summary).encode(), np.uint8))
-        words, _, count, after = _summed(current, times, np.ones(len(times), np.int64))
-        shard = shard_of(words, word_shards)
-        cuts = np.searchsorted(shard, np.arange(word_shards + 1))
-        packets = [_pack(words[a:b], count[a:b].astype("<u8"), after[a:b].astype("<u4")) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pa.table({"shard": pa.array(range(word_shards), pa.int32()), "packet": pa.array(packets, pa.binary())})
-
-    def word_arrays(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        s = key[0].as_py()
-        parts = [_unpack(x) for x in table["packet"].to_pylist()]
-        words, _, count, after = _summed(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
-        _save(folder, f"word-{s}", words)
-        _save(folder, f"count-{s}", count)
-        _save(folder, f"after-{s}", after)
-        numbers = [len(words), int(count.sum()), *(int((after == k).sum()) for k in (1, 2, 3, 4)), int((after >= 3).sum())]
-        return pa.table({c: pa.array([x], pa.int64()) for c, x in zip("vnabcde", numbers, strict=True)})
-
-    packets = rows.mapInArrow(chunks, "shard int, packet binary")
-    by_word = packets.groupBy("shard").applyInArrow(pair_arrays, "shard int, packet binary")
-    found = by_word.groupBy("shard").applyInArrow(word_arrays, ", ".join(f"{c} long" for c in "vnabcde")).collect()  # one row a word shard
-    v, n, *m, three = (sum(r[i] for r in found) for i in range(7))
-    pairs, counted, heavy_stats = 0, np.zeros(4), np.zeros((len(heavy), 4))
-    for s in range(shards):
-        if not os.path.exists(f"{folder}/about-{s}.npy"):  # no pair fell in this range
-            for name, kind in (("pair", np.uint64), ("times", np.uint8), ("large", np.int64), ("many", np.int64), ("context", np.uint64)):
-                _save(folder, f"{name}-{s}", np.zeros(0, kind))
-            _save(folder, f"stats-{s}", np.zeros((0, 4)))
-            continue
-        about = json.loads(np.load(f"{folder}/about-{s}.npy").tobytes())
-        pairs += about["pairs"]
-        counted += about["n"]
-        for c, row in about["heavy"].items():
-            heavy_stats[np.searchsorted(heavy, np.uint64(int(c)))] += row
-    for s in range(word_shards):
-        if not os.path.exists(f"{folder}/word-{s}.npy"):
-            for name, kind in (("word", np.uint64), ("count", np.int64), ("after", np.int64)):
-                _save(folder, f"{name}-{s}", np.zeros(0, kind))
-    d = discounts(np.array(m))
-    tail = (d[1] * m[0] + d[2] * m[1] + d[3] * three) / pairs if pairs else 1.0
-    return Model(folder, shards, word_shards, heavy, heavy_stats, discounts(counted), d, n, v, pairs, tail)
+            if size >= chunk_bytes:
+                yield packets(*_merged(held)[1:], reach // fan)
+                held, size = [], 0
+        if held:
+            yield packets(*_merged(held)[1:], reach // fan)
+
+    def again(width):
+        def run(batches):
+            code = Packets(places.common)
+            for _, found in _by_shard(batches):
+                held, size = [], 0
+                for row in found:
+                    held.append(code.unpack(row["packet"]))
+                    size += len(held[-1][0])
+                    if 6 * size >= chunk_bytes:
+                        yield packets(*_merged(held)[1:], width)
+                        held, size = [], 0
+                if held:
+                    yield packets(*_merged(held)[1:], width)
+
+        return run
+
+    def gram_files(batches):
+        code = Packets(places.common)
+        for s, found in _by_shard(batches):
+            keys, u, v, w, times = _merged([code.unpack(r["packet"]) for r in found])
+            pair, next_ = mixed(u, v), mixed(v, w)
+            levels_of = lambda x: (x == 1, x == 2, x >= 3)
+            contexts, _, *stats = summed(pair, times, *levels_of(times))
+            stats = np.stack(stats, axis=1)
+            wide, i = among(contexts, places.pairs)
+            spread, _ = among(v, places.words)
+            own = np.flatnonzero(~spread)
+            nexts, first, after = summed(next_[own], np.ones(len(own), np.int64))
+            middles, _, *mid = summed(v[own][first], after, *levels_of(after))
+            save(
+                f"{folder}/gram-{s}",
+                build(keys, times[:, None]) + build(contexts[~wide], stats[~wide]) + build(nexts, after[:, None]) + build(middles, np.stack(mid, axis=1)),
+            )
+            words, _, count = summed(w, times)
+            known, at = among(words, (followed := summed(w[own][first], np.ones(len(first), np.int64)))[0])
+            out = _split("word", words, places.side, words, count, np.where(known, followed[2][at], 0) if known.any() else np.zeros(len(words)))
+            at = np.flatnonzero(spread)
+            far, first, after2 = summed(next_[at], np.ones(len(at), np.int64))
+            out += _split("next", far, places.side, far, v[at][first], w[at][first], after2)
+            out.append(("order 3", 0, 0, [int((times == k).sum()) for k in (1, 2, 3, 4)], None))
+            out.append(("order 2", 0, 0, [int((after == k).sum()) for k in (1, 2, 3, 4)], None))
+            out += [("heavy pair", 0, int(k), [int(x) for x in row], None) for k, row in zip(contexts[wide].view(np.int64), stats[wide], strict=True)]
+            yield _shipped(out)
+
+    def next_files(batches):
+        for s, found in _by_shard(batches):
+            key, v, w, after = _uncolumns(found, 4)
+            keys, first, after = summed(key, after)
+            save(f"{folder}/next-{s}", build(keys, after[:, None]))
+            heavy, _, *stats = summed(v[first], after, after == 1, after == 2, after >= 3)
+            words, _, before = summed(w[first], np.ones(len(first), np.int64))
+            out = _split("word", words, places.side, words, np.zeros(len(words)), before)
+            out.append(("order 2", 0, 0, [int((after == k).sum()) for k in (1, 2, 3, 4)], None))
+            out += [("heavy word", 0, int(k), [int(x) for x in row], None) for k, row in zip(heavy.view(np.int64), np.stack(stats, axis=1), strict=True)]
+            yield _shipped(out)
+
+    def word_files(batches):
+        for s, found in _by_shard(batches):
+            words, _, count, before = summed(*_uncolumns(found, 3))
+            save(f"{folder}/word-{s}", build(words, np.stack([count, before], axis=1)))
+            sums = [len(words), int(count.sum()), int(before.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4)), int((before >= 3).sum())]
+            yield _shipped([("order 1", 0, 0, sums, None)])
+
+    dealt = lambda df: df.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard")
+    sent = rows.mapInArrow(chunks, "shard int, packet binary")
+    width = reach // fan
+    while width > 1:
+        width //= fan
+        salted = sent.withColumn("salt", F.pmod(F.xxhash64("packet"), F.lit(-(-n_bytes // (shard_bytes * fan)))))
+        sent = salted.repartition(-(-n_bytes // shard_bytes), "shard", "salt").sortWithinPartitions("shard").select("shard", "packet").mapInArrow(again(width), "shard int, packet binary")
+        tasks = -(-n_bytes // shard_bytes)
+    grams = materialize(dealt(sent).mapInArrow(gram_files, SHIPPED), "ngram-grams")
+    nexts = materialize(dealt(grams.where("kind = 'next'")).mapInArrow(next_files, SHIPPED), "ngram-nexts")
+    words = dealt(grams.union(nexts).where("kind = 'word'")).mapInArrow(word_files, SHIPPED)
+    sums = grams.union(nexts).where("packet is null").union(words).groupBy("kind", "key")
+    width = 8
+    sums = sums.agg(*[F.sum(F.get("numbers", F.lit(i))).alias(f"n{i}") for i in range(width)]).collect()  # a row for each order, heavy word and heavy pair
+    total = {r.kind: [r[f"n{i}"] or 0 for i in range(width)] for r in sums if r.kind.startswith("order")}
+    distinct, tokens, pairs, *n, three = total.get("order 1", [0] * width)
+    heavy = []
+    for kind, keys in (("heavy word", places.words), ("heavy pair", places.pairs)):
+        stats = {r.key: [r[f"n{i}"] for i in range(4)] for r in sums if r.kind == kind}
+        heavy.append(np.array([stats.get(k, [0] * 4) for k in keys.view(np.int64).tolist()], np.int64).reshape(-1, 4))
+    d = [discounts(np.array(n)), *(discounts(np.array(total.get(f"order {k}", [0] * 4))) for k in (2, 3))]
+    tail = float((d[0][1] * n[0] + d[0][2] * n[1] + d[0][3] * three) / pairs) if pairs else 1.0
+    return Model(folder, places, heavy[0], heavy[1], d, int(tokens), int(distinct), int(pairs), tail)
 
 
 def score(docs: DataFrame, model: Model, fold: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Words are runs of other than ASCII white space, A-Z lower-cased, and one end closes each text. base_score: log10 of
-    add-half unigram probabilities. score: log10 probability by interpolated modified Kneser-Ney over pairs, whose
-    continuation distribution is interpolated with a uniform one over the vocabulary and one unknown word. Null and
-    empty texts are the end alone. Null ids are trained on. Repeated rows count and score each. Nothing to train on
-    leaves a uniform model. An empty table gives no rows. Other columns are not read.
+    add-half unigram probabilities. score: log10 probability by interpolated modified Kneser-Ney of order 3: counts of
+    triples, then numbers of different words before a pair, then before a word, then a uniform distribution over the
+    vocabulary and one unknown word. Null and empty texts are the end alone. Null ids are trained on. Repeated rows are
+    scored each. Nothing to train on leaves a uniform model. An empty table gives no rows. Other columns are not read.
     """
     n, v = model.tokens, model.distinct
 
     def run(batches):
-        for batch in bounded(batches, "text", max_bytes=6 << 20):
-            previous, current, counts = tokens_of(batch.column(1).to_pylist())
+        for batch in bounded(batches, "text", max_bytes=12 << 20, max_rows=1 << 14):
+            *grams, counts = triples(batch.column(1))
             starts = np.cumsum(counts) - counts
-            logs, seen = model.score(previous, current)
+            logs, seen = model.score(*grams)
             base = np.log10((seen + 0.5) / (n + 0.5 * (v + 1)))
             arrays = [
                 batch.column(0), pa.array(counts), pa.array(np.add.reduceat((seen > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts)),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stratocast.llm import crf, html, mixing, ngram, packing, rans, rules, simhash, topk, toxicity
+from stratocast.llm import arrays, crf, html, mixing, ngram, packing, rans, rules, simhash, topk, toxicity
 from stratocast.llm.queries import BYTE_BPE, QUERIES, WORD_BPE, _tokenizer
 from stratocast.llm.tokens import Encoder
 
@@ -281,42 +281,69 @@ def test_overlapping_sources_share_capacity():
     assert mixing.capped_shares([100, 10, 50], [3, 1, 2], 240, 2) == pytest.approx([132, 20, 88])
 
 
-def test_kneser_ney_equals_dictionaries(spark, texts):
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 100_000, "chunk_bytes": 200_000, "fan": 4}])
+def test_kneser_ney_equals_dictionaries(spark, texts, sizes):
+    """Order 3 against plain dictionaries; the second run deals packets over several levels."""
     docs = spark.read.parquet(f"{MID}/documents.parquet")
-    model = ngram.train(docs, shard_bytes=400_000)
+    model = ngram.train(docs, **sizes)
     words = {i: [*t.encode().lower().split(), None] for i, t in texts.items()}
-    count, pair = Counter(), Counter()
+    count, triple = Counter(), Counter()
     for i, w in words.items():
         if zlib.crc32(str(i).encode()) % 5 != 1:
             count.update(w)
-            pair.update(zip(["start", *w], w, strict=False))
-    n, v = sum(count.values()), len(count)
-    context, after = defaultdict(lambda: [0, 0, 0, 0]), Counter()
-    for (u, w), k in pair.items():
-        context[u][0] += k
-        context[u][min(k, 3)] += 1
-        after[w] += 1
-
-    def cut(counts):
+            triple.update(zip(["start", "start", *w], ["start", *w], w, strict=False))
+    pair = Counter((v, w) for _, v, w in triple)
+    single = Counter(w for _, w in pair)
+    n, vocabulary = sum(count.values()), len(count)
+
+    def level(counts):
         m = [0, *(sum(x == k for x in counts.values()) for k in (1, 2, 3, 4))]
         y = m[1] / (m[1] + 2 * m[2])
-        return [0, *(k - (k + 1) * y * m[k + 1] / m[k] for k in (1, 2, 3))]
-
-    d2, d1 = cut(pair), cut(after)
-    tail = sum(d1[min(k, 3)] for k in after.values()) / len(pair)
-    low = lambda w: max(after[w] - d1[min(after[w], 3)], 0) / len(pair) + tail / (v + 1)
-
-    def p(u, w):
-        if u not in context:
-            return low(w)
-        c, k = context[u], pair[u, w]
-        return max(k - d2[min(k, 3)], 0) / c[0] + sum(d2[j] * c[j] for j in (1, 2, 3)) / c[0] * low(w)
-
+        cut = [0, *(k - (k + 1) * y * m[k + 1] / m[k] for k in (1, 2, 3))]
+        stats = defaultdict(lambda: [0, 0, 0, 0])
+        for gram, k in counts.items():
+            context = gram[:-1] if isinstance(gram, tuple) else ()
+            stats[context][0] += k
+            stats[context][min(k, 3)] += 1
+        return counts, cut, stats
+
+    tables = [level(single), level(pair), level(triple)]
+
+    def p(gram):
+        counts, cut, stats = tables[len(gram) - 1]
+        lower = p(gram[1:]) if len(gram) > 1 else 1 / (vocabulary + 1)
+        if gram[:-1] not in stats:
+            return lower
+        c, k = stats[gram[:-1]], counts[gram if len(gram) > 1 else gram[0]]
+        return max(k - cut[min(k, 3)], 0) / c[0] + sum(cut[j] * c[j] for j in (1, 2, 3)) / c[0] * lower
+
+    assert sum(p(("the", "of", w)) for w in count) + p(("the", "of", "no such word")) == pytest.approx(1)
     for r in ngram.score(docs, model).collect():
         w = words[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(count[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["start", *w], w, strict=False)))
+        assert r.base_score == pytest.approx(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (vocabulary + 1))) for x in w))
+        assert r.score == pytest.approx(sum(math.log10(p(g)) for g in zip(["start", "start", *w], ["start", *w], w, strict=False)))
+
+
+def test_word_hashes_tell_words_apart():
+    long = b"x" * 100
+    some = [b" The  the\tTHE ", None, b"", b"ab ba a\x00 a", long + b" " + long + b"y " + long, b"\xc3\x89 \xc3\xa9"]
+    hashes, counts = ngram.word_hashes(pa.array(some, pa.binary()))
+    assert list(counts) == [4, 1, 1, 5, 4, 3]
+    words = [w for t in some for w in [*(t or b"").lower().split(), None]]
+    assert len(set(hashes.tolist())) == len(set(words)) and len({(h, w) for h, w in zip(hashes.tolist(), words, strict=True)}) == len(set(words))
+
+
+def test_hash_arrays_give_back_their_counts(tmp_path):
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    values = np.stack([rng.integers(0, 3, len(keys)), rng.zipf(1.3, len(keys)) % 10**12], axis=1)
+    arrays.save(f"{tmp_path}/a", arrays.build(keys, values) + arrays.build(keys[:0], values[:0]))
+    loaded = arrays.mapped(f"{tmp_path}/a")
+    absent = np.setdiff1d(rng.integers(0, 2**64, 5000, dtype=np.uint64), keys)
+    got, hit = arrays.look_up(loaded[:7], np.r_[keys, absent])
+    assert (got[: len(keys)] == values).all() and hit[: len(keys)].all() and not hit[len(keys) :].any()
+    assert not arrays.look_up(loaded[7:], keys)[1].any()
 
 
 def test_pipeline_equals_its_stages_by_hand(spark, small):
