@@ -16,10 +16,12 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir, or in a local session (tests) one of our own."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     return root.rstrip("/")
 

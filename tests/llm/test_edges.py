@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stratocast.llm import crf, html, mixing, ngram, packing, rans, rules, simhash, topk, toxicity
-from stratocast.llm.queries import BYTE_BPE, WORD_BPE, _tokenizer
+from stratocast.llm.queries import BYTE_BPE, ORACLES, QUERIES, WORD_BPE, _tokenizer
 
 LONG = "word another third " * 30_000
 TEXTS = [
@@ -72,13 +72,25 @@ def test_html_edges(spark):
 def test_top_k_edges(spark):
     rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (20, [1e30, 0.0]), (20, [1e30, 0.0]), (6, []), (7, [float("inf")])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("id", F.lit(1))
-    got = topk.exact_top_k(v, v.where("vec_id % 20 = 0"), k=3).collect()
-    best = {q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 20)}
-    assert best[0][1:] == [(1, 64 * 64 + 32 * 32), (2, 64 * 64)] and best[0][0] == (20, 2**63 - 1)
-    assert [i for i, _ in best[20]] == [0, 1, 2]
+    got = sorted(topk.exact_top_k(v, v.where("vec_id % 20 = 0"), k=3).collect())
+    best = {q: [(r.vec_id, r.score) for r in got if r.query_id == q] for q in (0, 20)}
+    assert best[0] == [(20, 2**63 - 1), (20, 2**63 - 1), (1, 64 * 64 + 32 * 32)]
+    assert [i for i, _ in best[20]] == [0, 0, 1, 1, 2, 2]  # the id's two rows are queries each; all scores are held to the same
     assert topk.exact_top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_takes_every_row_of_a_repeated_id(spark, tmp_path):
+    import duckdb
+
+    rows = [(20, [1.0, 2.0]), (20, [1.0, 2.0]), (20, [3.0, 1.0]), (40, [1.0, 1.0])] + [(i % 7, [float(i % 5), 1.0]) for i in range(60)] + [(3, [2.0, 2.0])] * 30
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v.write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(db.execute(ORACLES["op1_exact_topk"]).fetchall())
+    assert sorted(map(tuple, QUERIES["op1_exact_topk"](spark, str(tmp_path)).collect())) == want and len(want) > 60
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_take_edges_and_keep_columns(spark, docs, labels, stage, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
