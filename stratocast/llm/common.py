@@ -104,8 +104,8 @@ def fold_of(column) -> F.Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 5, F.lit(0)).cast("int")
 
 
-def sample_labels(labels: DataFrame, label_col: str, limit_per_class: int) -> list[tuple[int, int]]:
-    """(doc_id, label) of at most limit_per_class rows of each class outside the held-out fold.
+def sample_labels(labels: DataFrame, label_col: str, limit_per_class: int, classes: tuple[int, ...] = (0, 1)) -> list[tuple[int, int]]:
+    """(doc_id, label) of at most limit_per_class rows of each of the classes outside the held-out fold.
 
     Chosen by a hash of the id, so reruns agree. Rows with a null id or label are passed over; repeated
     labels of an id count by majority, ties as 1. Both lists are bounded, so the driver may hold them.
@@ -118,7 +118,7 @@ def sample_labels(labels: DataFrame, label_col: str, limit_per_class: int) -> li
         .where(fold_of(F.col("doc_id")) != 0)
     )
     rows: list[tuple[int, int]] = []
-    for y in (0, 1):
+    for y in classes:
         picked = one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit_per_class)
         rows += [(r.doc_id, y) for r in picked.collect()]
     return rows

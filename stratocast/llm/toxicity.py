@@ -32,20 +32,24 @@ def bare_words(text: bytes | None) -> set[bytes]:
 
 @dataclass
 class ToxicModel:
-    """Weights of hashed word features; a text's log odds are the bias plus those of its distinct words."""
+    """Weights of hashed word features; a text's log odds are the bias plus those of its distinct words.
+
+    A word counts if its weights sum to over `floor` times the bias's size: many faint words are no evidence.
+    """
 
     weights: np.ndarray
     bias: float
+    floor: float = 0.5
     seen: dict[bytes, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
         live = np.flatnonzero(self.weights)
-        return {"live": live, "values": self.weights[live], "bias": self.bias}
+        return {"live": live, "values": self.weights[live], "bias": self.bias, "floor": self.floor}
 
     def __setstate__(self, state):
         self.weights = np.zeros(1 << BITS)
         self.weights[state["live"]] = state["values"]
-        self.bias, self.seen = state["bias"], {}
+        self.bias, self.floor, self.seen = state["bias"], state["floor"], {}
 
     def margin(self, text: bytes | None) -> float:
         total, seen = self.bias, self.seen
@@ -55,7 +59,7 @@ class ToxicModel:
             value = seen.get(word)
             if value is None:
                 value = float(self.weights[list(word_features(word))].sum())
-                value = seen[word] = value if value > abs(self.bias) / 2 else 0.0  # many faint words are no evidence
+                value = seen[word] = value if value > self.floor * abs(self.bias) else 0.0
             total += value
         return total
 
@@ -90,13 +94,30 @@ def _unlike(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def fit_pu(positive: list[bytes], unlabelled: list[bytes], prior: float, least: int = 6, ratio: float = 2.0, rounds: int = 300, rate: float = 0.05, sparsity: float = 2e-4) -> ToxicModel:
+def pu_risk(z: np.ndarray, is_positive: np.ndarray, prior: float) -> tuple[float, float]:
+    """(prior * R+(positive), R-(unlabelled) - prior * R-(positive)) of margins z under the sigmoid loss."""
+    p = 1 / (1 + np.exp(-z))  # loss of calling a row negative; 1 - p: of calling it positive
+    return float(prior * (1 - p[is_positive]).mean()), float(p[~is_positive].mean() - prior * p[is_positive].mean())
+
+
+def pu_slopes(z: np.ndarray, is_positive: np.ndarray, prior: float) -> np.ndarray:
+    """What a step follows at each margin: the risk's derivative, or where its negative part fell below zero that part's, reversed."""
+    p = 1 / (1 + np.exp(-z))
+    n_pos, slope = is_positive.sum(), p * (1 - p)
+    corrected = np.where(is_positive, -prior * slope / n_pos, slope / (len(z) - n_pos))
+    if pu_risk(z, is_positive, prior)[1] < 0:
+        return -corrected
+    return corrected + np.where(is_positive, -prior * slope / n_pos, 0)
+
+
+def fit_pu(positive: list[bytes], unlabelled: list[bytes], prior: float, least: int = 6, ratio: float = 2.0, rounds: int = 300, rate: float = 0.05, shrink: float = 5e-4) -> ToxicModel:
     """Minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with the sigmoid loss.
 
-    Near copies count once. Features in under least positives, or whose share there (less two standard errors) is
-    not ratio times that elsewhere, are left out, so no weight rests on chance words. Adam steps, each followed by soft thresholding at zero, leave positive weights only
-    where the positives stand out: clean words never outvote a toxic one, however long the text. When the corrected
-    negative part falls below zero its gradient is reversed, which keeps the estimator from over-fitting.
+    Near copies count once. Features in under least positives, or whose share there (less two standard errors) is not
+    ratio times that in unlabelled text, are left out, so no weight rests on chance words. Adam steps, each followed by
+    soft thresholding at zero, leave positive weights only where the positives stand out: clean words never outvote a
+    toxic one, however long the text. When the corrected negative part falls below zero its gradient is reversed, which
+    keeps the estimator from over-fitting.
     """
     positive, unlabelled = _unlike(positive), _unlike(unlabelled)
     if not positive or not unlabelled:
@@ -106,9 +127,8 @@ def fit_pu(positive: list[bytes], unlabelled: list[bytes], prior: float, least:
     n_pos, n = len(positive), len(texts)
     in_pos = np.bincount(columns[rows < n_pos], minlength=1 << BITS)
     in_rest = np.bincount(columns[rows >= n_pos], minlength=1 << BITS)
-    share_pos, share_rest = in_pos / n_pos, in_rest / max(n - n_pos, 1)
     sure_pos = (in_pos - 2 * np.sqrt(in_pos)) / n_pos
-    kept = np.flatnonzero((in_pos >= least) & (sure_pos > ratio * share_rest))
+    kept = np.flatnonzero((in_pos >= least) & (sure_pos > ratio * in_rest / (n - n_pos)))
     place = np.full(1 << BITS, -1)
     place[kept] = np.arange(len(kept))
     use = place[columns] >= 0
@@ -117,40 +137,54 @@ def fit_pu(positive: list[bytes], unlabelled: list[bytes], prior: float, least:
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     is_pos = np.arange(n) < n_pos
     for t in range(1, rounds + 1):
-        z = np.clip(np.bincount(rows, weights=w[columns], minlength=n) + bias, -30, 30)
-        p = 1 / (1 + np.exp(-z))  # sigmoid loss of calling a row negative; 1 - p of calling it positive
-        slope = p * (1 - p)
-        negative = p[~is_pos].mean() - prior * p[is_pos].mean()
-        corrected = np.where(is_pos, -prior * slope / n_pos, slope / (n - n_pos))
-        g = corrected if negative >= 0 else -corrected
-        g = g + np.where(is_pos, -prior * slope / n_pos, 0) * (negative >= 0)
+        g = pu_slopes(np.clip(np.bincount(rows, weights=w[columns], minlength=n) + bias, -30, 30), is_pos, prior)
         gw, gb = np.bincount(columns, weights=g[rows], minlength=len(kept)), g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         step = rate / (1 - 0.9**t) * np.sqrt(1 - 0.999**t)
         w -= step * m / (np.sqrt(v) + 1e-8)
         bias -= step * mb / (np.sqrt(vb) + 1e-8)
-        w = np.maximum(w - sparsity * rate * 50, 0)
+        w = np.maximum(w - shrink, 0)
     weights = np.zeros(1 << BITS)
     weights[kept] = w
     return ToxicModel(weights, float(bias))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, limit_per_class: int = 6000) -> ToxicModel:
-    """The model for toxic = 1 from at most limit_per_class confirmed toxic rows and as many that are not confirmed.
-
-    The class prior is the share of toxic rows among all labelled rows outside the held-out fold. The unlabelled set
-    is drawn from the rest of those ids in that same proportion, so it holds positives as the corpus does.
+def choose_floor(model: ToxicModel, positive: list[bytes], unlabelled: list[bytes], prior: float, floors: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75)) -> ToxicModel:
+    """The model with the floor of least non-negative zero-one risk on texts it was not fitted to; of equal ones the middle."""
+    if not positive or not unlabelled:
+        return model
+    risks = []
+    for floor in floors:
+        tried = ToxicModel(model.weights, model.bias, floor)
+        missed, flagged = ((tried.scores(t) >= 0.5).mean() for t in (positive, unlabelled))
+        missed = 1 - missed
+        risks.append(prior * missed + max(0.0, flagged - prior * (1 - missed)))
+    best = [f for f, r in zip(floors, risks, strict=True) if r <= min(risks) + 1e-12]
+    return ToxicModel(model.weights, model.bias, best[len(best) // 2])
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, limit_per_class: int = 6000, unlabelled_texts: int = 12_000) -> ToxicModel:
+    """The model for toxic = 1 from confirmed toxic rows and unlabelled documents, both outside the held-out fold.
+
+    At most limit_per_class confirmed rows and about unlabelled_texts documents are read (chosen by hashes of the ids, so
+    reruns agree); the documents' labels are not looked at, so they hold toxic ones as the corpus does. The class prior
+    is the share of toxic rows among the labelled ones outside the held-out fold. Of the training folds, remainder 1 is
+    set aside to choose the floor; the weights come from the others. Nothing to learn from gives a model that finds
+    nothing toxic.
     """
-    sample = sample_labels(labels, "toxic", limit_per_class)
-    share = labels.where("doc_id is not null and toxic is not null").where(fold_of(F.col("doc_id").cast("long")) != 0).agg(F.avg((F.col("toxic") >= 1).cast("double"))).first()[0]
-    if not sample or not share:
+    known = labels.where("doc_id is not null and toxic is not null").where(fold_of(F.col("doc_id").cast("long")) != 0)
+    prior = known.agg(F.avg((F.col("toxic") >= 1).cast("double"))).first()[0]
+    sample = [(i, y) for i, y in sample_labels(labels, "toxic", limit_per_class, classes=(1,))]
+    if not sample or not prior:
         return fit_pu([], [], 0.1)
-    rows = sorted((r.doc_id, r.y, bytes(r.text or b"")) for r in sampled_texts(docs, sample).toLocalIterator())
-    positive = [t for _, y, t in rows if y]
-    rest = [t for _, y, t in rows if not y]
-    hidden = positive[: round(share * len(rest) / max(1 - share, 1e-9))]
-    return fit_pu(positive, [*rest, *hidden], float(share))
+    confirmed = sorted((r.doc_id, bytes(r.text or b"")) for r in sampled_texts(docs, sample).toLocalIterator())
+    some = text_bytes(docs).where((fold_of(F.col("doc_id")) != 0) & F.col("text").isNotNull())
+    drawn = some.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", F.xxhash64("text")).limit(unlabelled_texts)
+    unlabelled = sorted((r.doc_id, bytes(r.text)) for r in drawn.toLocalIterator())
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    fit, aside = ([[t for i, t in rows if (fold(i) == 1) == own] for rows in (confirmed, unlabelled)] for own in (False, True))
+    return choose_floor(fit_pu(*fit, float(prior)), *aside, float(prior))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
@@ -170,6 +204,9 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score under threshold, with all their columns."""
+    """The rows of docs that score under threshold, with all their columns, whatever their ids; equal rows go or stay together.
+
+    Null and empty texts score by the bias alone and stay. An empty table gives an empty one.
+    """
     name = unused_name(docs, "toxic_score")
     return append_column(docs, "text", name, "double", lambda: model.scores).where(F.col(name) < threshold).drop(name)

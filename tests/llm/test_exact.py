@@ -121,6 +121,29 @@ def test_held_out_accuracy(spark, name, label, floor):
         assert sum(r.predicted == y for r in own) / len(own) > floor
 
 
+def test_pu_steps_follow_the_risk():
+    """The risk by its definition, row by row, and its derivative by differences; below zero the negative part's, reversed."""
+    rng = np.random.default_rng(0)
+    for shift, prior in ((0.0, 0.3), (-6.0, 0.9)):
+        z = rng.normal(size=12)
+        is_pos = np.arange(12) < 5
+        z[~is_pos] += shift
+        loss = lambda x: 1 / (1 + math.exp(x))
+
+        def parts(z):
+            plus = prior * sum(loss(x) for x in z[is_pos]) / 5
+            minus = sum(loss(-x) for x in z[~is_pos]) / 7 - prior * sum(loss(-x) for x in z[is_pos]) / 5
+            return plus, minus
+
+        assert toxicity.pu_risk(z, is_pos, prior) == pytest.approx(parts(z))
+        aim = (lambda z: sum(parts(z))) if parts(z)[1] >= 0 else (lambda z: -parts(z)[1])
+        slopes = toxicity.pu_slopes(z, is_pos, prior)
+        for i in range(12):
+            step = np.eye(12)[i] * 1e-6
+            assert slopes[i] == pytest.approx((aim(z + step) - aim(z - step)) / 2e-6, abs=1e-6)
+    assert parts(z)[1] < 0
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     lengths, unary, move = np.array([3, 1, 4]), rng.normal(size=8), rng.normal(size=(2, 2))
