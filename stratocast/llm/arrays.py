@@ -90,11 +90,11 @@ def save(path: str, arrays: list[np.ndarray]) -> None:
     os.replace(partial, path)
 
 
-def mapped(path: str) -> list[np.ndarray]:
-    """The arrays of a file, memory-mapped; a file that is not there holds no keys."""
+def mapped(path: str, most_bytes: int = 128 << 20, most_files: int = 1000) -> list[np.ndarray]:
+    """The arrays of a file, memory-mapped, not much over most_bytes at a time; a file that is not there holds no keys."""
     found = _OPEN.get(path)
     if found is None:
-        if len(_OPEN) > 4000:
+        if len(_OPEN) >= most_files or sum(a.nbytes for held in _OPEN.values() for a in held) > most_bytes:
             _OPEN.clear()
         if not os.path.exists(path):
             return []

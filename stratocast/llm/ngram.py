@@ -154,6 +154,21 @@ class Packets:
         times[parts[7]] = parts[8]
         return u, np.repeat(v, parts[0]), w, times
 
+    def pack_words(self, words: np.ndarray, count: np.ndarray, before: np.ndarray) -> bytes:
+        """Words with how often they stand and how many different words stand before them."""
+        code = self.codes(words)
+        raw = b"".join(p.tobytes() for p in (code, words[code == OWN], count.astype("<u4"), before.astype("<u4")))
+        return np.array([len(words), len(raw)], "<u4").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+    def unpack_words(self, packet: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, size = np.frombuffer(packet, "<u4", 2).tolist()
+        raw = pa.decompress(memoryview(packet)[8:], size, codec="zstd", asbytes=True)
+        code = np.frombuffer(raw, "<u2", n)
+        own = int((code == OWN).sum())
+        words = self._words(code, np.frombuffer(raw, "<u8", own, 2 * n))
+        count, before = (np.frombuffer(raw, "<u4", n, 2 * n + 8 * own + at) for at in (0, 4 * n))
+        return words, count, before
+
     def _words(self, code: np.ndarray, own: np.ndarray) -> np.ndarray:
         out = np.empty(len(code), np.uint64)
         full = code == OWN
@@ -287,26 +302,18 @@ def _shipped(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["kind", "shard", "key", "numbers", "packet"])
 
 
-def _columns(*arrays: np.ndarray) -> bytes:
-    return pa.compress(b"".join(a.astype("<u8").tobytes() for a in arrays), codec="zstd", asbytes=True)
-
-
-def _uncolumns(rows: list[dict], columns: int) -> list[np.ndarray]:
-    parts = [np.frombuffer(pa.decompress(r["packet"], 8 * columns * r["key"], codec="zstd", asbytes=True), "<u8").reshape(columns, -1) for r in rows]
-    return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0, np.uint64)] * columns
-
-
-def _split(kind: str, keys: np.ndarray, shards: int, *columns: np.ndarray) -> list[tuple]:
-    """A row for each shard that keys fall in; keys are ascending in the hash that places them."""
+def _split(kind: str, keys: np.ndarray, shards: int, pack) -> list[tuple]:
+    """A row for each shard that keys fall in, holding pack(places of its entries)."""
     shard = shard_of(keys, shards)
-    return [(kind, int(shard[a]), int(b - a), [], _columns(*(c[a:b] for c in columns))) for a, b in runs_of(shard)]
+    order = np.argsort(shard, kind="stable")
+    return [(kind, int(shard[order[a]]), 0, [], pack(order[a:b])) for a, b in runs_of(shard[order])]
 
 
-def train(docs: DataFrame, fold: int = 1, shard_bytes: int = 64 << 20, chunk_bytes: int = 18 << 20, fan: int = 512) -> Model:
+def train(docs: DataFrame, fold: int = 1, shard_bytes: int = 16 << 20, chunk_bytes: int = 18 << 20, fan: int = 4096) -> Model:
     """Count word triples of all documents but those of the fold, and lay the model out in the shared folder.
 
-    A scan task counts triples in chunks and sends each chunk in at most `fan` packets, so packets grow with the text.
-    Beyond fan shards of shard_bytes text, packets are merged and dealt again, fan ways a level. A shard's task sums its
+    Shards hold shard_bytes of text. A scan task counts triples in chunks and sends each chunk in at most `fan` packets,
+    one a shard or a range of shards, so packets grow with the text; ranges are merged and dealt again, fan ways a level. A shard's task sums its
     triples and writes one file of sorted arrays: triples, their contexts (pairs), continuations of pairs, and of words.
     What lies spread over shards (heavy words, heavy pairs, all words' counts) is sent on and summed by hash. The driver
     reads a fixed number of sums. Null ids are trained on; null and empty texts are the end alone; repeated rows count
@@ -315,13 +322,13 @@ def train(docs: DataFrame, fold: int = 1, shard_bytes: int = 64 << 20, chunk_byt
     spark = docs.sparkSession
     rows = text_bytes(docs).where(fold_for_lm(F.col("doc_id")) != fold)
     n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    levels, reach = 1, fan
-    while reach * shard_bytes < n_bytes:
-        levels, reach = levels + 1, reach * fan
-    places = choose_places(rows, n_rows, reach, min(reach, max(8, -(-n_bytes // shard_bytes))))
+    shards = max(8, -(-n_bytes // shard_bytes))
+    width = 1  # shards in one range of the first dealing
+    while width * fan < shards:
+        width *= fan
+    places = choose_places(rows, n_rows, shards, -(-shards // 4))
     folder = posix_path(shared_path(spark, "ngram"))
     os.makedirs(folder, exist_ok=True)
-    tasks = max(1, min(fan, -(-n_bytes // shard_bytes * 4)))
 
     def packets(u, v, w, times, width: int) -> pa.RecordBatch:
         """A packet for each range of `width` shards."""
@@ -340,10 +347,10 @@ def train(docs: DataFrame, fold: int = 1, shard_bytes: int = 64 << 20, chunk_byt
             held.append((u, v, w, np.ones(len(u), np.int64)))
             size += batch.column(1).nbytes
             if size >= chunk_bytes:
-                yield packets(*_merged(held)[1:], reach // fan)
+                yield packets(*_merged(held)[1:], first_width)
                 held, size = [], 0
         if held:
-            yield packets(*_merged(held)[1:], reach // fan)
+            yield packets(*_merged(held)[1:], first_width)
 
     def again(width):
         def run(batches):
@@ -369,7 +376,7 @@ def train(docs: DataFrame, fold: int = 1, shard_bytes: int = 64 << 20, chunk_byt
             levels_of = lambda x: (x == 1, x == 2, x >= 3)
             contexts, _, *stats = summed(pair, times, *levels_of(times))
             stats = np.stack(stats, axis=1)
-            wide, i = among(contexts, places.pairs)
+            wide, _ = among(contexts, places.pairs)
             spread, _ = among(v, places.words)
             own = np.flatnonzero(~spread)
             nexts, first, after = summed(next_[own], np.ones(len(own), np.int64))
@@ -379,51 +386,59 @@ def train(docs: DataFrame, fold: int = 1, shard_bytes: int = 64 << 20, chunk_byt
                 build(keys, times[:, None]) + build(contexts[~wide], stats[~wide]) + build(nexts, after[:, None]) + build(middles, np.stack(mid, axis=1)),
             )
             words, _, count = summed(w, times)
-            known, at = among(words, (followed := summed(w[own][first], np.ones(len(first), np.int64)))[0])
-            out = _split("word", words, places.side, words, count, np.where(known, followed[2][at], 0) if known.any() else np.zeros(len(words)))
+            known, i = among(words, (followed := summed(w[own][first], np.ones(len(first), np.int64)))[0])
+            before = np.where(known, followed[2][i], 0) if known.any() else np.zeros(len(words), np.int64)
+            out = _split("word", words, places.side, lambda at: code.pack_words(words[at], count[at], before[at]))
             at = np.flatnonzero(spread)
-            far, first, after2 = summed(next_[at], np.ones(len(at), np.int64))
-            out += _split("next", far, places.side, far, v[at][first], w[at][first], after2)
+            far, first, far_after = summed(next_[at], np.ones(len(at), np.int64))
+            far_v, far_w = v[at][first], w[at][first]
+
+            def far_packet(at):
+                at = at[np.argsort(far_v[at], kind="stable")]
+                return code.pack(np.full(len(at), END), far_v[at], far_w[at], far_after[at])
+
+            out += _split("next", far, places.side, far_packet)
             out.append(("order 3", 0, 0, [int((times == k).sum()) for k in (1, 2, 3, 4)], None))
             out.append(("order 2", 0, 0, [int((after == k).sum()) for k in (1, 2, 3, 4)], None))
             out += [("heavy pair", 0, int(k), [int(x) for x in row], None) for k, row in zip(contexts[wide].view(np.int64), stats[wide], strict=True)]
             yield _shipped(out)
 
     def next_files(batches):
+        code = Packets(places.common)
         for s, found in _by_shard(batches):
-            key, v, w, after = _uncolumns(found, 4)
-            keys, first, after = summed(key, after)
+            _, v, w, after = (np.concatenate(x) for x in zip(*(code.unpack(r["packet"]) for r in found), strict=True))
+            keys, first, after = summed(mixed(v, w), after)
             save(f"{folder}/next-{s}", build(keys, after[:, None]))
             heavy, _, *stats = summed(v[first], after, after == 1, after == 2, after >= 3)
             words, _, before = summed(w[first], np.ones(len(first), np.int64))
-            out = _split("word", words, places.side, words, np.zeros(len(words)), before)
+            out = _split("word", words, places.side, lambda at: code.pack_words(words[at], np.zeros(len(at)), before[at]))
             out.append(("order 2", 0, 0, [int((after == k).sum()) for k in (1, 2, 3, 4)], None))
             out += [("heavy word", 0, int(k), [int(x) for x in row], None) for k, row in zip(heavy.view(np.int64), np.stack(stats, axis=1), strict=True)]
             yield _shipped(out)
 
     def word_files(batches):
+        code = Packets(places.common)
         for s, found in _by_shard(batches):
-            words, _, count, before = summed(*_uncolumns(found, 3))
+            words, _, count, before = summed(*(np.concatenate(x) for x in zip(*(code.unpack_words(r["packet"]) for r in found), strict=True)))
             save(f"{folder}/word-{s}", build(words, np.stack([count, before], axis=1)))
             sums = [len(words), int(count.sum()), int(before.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4)), int((before >= 3).sum())]
             yield _shipped([("order 1", 0, 0, sums, None)])
 
-    dealt = lambda df: df.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard")
+    first_width = width
+    dealt = lambda df, n: df.repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard")
     sent = rows.mapInArrow(chunks, "shard int, packet binary")
-    width = reach // fan
     while width > 1:
         width //= fan
-        salted = sent.withColumn("salt", F.pmod(F.xxhash64("packet"), F.lit(-(-n_bytes // (shard_bytes * fan)))))
-        sent = salted.repartition(-(-n_bytes // shard_bytes), "shard", "salt").sortWithinPartitions("shard").select("shard", "packet").mapInArrow(again(width), "shard int, packet binary")
-        tasks = -(-n_bytes // shard_bytes)
-    grams = materialize(dealt(sent).mapInArrow(gram_files, SHIPPED), "ngram-grams")
-    nexts = materialize(dealt(grams.where("kind = 'next'")).mapInArrow(next_files, SHIPPED), "ngram-nexts")
-    words = dealt(grams.union(nexts).where("kind = 'word'")).mapInArrow(word_files, SHIPPED)
+        ranges = -(-shards // (width * fan))
+        sent = sent.withColumn("salt", F.pmod(F.xxhash64("packet"), F.lit(-(-shards // ranges))))
+        sent = sent.repartition(shards, "shard", "salt").sortWithinPartitions("shard").select("shard", "packet").mapInArrow(again(width), "shard int, packet binary")
+    grams = materialize(dealt(sent, shards).mapInArrow(gram_files, SHIPPED), "ngram-grams")
+    nexts = materialize(dealt(grams.where("kind = 'next'"), places.side).mapInArrow(next_files, SHIPPED), "ngram-nexts")
+    words = dealt(grams.union(nexts).where("kind = 'word'"), places.side).mapInArrow(word_files, SHIPPED)
     sums = grams.union(nexts).where("packet is null").union(words).groupBy("kind", "key")
-    width = 8
-    sums = sums.agg(*[F.sum(F.get("numbers", F.lit(i))).alias(f"n{i}") for i in range(width)]).collect()  # a row for each order, heavy word and heavy pair
-    total = {r.kind: [r[f"n{i}"] or 0 for i in range(width)] for r in sums if r.kind.startswith("order")}
-    distinct, tokens, pairs, *n, three = total.get("order 1", [0] * width)
+    sums = sums.agg(*[F.sum(F.get("numbers", F.lit(i))).alias(f"n{i}") for i in range(8)]).collect()  # a row for each order, heavy word and heavy pair
+    total = {r.kind: [r[f"n{i}"] or 0 for i in range(8)] for r in sums if r.kind.startswith("order")}
+    distinct, tokens, pairs, *n, three = total.get("order 1", [0] * 8)
     heavy = []
     for kind, keys in (("heavy word", places.words), ("heavy pair", places.pairs)):
         stats = {r.key: [r[f"n{i}"] for i in range(4)] for r in sums if r.kind == kind}
@@ -445,7 +460,7 @@ def score(docs: DataFrame, model: Model, fold: int = 1) -> DataFrame:
     n, v = model.tokens, model.distinct
 
     def run(batches):
-        for batch in bounded(batches, "text", max_bytes=12 << 20, max_rows=1 << 14):
+        for batch in bounded(batches, "text", max_bytes=5 << 20):
             *grams, counts = triples(batch.column(1))
             starts = np.cumsum(counts) - counts
             logs, seen = model.score(*grams)
