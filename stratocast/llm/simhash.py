@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratocast.llm.common import append_column, bounded, materialize, text_bytes, unused_name
+from stratocast.llm.common import bounded, materialize, posix_path, shared_path, unused_name
 
 #: Reference fingerprints of the distance table: multiples of an odd constant, so they differ in about half of the bits.
 PIVOTS = np.array([(i * 0x9E3779B97F4A7C15 ^ (i << 29)) & (2**64 - 1) for i in range(1, 17)], dtype=np.uint64)
@@ -48,15 +51,17 @@ def fingerprints_of(texts: list[bytes | None], width: int = 3, seed: int = 42) -
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) of every whole text."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: dict[str, F.Column] | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long) and the columns `also` names, of every whole text."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *[c.alias(n) for n, c in (also or {}).items()])
+    names = ["doc_id", *source.columns[2:], "fp"]
 
     def run(batches):
         for batch in bounded(batches, "text", max_bytes=4 << 20):
             fp = fingerprints_of(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(fp.view(np.int64))], names=names)
 
-    return text_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(run, source.drop("text").withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def _children(mask: int) -> list[int]:
@@ -176,17 +181,30 @@ def hamming_links(distinct: DataFrame, most: int = 3, group_rows: int = 2048) ->
     return links.distinct() if spark else links
 
 
+def join_on_key(rows: DataFrame, facts: DataFrame, key: str, n_rows: int, most_hot: int = 65_536, floor: int = 100) -> DataFrame:
+    """rows joined to the one facts row of their key; facts has n, how many rows hold it.
+
+    Keys with over floor rows and over n_rows / most_hot of them, at most most_hot keys, meet their rows by broadcast, so
+    no task of the shuffled join gets more than that share of the rows for one key.
+    """
+    hot = F.col("n") > max(n_rows // most_hot, floor)
+    often, seldom = facts.where(hot).drop("n"), facts.where(~hot).drop("n")
+    flagged = rows.join(F.broadcast(often.select(key, F.lit(True).alias("hot"))), key, "left").where("hot is null").drop("hot")
+    return rows.join(F.broadcast(often), key).unionByName(flagged.join(seldom, key))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """node, root (the least node of its component), for every node of the links (a, b).
 
     Alternating large-star and small-star steps, each written to the shared folder; the driver sees two sums a round.
+    Nodes with many links meet them by broadcast (see join_on_key).
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    seen = None
+    seen, n_edges = None, edges.count()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = join_on_key(both.where("v > u"), low, "u", 2 * n_edges).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("u", "v", "m")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
@@ -194,7 +212,7 @@ def connected(links: DataFrame) -> DataFrame:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen == state:
             break
-        seen = state
+        seen, n_edges = state, state.n
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -206,36 +224,72 @@ def near_duplicates(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text
     id get a component as all do, but lend it no id: the component of none but such rows is null. Repeated rows are
     returned as often as they stand. An empty table gives no rows. Other columns are not read.
 
-    Exact copies meet in one row per fingerprint by map-side aggregation. The join back sends fingerprints that hold
-    over a thousandth of the rows (at most 1000 of them) by broadcast, so a hot text is never shuffled to one task.
+    Exact copies meet in one row per fingerprint by map-side aggregation. The joins back, to a component's fingerprints
+    and to a fingerprint's rows, send hot keys by broadcast (see join_on_key), so no group is shuffled to one task.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    out = components(materialize(fingerprints(docs, id_col, text_col), "fingerprints"), most)
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return out.select("doc_id", digits.alias("fingerprint"), "component_id", "component_fp")
+
+
+def components(rows: DataFrame, most: int) -> DataFrame:
+    """rows (doc_id, fp and others) with component_fp, the least fingerprint reachable, and component_id, the least doc_id."""
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "classes")
     roots = connected(hamming_links(classes.select("fp"), most))
     labelled = classes.join(roots, classes.fp == roots.node, "left").select("fp", "n", "least_id", F.coalesce("root", "fp").alias("component_fp"))
-    ids = labelled.groupBy("component_fp").agg(F.min("least_id").alias("component_id"))
-    known = materialize(labelled.select("fp", "n", "component_fp").join(ids, "component_fp").select("fp", "n", "component_fp", "component_id"), "components")
-    total = rows.count()
-    hot = known.where(F.col("n") > max(total / 1000, 1)).drop("n")
-    rare = known.where(F.col("n") <= max(total / 1000, 1)).drop("n")
-    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "fp", "left")
-    out = marked.where("hot").drop("hot").union(marked.where("hot is null").select("fp", "doc_id").join(rare, "fp").select("fp", "doc_id", "component_fp", "component_id"))
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return out.select("doc_id", digits.alias("fingerprint"), "component_id", "component_fp")
+    labelled = materialize(labelled, "labelled")
+    ids = labelled.groupBy("component_fp").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    n_classes = classes.count()
+    known = materialize(join_on_key(labelled.select("fp", F.col("n").alias("rows"), "component_fp"), ids, "component_fp", n_classes), "components")
+    return join_on_key(rows, known.withColumnRenamed("rows", "n"), "fp", rows.count())
 
 
 def keep_one_of_each(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one of each near-duplicate group, with all its columns.
 
     Rows are judged by their own text: of the fingerprints in a group that stand beside its smallest id (beside null, if
-    it has no other), the least is kept, in one row. Rows that share an id but no group thus all stay.
+    it has no other), the least is kept, in one row. Rows that share an id but no group thus all stay. An empty table
+    gives an empty one.
+
+    No text is shuffled: rows are known by file and place in it. The places that stay are written to the shared folder, a
+    list for each file of docs, and each scan task reads the lists of its own files. Tables that are no plain scan of
+    files are written to the shared folder first.
     """
-    found = near_duplicates(docs, most, id_col, text_col)
-    own = found.where("doc_id <=> component_id").groupBy("component_fp").agg(F.min("fingerprint").alias("fingerprint"), F.min("component_id").alias("doc_id"))
-    row_key = lambda digits, doc_id: F.concat_ws(" ", digits, doc_id.cast("long").cast("string"))
-    name, key, chosen_key = unused_name(docs, "fp_of_text"), unused_name(docs, "row_key"), unused_name(docs, "chosen_key")
-    chosen = materialize(own.select(row_key(F.col("fingerprint"), F.col("doc_id")).alias(chosen_key)), "chosen")
-    with_fp = append_column(docs, text_col, name, "long", lambda: lambda texts: fingerprints_of(texts).view(np.int64))
-    # equal keys merge before the shuffle, and the join needs no other one
-    one = with_fp.withColumn(key, row_key(F.lower(F.lpad(F.hex(name), 16, "0")), F.col(id_col))).dropDuplicates([key])
-    return one.join(chosen, F.col(key) == F.col(chosen_key), "left_semi").select(*docs.columns)
+    try:
+        places = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+        docs.select(*places)
+    except AnalysisException:  # not a scan of files
+        docs = materialize(docs, "documents")
+        places = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    rows = materialize(fingerprints(docs, id_col, text_col, {"file": places[0], "place": places[1]}), "fingerprints")
+    found = components(rows, most).where("doc_id <=> component_id")
+    # the hex digits order fingerprints as unsigned numbers
+    chosen = found.groupBy("component_fp").agg(F.min(F.struct(F.lpad(F.hex("fp"), 16, "0").alias("digits"), "file", "place")).alias("row")).select("row.file", "row.place")
+    folder = posix_path(shared_path(docs.sparkSession, "kept"))
+    os.makedirs(folder, exist_ok=True)
+    list_of = lambda file: f"{folder}/{xxhash.xxh64_hexdigest(file)}.npy"
+
+    def write(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        path = list_of(key[0].as_py())
+        partial = f"{path}.{os.getpid()}.{id(table)}"
+        with open(partial, "wb") as f:
+            np.save(f, np.sort(table["place"].to_numpy()))
+        os.replace(partial, path)
+        return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+
+    chosen.groupBy("file").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+    file, place = unused_name(docs, "file"), unused_name(docs, "place")
+    kind = docs.schema
+
+    def keep(batches):
+        lists: dict[str, np.ndarray] = {}
+        for batch in batches:
+            files, at = batch.column(batch.num_columns - 2).dictionary_encode(), batch.column(batch.num_columns - 1).to_numpy()
+            kept, codes = np.zeros(batch.num_rows, bool), files.indices.to_numpy()
+            for i, name in enumerate(files.dictionary.to_pylist()):
+                if name not in lists:
+                    lists[name] = np.load(list_of(name)) if os.path.exists(list_of(name)) else np.zeros(0, np.int64)
+                kept |= (codes == i) & np.isin(at, lists[name])
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], names=batch.schema.names[:-2]).filter(pa.array(kept))
+
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], places[0].alias(file), places[1].alias(place)).mapInArrow(keep, kind)
