@@ -186,7 +186,7 @@ def _blocks(roots: list[Node], template: frozenset[int], placed: frozenset[int],
     return "\n".join(blocks)
 
 
-def extract(pages: DataFrame, least_pages: int = 4, least_share: float = 0.2, salts: int = 16, many_pages: int = 100, many_share: float = 0.001) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 4, least_share: float = 0.2, pages_a_task: int = 20_000, many_pages: int = 100, many_share: float = 0.001) -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
     The main text is that of the article elements (else main, else the whole page) without page furniture, known by
@@ -200,7 +200,8 @@ def extract(pages: DataFrame, least_pages: int = 4, least_share: float = 0.2, sa
     repeated rows are each returned. An empty table gives no rows. Other columns are not read.
 
     Hashes are counted per host by map-side aggregation. The template hashes of a host (at most its blocks per page over
-    many_share) meet its pages by (host, salt), so a host with a third of all pages is spread over many tasks.
+    many_share) meet its pages by (host, salt), a salt for each pages_a_task pages, so a host with a third of all pages is
+    spread over as many tasks as its size asks for. The hosts with several salts, at most 65536, are broadcast.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.col("html").cast("string").alias("html"))
@@ -230,8 +231,12 @@ def extract(pages: DataFrame, least_pages: int = 4, least_share: float = 0.2, sa
     often = (F.col("on_pages") >= least_share * F.col("pages")) | (F.col("on_pages") >= F.greatest(F.lit(many_pages), many_share * F.col("pages")))
     template = per_subtree.where((F.col("subtree") != PAGE) & (F.col("on_pages") >= least_pages)).join(host_pages, "host").where(often)
     by_host = template.groupBy("host").agg(F.collect_set("subtree").alias("template"), F.collect_set(F.when(2 * F.col("in_place") >= F.col("on_pages"), F.col("subtree"))).alias("placed"))
-    spread = materialize(by_host, "templates").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int"))
+    sizes = materialize(source.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    most = max(pages_a_task, (sizes.agg(F.sum("n")).first()[0] or 0) // 65_536)
+    large = F.broadcast(sizes.where(F.col("n") > most).select("host", F.ceil(F.col("n") / most).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    spread = materialize(by_host, "templates").join(large, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    salted = source.join(large, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), salts).cast("int")).drop("salts")
     joined = salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "template", "placed")
 
     def texts(batches):

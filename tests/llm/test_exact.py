@@ -235,6 +235,19 @@ def test_templates_go_and_copies_stay(spark):
     assert got[3] == "Text 9" and got[105] == "A copied article"
 
 
+def test_furniture_without_tell_tale_names_goes_by_recurrence_alone(spark):
+    """No element or name marks the furniture, with and without an article; hosts are spread over several salts."""
+    top, foot = "<div><div class='x1'><span>Home of tales</span></div><p>Read us daily</p></div>", "<div><p>All rights kept</p></div>"
+    rows = [(i, "http://plain.example/", f"<body>{top}<div><p>Tale {i * i}</p><p>It ends {i * 7}</p></div>{foot}</body>") for i in range(60)]
+    rows += [(100 + i, "http://marked.example/", f"<body><article><p>Tale {i * i}</p><p>It ends {i * 7}</p><p>And more of {i}</p><p>Written by the desk</p></article></body>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages, pages_a_task=7).collect()}
+    assert all(got[i] == f"Tale {i * i}\nIt ends {i * 7}" for i in range(60))
+    assert all(got[100 + i] == f"Tale {i * i}\nIt ends {i * 7}\nAnd more of {i}" for i in range(60))
+    for i, _, page in rows:  # what the page gives without its host's templates
+        assert "Read us daily" in html.main_text(html.parse(page)) or "Written by the desk" in html.main_text(html.parse(page))
+
+
 def test_copies_and_large_hosts_hide_no_template(spark):
     slogan, menu = "<div><p>Site slogan</p></div>", "<div><p>Section menu</p></div>"
     rows = [(i, "http://copies.example/", f"<body>{slogan}<p>Text {i * i}</p></body>") for i in range(20)]
