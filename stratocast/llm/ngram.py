@@ -101,7 +101,8 @@ def discounts(n: np.ndarray) -> np.ndarray:
 class Places:
     """Where triples are counted: by their middle word, so that one task sees all a word's contexts and continuations.
 
-    Middle words with over a thousandth of all tokens are dealt by (first, middle), and such pairs by the whole triple.
+    Heavy middle words, with over a quarter of a shard's share of all tokens (a thousandth at most, a hundred thousandth at
+    least), are dealt by (first, middle), and such pairs by the whole triple.
     common: the most frequent words, which packets name in two bytes.
     """
 
@@ -242,11 +243,12 @@ def fold_for_lm(column) -> F.Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 5, F.lit(0)).cast("int")
 
 
-def choose_places(rows: DataFrame, n_rows: int, shards: int, side: int, sampled: int = 5000, share: float = 0.001) -> Places:
-    """Heavy words, heavy pairs (over share of the tokens, so under 1/share each) and common words, of about `sampled` texts.
+def choose_places(rows: DataFrame, n_rows: int, shards: int, side: int, sampled: int = 5000) -> Places:
+    """Heavy words, heavy pairs and common words (under 65536 each) of about `sampled` texts.
 
     They only decide where triples are counted and how packets name words, not what is counted.
     """
+    share = min(1e-3, max(1 / (4 * shards), 1e-5))
 
     def count(batches):
         totals: list[dict[int, int]] = [{}, {}]
@@ -258,16 +260,16 @@ def choose_places(rows: DataFrame, n_rows: int, shards: int, side: int, sampled:
                 for k, c in zip(*(a.tolist() for a in np.unique(x, return_counts=True)), strict=True):
                     total[k] = total.get(k, 0) + c
                 if len(total) > 500_000:
-                    for k in [k for k, c in total.items() if c <= n * share / 500]:
+                    for k in [k for k, c in total.items() if c <= n * share / 100]:
                         del total[k]
         words = sorted(((c, k) for k, c in totals[0].items() if c > 1), reverse=True)[:OWN]
-        pairs = sorted(((c, k) for k, c in totals[1].items() if c > n * share / 8), reverse=True)[: int(8 / share)]
+        pairs = sorted(((c, k) for k, c in totals[1].items() if c > n * share / 8), reverse=True)[:OWN]
         rows = [(0, k, c) for c, k in words] + [(1, k, c) for c, k in pairs] + [(2, 0, n)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)), pa.array([r[2] for r in rows], pa.int64())], names=["what", "k", "c"])
 
     sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n_rows // sampled))) == 0)
     counted = materialize(sample.mapInArrow(count, "what int, k long, c long").groupBy("what", "k").agg(F.sum("c").alias("c")), "common-words")
-    top = {what: counted.where(F.col("what") == what).orderBy(F.desc("c"), "k").limit(OWN if what == 0 else int(2 / share)).collect() for what in (0, 1, 2)}  # bounded by their limits
+    top = {what: counted.where(F.col("what") == what).orderBy(F.desc("c"), "k").limit(OWN).collect() for what in (0, 1, 2)}  # bounded by their limits
     least = share * sum(r.c for r in top[2])
     hashes = lambda found: np.unique(np.array([r.k for r in found], np.int64)).view(np.uint64)
     ascending = lambda found: np.sort(hashes(found))
@@ -309,12 +311,13 @@ def _split(kind: str, keys: np.ndarray, shards: int, pack) -> list[tuple]:
     return [(kind, int(shard[order[a]]), 0, [], pack(order[a:b])) for a, b in runs_of(shard[order])]
 
 
-def train(docs: DataFrame, fold: int = 1, shard_bytes: int = 16 << 20, chunk_bytes: int = 18 << 20, fan: int = 4096) -> Model:
+def train(docs: DataFrame, fold: int = 1, shard_bytes: int = 16 << 20, chunk_bytes: int = 9 << 20, fan: int = 4096) -> Model:
     """Count word triples of all documents but those of the fold, and lay the model out in the shared folder.
 
     Shards hold shard_bytes of text. A scan task counts triples in chunks and sends each chunk in at most `fan` packets,
-    one a shard or a range of shards, so packets grow with the text; ranges are merged and dealt again, fan ways a level. A shard's task sums its
-    triples and writes one file of sorted arrays: triples, their contexts (pairs), continuations of pairs, and of words.
+    one a shard or a range of shards, so packets grow with the text; ranges are merged and dealt again, fan ways a
+    level. A shard's task sums its triples and writes one file of sorted arrays: triples, their contexts (pairs),
+    continuations of pairs, and of words.
     What lies spread over shards (heavy words, heavy pairs, all words' counts) is sent on and summed by hash. The driver
     reads a fixed number of sums. Null ids are trained on; null and empty texts are the end alone; repeated rows count
     each; nothing to train on leaves a uniform model.
@@ -460,7 +463,7 @@ def score(docs: DataFrame, model: Model, fold: int = 1) -> DataFrame:
     n, v = model.tokens, model.distinct
 
     def run(batches):
-        for batch in bounded(batches, "text", max_bytes=5 << 20):
+        for batch in bounded(batches, "text", max_bytes=3 << 20):
             *grams, counts = triples(batch.column(1))
             starts = np.cumsum(counts) - counts
             logs, seen = model.score(*grams)
