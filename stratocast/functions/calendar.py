@@ -45,7 +45,7 @@ def path(template: str, issue: Column, lead: Column) -> Column:
     out = F.lit(template)
     for mark, pattern in (("YYYY", "yyyy"), ("MM", "MM"), ("DD", "dd"), ("HH", "HH")):
         out = F.replace(out, F.lit(mark), F.date_format(issue, pattern))
-    return F.replace(out, F.lit("VVV"), F.lpad(lead.cast("string"), 3, "0"))
+    return F.replace(out, F.lit("VVV"), F.when(lead < 1000, F.lpad(lead.cast("string"), 3, "0")).otherwise(lead.cast("string")))
 
 
 def parsed_time(text: Column) -> Column:

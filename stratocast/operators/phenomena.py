@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratocast.functions.cleaning import cloud_percent
+
 # Codes by influence (highest first), amounts in mm, cloud in per cent, exclusive groups and pairs.
 RANKED = "12 37 36 17 11 10 05 16 15 09 19 31 20 65 64 63 58 57 14 06 08 04 62 56 30 07 55 61 02 01 00".split()
 RAIN = {"07": (0.1, 10.0), "08": (10.0, 25.0), "09": (25.0, 50.0), "10": (50.0, 100.0), "11": (100.0, 250.0), "12": (250.0, None)}
@@ -19,12 +21,18 @@ def _group(code: str) -> str:
     return next((g for g, codes in GROUPS.items() if code in codes.split()), "")
 
 
-def code_weather(steps: DataFrame, keys: list[str]) -> DataFrame:
+def code_weather(steps: DataFrame, keys: list[str], cloud_unit: str = "%") -> DataFrame:
     """keys, a, b, logic and code of each cell and segment, from rows with step 0 to 3, r03, ptype, tcc, fog, haze, sand, thunder, hail.
 
     Phenomena are bit sets over the four steps, so the whole rule table is one aggregation and array expressions.
-    Nulls count as nothing there (cloud: 50 per cent).
+    Nulls count as nothing there (cloud: 50 per cent). cloud_unit: "%", "1" (fractions), or "auto", which takes a table
+    whose greatest cloud (nulls as 50) is at most 1.1 for fractions; the driver reads that one number.
     """
+    if cloud_unit == "1":
+        steps = steps.withColumn("tcc", F.coalesce(F.col("tcc") * 100.0, F.lit(50.0)))
+    elif cloud_unit == "auto":
+        filled = F.coalesce(F.col("tcc").cast("double"), F.lit(50.0))
+        steps = steps.withColumn("tcc", cloud_percent(filled, F.lit(steps.agg(F.max(filled)).first()[0])))
     get = lambda c, d=0.0: F.coalesce(F.col(c).cast("double"), F.lit(d))
     r, kind, cloud = get("r03"), get("ptype"), get("tcc", 50.0)
     bits = lambda cond: F.bit_or(F.when(cond, F.call_function("shiftleft", F.lit(1), F.col("step").cast("int"))).otherwise(0))
@@ -79,3 +87,20 @@ def code_weather(steps: DataFrame, keys: list[str]) -> DataFrame:
     back = F.when(F.col(b).isNull(), F.col(f"{a}.code")).when(leads, F.col(f"{b}.code")).otherwise(F.col(f"{a}.code"))
     out = cell.select(*keys, front.alias("a"), back.alias("b"), logic.cast("int").alias("logic"))
     return out.withColumn("code", F.concat(F.col("logic").cast("string"), "a", "b"))
+
+
+# Names of codes and of the four relations.
+NAMES = {
+    "00": "晴", "01": "多云", "02": "阴", "04": "雷阵雨", "05": "雷阵雨并伴有冰雹", "06": "雨夹雪", "07": "小雨", "08": "中雨", "09": "大雨", "10": "暴雨", "11": "大暴雨", "12": "特大暴雨", "14": "小雪", "15": "中雪", "16": "大雪", "17": "暴雪",
+    "19": "冻雨", "20": "沙尘暴", "30": "扬沙或浮尘", "31": "强沙尘暴", "36": "大暴雪", "37": "特大暴雪", "55": "轻度霾", "56": "中度霾", "57": "重度霾", "58": "严重霾", "61": "轻雾", "62": "大雾", "63": "浓雾", "64": "强浓雾", "65": "特强浓雾",
+}
+RELATIONS = {"1": "转", "2": "间", "3": "伴有"}
+
+
+def decoded(code: Column) -> Column:
+    """A code (number or text of up to five digits) as logic, a, b, their names and the phrase."""
+    text = F.lpad(code.cast("string"), 5, "0")
+    name = lambda table, key: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), F.concat(F.lit("未知("), key, F.lit(")")))
+    logic, a, b = F.substring(text, 1, 1), F.substring(text, 2, 2), F.substring(text, 4, 2)
+    phrase = F.when(logic == "0", name(NAMES, a)).otherwise(F.concat(name(NAMES, a), name(RELATIONS, logic), name(NAMES, b)))
+    return F.struct(logic.cast("int").alias("logic"), a.alias("a"), b.alias("b"), name(NAMES, a).alias("a_name"), name(NAMES, b).alias("b_name"), phrase.alias("phrase"))

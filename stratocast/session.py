@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -40,3 +41,17 @@ def ship_package(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(target)
         _SHIPPED.add(app)
     return spark
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in spark.checkpoint.dir; in a local session (tests) a temporary folder of our own where it is unset."""
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/{spark.sparkContext.applicationId}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
