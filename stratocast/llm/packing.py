@@ -203,7 +203,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
             names = RESULT.replace(" long", "").split(", ")
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-        for batch in bounded(batches, "text", max_bytes=16 << 20, max_rows=1 << 14):
+        for batch in bounded(batches, "text", max_bytes=6 << 20, max_rows=1 << 13):
             flat, counts = with_end(*encode(batch.column(1)), end_id)
             for doc_id, ids in zip(batch.column(0).to_pylist(), np.split(flat, np.cumsum(counts)[:-1]), strict=True):
                 held[serial] = (doc_id, ids)

@@ -157,7 +157,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, block_to
 
     def tokenise(batches):
         encode = encoder(tokenizer_path).batch
-        for batch in bounded(batches, "text", max_bytes=16 << 20, max_rows=1 << 14):
+        for batch in bounded(batches, "text", max_bytes=6 << 20, max_rows=1 << 13):
             ids, counts = with_end(*encode(batch.column(1)), end_id)
             offsets = np.r_[0, np.cumsum(counts) * 2].astype(np.int32)
             raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])

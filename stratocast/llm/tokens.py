@@ -66,7 +66,7 @@ class Encoder:
     of the last batch stay.
     """
 
-    def __init__(self, path: str, kind: str = "<u2", most: int = 1_000_000):
+    def __init__(self, path: str, kind: str = "<u2", most: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.kind, self.most = np.dtype(kind), most
         spec = json.loads(self.tokenizer.to_str())

@@ -53,7 +53,7 @@ class ToxicModel:
 
     def margin(self, text: bytes | None) -> float:
         total, seen = self.bias, self.seen
-        if len(seen) > 400_000:
+        if len(seen) > 200_000:
             seen.clear()
         for word in sorted(bare_words(text)):
             value = seen.get(word)
@@ -68,26 +68,35 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _design(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    rows, columns = [], []
-    cache: dict[bytes, tuple[int, ...]] = {}
-    for i, text in enumerate(texts):
-        for word in bare_words(text):
-            hashed = cache.get(word)
-            if hashed is None:
-                hashed = cache[word] = word_features(word)
-            columns += hashed
-            rows += [i] * len(hashed)
-    return np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64)
+@dataclass
+class Words:
+    """A text for the fit: four least word hashes (of words over 5 letters), its words' features and how many each word has."""
+
+    least: np.ndarray
+    features: np.ndarray
+    each: np.ndarray
+
+    @classmethod
+    def of(cls, text: bytes | None) -> Words:
+        words = sorted(bare_words(text))
+        hashed = [word_features(w) for w in words]
+        least = [min((zlib.crc32(w, salt) for w in words if len(w) > 5), default=-1) for salt in (1, 2, 3, 4)]
+        return cls(np.array(least, np.int64), np.array([f for h in hashed for f in h], np.int32), np.array([len(h) for h in hashed], np.uint8))
 
+    def margin(self, model: ToxicModel) -> float:
+        """The model's log odds of the text."""
+        if not len(self.each):
+            return model.bias
+        sums = np.add.reduceat(model.weights[self.features], np.cumsum(self.each, dtype=np.int64) - self.each)
+        return model.bias + sums[sums > model.floor * abs(model.bias)].sum()
 
-def _unlike(texts: list[bytes]) -> list[bytes]:
+
+def _unlike(texts: list[Words]) -> list[Words]:
     """The texts without near copies of earlier ones: those that share two of their four least word hashes."""
     seen: set[tuple[int, int]] = set()
     out = []
     for text in texts:
-        words = bare_words(text)
-        least = [(salt, min((zlib.crc32(w, salt) for w in words if len(w) > 5), default=-1)) for salt in (1, 2, 3, 4)]
+        least = list(enumerate(text.least.tolist()))
         if sum(x in seen for x in least) < 2 or least[0][1] == -1:
             out.append(text)
         seen.update(least)
@@ -110,7 +119,7 @@ def pu_slopes(z: np.ndarray, is_positive: np.ndarray, prior: float) -> np.ndarra
     return corrected + np.where(is_positive, -prior * slope / n_pos, 0)
 
 
-def fit_pu(positive: list[bytes], unlabelled: list[bytes], prior: float, least: int = 6, ratio: float = 2.0, rounds: int = 300, rate: float = 0.05, shrink: float = 5e-4) -> ToxicModel:
+def fit_pu(positive: list[Words], unlabelled: list[Words], prior: float, least: int = 6, ratio: float = 2.0, rounds: int = 300, rate: float = 0.05, shrink: float = 5e-4) -> ToxicModel:
     """Minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with the sigmoid loss.
 
     Near copies count once. Features in under least positives, or whose share there (less two standard errors) is not
@@ -123,7 +132,8 @@ def fit_pu(positive: list[bytes], unlabelled: list[bytes], prior: float, least:
     if not positive or not unlabelled:
         return ToxicModel(np.zeros(1 << BITS), -20.0)
     texts = [*positive, *unlabelled]
-    rows, columns = _design(texts)
+    rows = np.repeat(np.arange(len(texts)), [len(t.features) for t in texts])
+    columns = np.concatenate([t.features for t in texts])
     n_pos, n = len(positive), len(texts)
     in_pos = np.bincount(columns[rows < n_pos], minlength=1 << BITS)
     in_rest = np.bincount(columns[rows >= n_pos], minlength=1 << BITS)
@@ -150,38 +160,53 @@ def fit_pu(positive: list[bytes], unlabelled: list[bytes], prior: float, least:
     return ToxicModel(weights, float(bias))
 
 
-def choose_floor(model: ToxicModel, positive: list[bytes], unlabelled: list[bytes], prior: float, floors: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75)) -> ToxicModel:
+def choose_floor(model: ToxicModel, positive: list[Words], unlabelled: list[Words], prior: float, floors: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75)) -> ToxicModel:
     """The model with the floor of least non-negative zero-one risk on texts it was not fitted to; of equal ones the middle."""
     if not positive or not unlabelled:
         return model
     risks = []
     for floor in floors:
         tried = ToxicModel(model.weights, model.bias, floor)
-        missed, flagged = ((tried.scores(t) >= 0.5).mean() for t in (positive, unlabelled))
+        missed, flagged = (np.mean([t.margin(tried) >= 0 for t in texts]) for texts in (positive, unlabelled))
         missed = 1 - missed
         risks.append(prior * missed + max(0.0, flagged - prior * (1 - missed)))
     best = [f for f, r in zip(floors, risks, strict=True) if r <= min(risks) + 1e-12]
     return ToxicModel(model.weights, model.bias, best[len(best) // 2])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, limit_per_class: int = 6000, unlabelled_texts: int = 12_000) -> ToxicModel:
+def _words(rows: DataFrame) -> list[tuple[int, Words]]:
+    """(doc_id, words) of a bounded number of rows (doc_id, text), by id; features are taken on the executors."""
+
+    def run(batches):
+        for batch in bounded(batches, "text"):
+            found = [Words.of(t) for t in batch.column(1).to_pylist()]
+            arrays = [pa.array([getattr(w, c).tobytes() for w in found], pa.binary()) for c in ("least", "features", "each")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "least", "features", "each"])
+
+    found = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, least binary, features binary, each binary")
+    texts = [(r.doc_id, Words(np.frombuffer(r.least, np.int64), np.frombuffer(r.features, np.int32), np.frombuffer(r.each, np.uint8))) for r in found.toLocalIterator()]
+    return sorted(texts, key=lambda x: (x[0], x[1].features.tobytes()))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, limit_per_class: int = 6000, unlabelled_texts: int = 8000) -> ToxicModel:
     """The model for toxic = 1 from confirmed toxic rows and unlabelled documents, both outside the held-out fold.
 
-    At most limit_per_class confirmed rows and about unlabelled_texts documents are read (chosen by hashes of the ids, so
-    reruns agree); the documents' labels are not looked at, so they hold toxic ones as the corpus does. The class prior
-    is the share of toxic rows among the labelled ones outside the held-out fold. Of the training folds, remainder 1 is
-    set aside to choose the floor; the weights come from the others. Nothing to learn from gives a model that finds
-    nothing toxic.
+    At most limit_per_class confirmed rows and about unlabelled_texts documents (twice that at most) are read, chosen by
+    hashes, so reruns agree; the documents' labels are not looked at, so they hold toxic ones as the corpus does. The
+    class prior is the share of toxic rows among the labelled ones outside the held-out fold. Of the training folds,
+    remainder 1 is set aside to choose the floor; the weights come from the others. Nothing to learn from gives a model
+    that finds nothing toxic.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(fold_of(F.col("doc_id").cast("long")) != 0)
     prior = known.agg(F.avg((F.col("toxic") >= 1).cast("double"))).first()[0]
-    sample = [(i, y) for i, y in sample_labels(labels, "toxic", limit_per_class, classes=(1,))]
+    sample = sample_labels(labels, "toxic", limit_per_class, classes=(1,))
     if not sample or not prior:
         return fit_pu([], [], 0.1)
-    confirmed = sorted((r.doc_id, bytes(r.text or b"")) for r in sampled_texts(docs, sample).toLocalIterator())
+    confirmed = _words(sampled_texts(docs, sample))
     some = text_bytes(docs).where((fold_of(F.col("doc_id")) != 0) & F.col("text").isNotNull())
-    drawn = some.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", F.xxhash64("text")).limit(unlabelled_texts)
-    unlabelled = sorted((r.doc_id, bytes(r.text)) for r in drawn.toLocalIterator())
+    every = max(1, some.count() // unlabelled_texts)
+    drawn = some.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(every)) == 0)
+    unlabelled = _words(drawn.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", F.xxhash64("text")).limit(2 * unlabelled_texts))
     fold = lambda i: zlib.crc32(str(i).encode()) % 5
     fit, aside = ([[t for i, t in rows if (fold(i) == 1) == own] for rows in (confirmed, unlabelled)] for own in (False, True))
     return choose_floor(fit_pu(*fit, float(prior)), *aside, float(prior))
