@@ -235,7 +235,8 @@ def extract(pages: DataFrame, least_pages: int = 4, least_share: float = 0.2, pa
     most = max(pages_a_task, (sizes.agg(F.sum("n")).first()[0] or 0) // 65_536)
     large = F.broadcast(sizes.where(F.col("n") > most).select("host", F.ceil(F.col("n") / most).cast("int").alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
-    spread = materialize(by_host, "templates").join(large, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    spread = by_host.join(large, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    spread = materialize(spread, "templates")  # a table of known size: Spark broadcasts it where it is small, and shuffles pages only where it is not
     salted = source.join(large, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), salts).cast("int")).drop("salts")
     joined = salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "template", "placed")
 
