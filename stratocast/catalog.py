@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from stratocast.functions import weather as W
@@ -285,21 +287,58 @@ def _embedded_fields(spark, d):
     return m.select("id", F.floor(_c("member") / 8).cast("int").alias("iy"), (_c("member") % 8).cast("int").alias("ix"), "value")
 
 
-@query("smooth9_fields")
+FIELDS = f"(SELECT id, CAST(member // 8 AS INTEGER) AS iy, CAST(member % 8 AS INTEGER) AS ix, value FROM {T.MEMBERS})"
+
+
+def _smooth9_sql(times: int) -> str:
+    """Along an axis the ends stay (a line through the first two cells meets them) and the others take 1 2 1."""
+    last, steps = FIELDS, []
+    for n in range(times):
+        for a, b in (("ix", "iy"), ("iy", "ix")):
+            w = f"OVER (PARTITION BY id, {b} ORDER BY {a})"
+            steps.append(f"{a}{n} AS (SELECT id, iy, ix, coalesce((lag(value) {w} + 2 * value + lead(value) {w}) / 4, value) AS value FROM {last})")
+            last = f"{a}{n}"
+    return f"WITH {', '.join(steps)} SELECT id, iy, ix, round(value, 4) AS value FROM {last}"
+
+
+def _cascade_sql(level: int, levels: int, n: int = 8) -> str:
+    """A band-pass part is a circular convolution; its kernel is the cosine sum of the band's weights."""
+    wave = {(a, b): math.hypot(min(a, n - a), min(b, n - b)) for a in range(n) for b in range(n)}
+    scale = {k: math.log(max(w, 0.5)) for k, w in wave.items()}
+    low, high = min(scale.values()), max(scale.values())
+    step = (high - low) / (levels - 1)
+    parts = {k: [math.exp(-0.5 * ((x - low - i * step) / step) ** 2) for i in range(levels)] for k, x in scale.items()}
+    kernel = {(y, x): sum(p[level] / sum(p) * math.cos(2 * math.pi * (a * y + b * x) / n) for (a, b), p in parts.items()) / n / n for y in range(n) for x in range(n)}
+    rows = ", ".join(f"({y}, {x}, {k!r})" for (y, x), k in kernel.items())
+    return f"SELECT id, CAST((iy + dy) % 8 AS INTEGER) AS iy, CAST((ix + dx) % 8 AS INTEGER) AS ix, round(sum(value * k), 4) AS value FROM {FIELDS}, (VALUES {rows}) w(dy, dx, k) GROUP BY 1, 2, 3"
+
+
+def _rounded(df):
+    return df.withColumn("value", F.round("value", 4))
+
+
+@query("smooth9_fields", _smooth9_sql(2))
 def smooth9_fields(spark, d):
-    return K.per_field(_embedded_fields(spark, d), "id", K.smooth9(2))
+    return _rounded(K.per_field(_embedded_fields(spark, d), "id", K.smooth9(2)))
 
 
-@query("cascade_fields")
+@query("cascade_fields", _cascade_sql(1, 4))
 def cascade_fields(spark, d):
-    return K.per_field(_embedded_fields(spark, d), "id", K.cascade_level(1, 4))
+    return _rounded(K.per_field(_embedded_fields(spark, d), "id", K.cascade_level(1, 4)))
 
 
-@query("advected_fields")
+@query("advected_fields", f"""
+    WITH p AS (SELECT id, iy, ix, value, iy + 0.25 AS y, ix - 0.5 AS x FROM {FIELDS}), c AS (SELECT *, least(greatest(floor(y), 0), 6) AS y0, least(greatest(floor(x), 0), 6) AS x0 FROM p),
+    m AS (SELECT c.id, c.iy, c.ix, sum(f.value * (1 - abs(c.y - f.iy)) * (1 - abs(c.x - f.ix))) AS moved FROM c JOIN {FIELDS} f ON f.id = c.id AND f.iy IN (c.y0, c.y0 + 1) AND f.ix IN (c.x0, c.x0 + 1) GROUP BY 1, 2, 3)
+    SELECT id, iy, ix, round(CASE WHEN y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 THEN moved ELSE value END, 4) AS value FROM p JOIN m USING (id, iy, ix)""")
 def advected_fields(spark, d):
-    return K.per_field(_embedded_fields(spark, d), "id", K.advect(0.5, -0.25))
+    return _rounded(K.per_field(_embedded_fields(spark, d), "id", K.advect(0.5, -0.25)))
 
 
-@query("labelled_fields")
+@query("labelled_fields", f"""
+    WITH RECURSIVE f AS MATERIALIZED (SELECT id, iy, ix, iy * 8 + ix AS cell FROM {FIELDS} WHERE value >= 0.02),
+    e AS MATERIALIZED (SELECT a.id, a.cell AS one, b.cell AS two FROM f a JOIN f b ON a.id = b.id AND abs(a.iy - b.iy) + abs(a.ix - b.ix) = 1),
+    r AS (SELECT id, cell, cell AS reach FROM f UNION SELECT r.id, r.cell, e.two FROM r JOIN e ON e.id = r.id AND e.one = r.reach)
+    SELECT id, iy, ix, CAST(coalesce(label, 0) AS DOUBLE) AS value FROM {FIELDS} LEFT JOIN (SELECT id, cell // 8 AS iy, cell % 8 AS ix, min(reach) + 1 AS label FROM r GROUP BY 1, 2, 3) USING (id, iy, ix)""")
 def labelled_fields(spark, d):
     return K.per_field(_embedded_fields(spark, d), "id", K.labelled(0.02))

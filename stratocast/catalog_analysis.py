@@ -234,6 +234,23 @@ def convective_stratiform(spark, d):
     return K.per_field(_echoes(spark, d), "id", D.convective_stratiform(1000.0, 1000.0, radius=3000.0))
 
 
+@query("convective_areas", f"""
+    WITH f AS (SELECT id, iy, ix, value * 150 + 20 AS dbz FROM (SELECT id, CAST(member // 8 AS INTEGER) AS iy, CAST(member % 8 AS INTEGER) AS ix, value FROM {T.MEMBERS})),
+    b AS (SELECT f.id, f.iy, f.ix, any_value(f.dbz) AS dbz, 10 * log10(avg(power(10, n.dbz / 10))) AS back FROM f JOIN f n ON f.id = n.id AND sqrt(power(f.iy - n.iy, 2) + power(f.ix - n.ix, 2)) <= 3 GROUP BY 1, 2, 3),
+    c AS (SELECT *, CASE WHEN back >= 40 THEN 5 WHEN back >= 35 THEN 4 WHEN back >= 30 THEN 3 WHEN back >= 25 THEN 2 ELSE 1 END AS reach FROM b
+          WHERE dbz >= 42 OR dbz - back >= CASE WHEN back < 0 THEN 10 WHEN back < 42.43 THEN 10 - back * back / 180 ELSE 0 END)
+    SELECT f.id, f.iy, f.ix, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.id = f.id AND sqrt(power(f.iy - c.iy, 2) + power(f.ix - c.ix, 2)) <= c.reach) THEN 2.0::DOUBLE ELSE 1.0 END AS value FROM f""")
+def convective_areas(spark, d):
+    return K.per_field(_echoes(spark, d), "id", D.convective_stratiform(1000.0, 1000.0, radius=3000.0, in_order=False))
+
+
+@query("anchored_velocity")
+def anchored_velocity(spark, d):
+    fields = _embedded_fields(spark, d)
+    folded = fields.withColumn("value", F.pmod(_c("value") * 100 + 10, F.lit(20.0)) - 10)
+    return B.per_pair(folded, fields.withColumn("value", _c("value") * 100), "id", D.anchored(10.0))
+
+
 @query("unfolded_velocity")
 def unfolded_velocity(spark, d):
     return K.per_field(_embedded_fields(spark, d).withColumn("value", F.pmod(_c("value") * 100 + 10, F.lit(20.0)) - 10), "id", D.unfolded(10.0))

@@ -12,6 +12,7 @@ from stratocast.functions import calendar as C
 from stratocast.functions import cleaning as Q
 from stratocast.operators import neighbours as N
 from stratocast.operators import phenomena as P
+from stratocast.operators import relational as R
 from stratocast.operators import selection as S
 from stratocast.plans import projections as T
 from stratocast.session import scratch_path
@@ -439,6 +440,38 @@ def local_peaks(spark, d):
     return N.local_peaks(T.grid(spark, d), [], "v", 2, 35.0).select("iy", "ix", "v")
 
 
+# --- fields that grow with the tables
+def _near(radius: int) -> str:
+    return f"(SELECT a.iy + dy AS iy, a.ix + dx AS ix, a.v, a.z FROM {T.WIDE} a, (VALUES {', '.join(f'({y}, {x})' for y in range(-radius, radius + 1) for x in range(-radius, radius + 1))}) o(dy, dx))"
+
+
+@query("wide_box_mean", f"SELECT g.iy, g.ix, round(avg(n.v), 4) AS box FROM {T.WIDE} g JOIN {_near(2)} n USING (iy, ix) GROUP BY 1, 2")
+def wide_box_mean(spark, d):
+    return _r(R.box_mean(T.wide(spark, d), [], 2, "v"), "box", keep=("iy", "ix"))
+
+
+@query("wide_circle_mean", f"SELECT g.iy, g.ix, round(avg(n.v), 4) AS mean FROM {T.WIDE} g JOIN (SELECT a.iy + dy AS iy, a.ix + dx AS ix, a.v FROM {T.WIDE} a, (VALUES {', '.join(f'({y}, {x})' for y, x, _ in N.kernel(3, False))}) o(dy, dx)) n USING (iy, ix) GROUP BY 1, 2")
+def wide_circle_mean(spark, d):
+    return _r(N.circle_mean(T.wide(spark, d), [], 3, "v"), "mean", keep=("iy", "ix"))
+
+
+@query("wide_dilated", f"SELECT g.iy, g.ix, coalesce(bool_or(n.v > 48), false) AS dilated FROM {T.WIDE} g JOIN {_near(1)} n USING (iy, ix) GROUP BY 1, 2")
+def wide_dilated(spark, d):
+    return N.dilated(T.wide(spark, d).withColumn("m", F.coalesce(_c("v") > 48, F.lit(False))), [], "m", 1).select("iy", "ix", "dilated")
+
+
+@query("wide_correlation", f"""
+    SELECT g.iy, g.ix, round(CASE WHEN count(n.v) * sum(n.v * n.v) - sum(n.v) * sum(n.v) > 1e-9 AND count(n.v) * sum(n.z * n.z) - sum(n.z) * sum(n.z) > 1e-9 THEN corr(n.v, n.z) END, 4) + 0 AS corr
+    FROM {T.WIDE} g JOIN {_near(2)} n USING (iy, ix) GROUP BY 1, 2""")
+def wide_correlation(spark, d):
+    return N.window_correlation(T.wide(spark, d), [], "v", "z", 2).select("iy", "ix", (F.round("corr", 4) + 0).alias("corr"))
+
+
+@query("wide_peaks", f"SELECT g.iy, g.ix, g.v FROM {T.WIDE} g JOIN {_near(2)} n USING (iy, ix) GROUP BY 1, 2, 3 HAVING g.v = max(n.v) AND g.v >= 49")
+def wide_peaks(spark, d):
+    return N.local_peaks(T.wide(spark, d), [], "v", 2, 49.0).select("iy", "ix", "v")
+
+
 # --- phenomena
 @query("decoded_codes", f"""
     WITH c AS ({_codes_sql()}), n AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in P.NAMES.items())}) t(code, name))

@@ -64,18 +64,28 @@ def advect(u: float, v: float) -> Callable[[np.ndarray], np.ndarray]:
     return kernel
 
 
-def labelled(threshold: float) -> Callable[[np.ndarray], np.ndarray]:
-    """Connected areas (4 neighbours) of value >= threshold: each cell the least place in its area plus one, 0 outside."""
+def components(kind: np.ndarray, wrap: bool = False) -> np.ndarray:
+    """For each cell the least place among the 4-connected cells of its kind; -1 where the kind is negative.
+
+    Neighbours of one kind are edges; roots hook to the lesser root and paths halve, so the number of passes follows the
+    logarithm of an area's length, however it winds. wrap: the first and last column are neighbours.
+    """
+    place = np.arange(kind.size).reshape(kind.shape)
+    sides = [(np.s_[:-1, :], np.s_[1:, :]), (np.s_[:, :-1], np.s_[:, 1:])] + ([(np.s_[:, -1], np.s_[:, 0])] if wrap else [])
+    edges = [(place[one][same], place[two][same]) for one, two in sides if (same := (kind[one] == kind[two]) & (kind[one] >= 0)).any()]
+    root = place.ravel().copy()
+    if edges:
+        a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
+        while len(a):
+            ra, rb = root[a], root[b]
+            apart = ra != rb
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+            while (root[root] != root).any():
+                root = root[root]
+    return np.where(kind >= 0, root.reshape(kind.shape), -1)
 
-    def kernel(field):
-        wet = np.nan_to_num(field, nan=-np.inf) >= threshold
-        label = np.where(wet, np.arange(1, field.size + 1).reshape(field.shape), 0)
-        big = field.size + 1
-        while True:
-            p = np.pad(np.where(wet, label, big), 1, constant_values=big)
-            new = np.where(wet, np.minimum.reduce([p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]]), 0)
-            if (new == label).all():
-                return label
-            label = new
 
-    return kernel
+def labelled(threshold: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Connected areas (4 neighbours) of value >= threshold: each cell the least place in its area plus one, 0 outside."""
+    return lambda field: components(np.where(np.nan_to_num(field, nan=-np.inf) >= threshold, 0, -1)) + 1

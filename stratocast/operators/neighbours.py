@@ -163,11 +163,15 @@ def dilated(grid: DataFrame, keys: list[str], mask: str, radius: int) -> DataFra
 
 
 def window_correlation(grid: DataFrame, keys: list[str], a: str, b: str, radius: int) -> DataFrame:
-    """Correlation of two fields over the square window around each cell; null where one of them is constant."""
+    """Correlation of two fields over the square window around each cell, where both have values; null where one of them is constant.
+
+    As all windows here it wants a row for every cell, with null for a missing value.
+    """
     across = Window.partitionBy(*keys, "iy").orderBy("ix").rangeBetween(-radius, radius)
     down = Window.partitionBy(*keys, "ix").orderBy("iy").rangeBetween(-radius, radius)
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    terms = {"n": F.lit(1.0), "sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+    terms = {"n": F.when(both, 1.0), "sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
     rows = grid
     for name, term in terms.items():
         rows = rows.withColumn(f"r_{name}", F.sum(term).over(across))

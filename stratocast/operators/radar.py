@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable
 
@@ -9,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stratocast.operators.fields import components
+
 # Centroids of the nine classes by band (reflectivity, differential reflectivity, differential phase,
 # correlation, height above the freezing level) and the limits (high, low) to which the moments are scaled.
 VARIABLES = ("Zh", "ZDR", "KDP", "RhoHV", "relH")
@@ -195,12 +198,13 @@ def background(dbz: np.ndarray, radius: float, dx: float, dy: float) -> np.ndarr
         return np.where(count > 0, 10 * np.log10(total / count), np.inf)
 
 
-def convective_stratiform(dx: float, dy: float, intense: float = 42.0, radius: float = 11000.0, steps=((-999, 1000), (25, 2000), (30, 3000), (35, 4000), (40, 5000))) -> Callable[[np.ndarray], np.ndarray]:
+def convective_stratiform(dx: float, dy: float, intense: float = 42.0, radius: float = 11000.0, steps=((-999, 1000), (25, 2000), (30, 3000), (35, 4000), (40, 5000)), in_order: bool = True) -> Callable[[np.ndarray], np.ndarray]:
     """Steiner classes: 2 convective, 1 stratiform, NaN without echo.
 
     A cell is a centre where it is intense or stands out from its background; a centre makes every echo within its
-    background's radius convective. All cells of the field are treated alike, first rows and columns too, and no centre
-    is passed over because an earlier one covers it: the result does not depend on the order of scanning.
+    background's radius convective. The field is scanned column by column, and a cell that an earlier centre covers is no
+    centre itself; with in_order False every centre counts, so the result does not depend on the order. First rows and
+    columns count as all others.
     """
 
     def kernel(dbz):
@@ -214,6 +218,14 @@ def convective_stratiform(dx: float, dy: float, intense: float = 42.0, radius: f
             spread[back >= level] = metres
         hit = np.zeros(dbz.shape, bool)
         ny, nx = dbz.shape
+        if in_order:
+            for i, j in np.argwhere(centre.T).tolist():
+                if not hit[j, i]:
+                    h, w = int(spread[j, i] / dy), int(spread[j, i] / dx)
+                    rows, columns = slice(max(j - h, 0), j + h + 1), slice(max(i - w, 0), i + w + 1)
+                    y, x = np.ogrid[rows.start : min(j + h + 1, ny), columns.start : min(i + w + 1, nx)]
+                    hit[rows, columns] |= np.hypot((y - j) * dy, (x - i) * dx) <= spread[j, i]
+            return np.where(known, np.where(hit, 2.0, 1.0), np.nan)
         for metres in np.unique(spread[centre]):
             here = centre & (spread == metres)
             for j, i in _disc(metres, dx, dy):
@@ -223,70 +235,94 @@ def convective_stratiform(dx: float, dy: float, intense: float = 42.0, radius: f
     return kernel
 
 
-def unfolded(nyquist: float) -> Callable[[np.ndarray], np.ndarray]:
+def _edges(velocity: np.ndarray, label: np.ndarray, gaps: tuple[int, int], wrap: bool) -> dict[int, dict[int, list[float]]]:
+    """edges[a][b] = [number, sum of a's velocity less b's] of neighbouring gates of different regions.
+
+    Gates with up to gaps (gates along a ray, rays) missing ones between them are neighbours too.
+    """
+    edges: dict[int, dict[int, list[float]]] = {}
+    for axis, gap in ((0, gaps[0]), (1, gaps[1])):
+        n = label.shape[axis]
+        turned, values = (np.moveaxis(x, axis, 0) for x in (label, velocity))
+        last = n if axis == 1 and wrap else 0  # how far a step may lead beyond the end
+        for step in range(1, min(gap + 1, n - 1 if n > 1 else 0) + 1):
+            start = np.arange(n if last else n - step)
+            ahead = (start + step) % n
+            use = (turned[start] >= 0) & (turned[ahead] >= 0) & (turned[start] != turned[ahead])
+            for between in range(1, step):
+                use &= turned[(start + between) % n] < 0
+            la, lb, diff = turned[start][use], turned[ahead][use], (values[start] - values[ahead])[use]
+            order = np.lexsort((lb, la))
+            la, lb, diff = la[order], lb[order], diff[order]
+            if not len(la):
+                continue
+            cuts = np.flatnonzero(np.r_[True, (np.diff(la) != 0) | (np.diff(lb) != 0)])
+            for c, e in zip(cuts, [*cuts[1:], len(la)], strict=True):
+                a, b, k, total = int(la[c]), int(lb[c]), int(e - c), float(diff[c:e].sum())
+                for x, y, t in ((a, b, total), (b, a, -total)):
+                    entry = edges.setdefault(x, {}).setdefault(y, [0, 0.0])
+                    entry[0] += k
+                    entry[1] += t
+    return edges
+
+
+def unfolded(nyquist: float, gaps: tuple[int, int] = (0, 0), wrap: bool = True) -> Callable[[np.ndarray], np.ndarray]:
     """Velocities of one sweep made continuous: regions are joined, the pair with the most common edges first.
 
     Gates fall into three bands of the Nyquist interval and connected gates of a band form regions. Joined regions
-    differ by the multiple of the interval that brings their common edges closest; the largest region keeps its fold.
-    Columns are rays: the first and the last are neighbours.
+    differ by the multiple of the interval that brings their common edges closest; the larger one keeps its fold.
+    Columns are rays; with wrap the first and the last are neighbours. Pairs wait in a heap and folds follow from a
+    region's way to its root, so the work follows the number of common borders.
     """
     span = 2 * nyquist
 
     def kernel(velocity):
-        known = ~np.isnan(velocity)
-        band = np.where(known, np.clip(((velocity + nyquist) / span * 3).astype(float), 0, 2.999), -1).astype(int)
-        label = _components(band)
-        pairs = []
-        for a, b in ((np.s_[:-1, :], np.s_[1:, :]), (np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:, -1], np.s_[:, 0])):
-            la, lb, diff = label[a].ravel(), label[b].ravel(), (velocity[a] - velocity[b]).ravel()
-            use = (la != lb) & (la >= 0) & (lb >= 0)
-            pairs += list(zip(la[use], lb[use], diff[use], strict=True))
-        edges: dict[tuple[int, int], list[float]] = {}
-        for a, b, d in pairs:
-            key, d = ((int(a), int(b)), d) if a < b else ((int(b), int(a)), -d)
-            entry = edges.setdefault(key, [0, 0.0])
-            entry[0] += 1
-            entry[1] += d
-        parent = {int(x): int(x) for x in np.unique(label[label >= 0])}
-        shift = dict.fromkeys(parent, 0)
+        band = np.where(~np.isnan(velocity), np.clip(((velocity + nyquist) / span * 3).astype(float), 0, 2.999), -1).astype(int)
+        label = components(band, wrap)
+        edges = _edges(velocity, label, gaps, wrap)
         size = {int(k): int(n) for k, n in zip(*np.unique(label[label >= 0], return_counts=True), strict=True)}
-        members = {k: [k] for k in parent}
-        while edges:
-            (a, b), (n, total) = max(edges.items(), key=lambda e: (e[1][0], -e[0][0], -e[0][1]))
-            del edges[a, b]
+        up: dict[int, tuple[int, int]] = {}  # region: the one it joined, and by how many turns
+        heap = [(-k, a, b) for a, near in edges.items() for b, (k, _) in near.items() if a < b]
+        heapq.heapify(heap)
+        while heap:
+            k, a, b = heapq.heappop(heap)
+            if b not in edges.get(a, ()) or edges[a][b][0] != -k:
+                continue  # changed since
             keep, move = (a, b) if size[a] >= size[b] else (b, a)
-            turn = round((total if keep == a else -total) / n / span)
-            for m in members[move]:
-                shift[m] += turn
-            members[keep] += members.pop(move)
+            turn = round(edges[keep][move][1] / -k / span)
+            up[move] = (keep, turn)
             size[keep] += size.pop(move)
-            for (x, y), (k, s) in [e for e in edges.items() if move in e[0]]:
-                del edges[x, y]
-                other = y if x == move else x
-                s = (s if x == move else -s) + turn * span * k  # difference move - other after the turn
-                key, s = ((keep, other), s) if keep < other else ((other, keep), -s)
-                entry = edges.setdefault(key, [0, 0.0])
-                entry[0] += k
-                entry[1] += s
-        turns = np.zeros(velocity.shape)
-        for k, t in shift.items():
-            turns[label == k] = t
-        return velocity + turns * span
+            del edges[keep][move]
+            for other, (n, total) in edges.pop(move).items():
+                if other == keep:
+                    continue
+                del edges[other][move]
+                for x, y, t in ((keep, other, total + turn * span * n), (other, keep, -total - turn * span * n)):
+                    entry = edges.setdefault(x, {}).setdefault(y, [0, 0.0])
+                    entry[0] += n
+                    entry[1] += t
+                low, high = min(keep, other), max(keep, other)
+                heapq.heappush(heap, (-edges[low][high][0], low, high))
+        turns = np.zeros(velocity.size)
+        for region in reversed(up):  # joined last, resolved first
+            keep, turn = up[region]
+            turns[region] = turns[keep] + turn
+        return np.where(label >= 0, velocity + turns[np.maximum(label, 0)] * span, velocity)
 
     return kernel
 
 
-def _components(band: np.ndarray) -> np.ndarray:
-    """Labels of 4-connected gates of one band, columns wrapping; -1 where band is -1."""
-    label = np.where(band >= 0, np.arange(band.size).reshape(band.shape), -1)
-    while True:
-        new = label.copy()
-        for axis, step in ((0, 1), (0, -1), (1, 1), (1, -1)):
-            near, kind = np.roll(label, step, axis), np.roll(band, step, axis)
-            same = (kind == band) & (band >= 0)
-            if axis == 0:
-                same[0 if step == 1 else -1] = False
-            new = np.where(same, np.minimum(new, near), new)
-        if (new == label).all():
-            return label
-        label = new
+def anchored(nyquist: float, gaps: tuple[int, int] = (0, 0), wrap: bool = True) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Unfolded velocities moved to a reference field: each connected part by the turns that bring its mean difference closest to zero."""
+    span = 2 * nyquist
+
+    def kernel(velocity, reference):
+        out = unfolded(nyquist, gaps, wrap)(velocity)
+        part = components(np.where(np.isnan(velocity), -1, 0), wrap)
+        both = (part >= 0) & ~np.isnan(reference)
+        ids, at = np.unique(part[both], return_inverse=True)
+        turns = np.zeros(velocity.size)
+        turns[ids] = np.round(np.bincount(at, (reference - out)[both]) / np.maximum(np.bincount(at), 1) / span) if len(ids) else 0
+        return np.where(part >= 0, out + turns[np.maximum(part, 0)] * span, out)
+
+    return kernel

@@ -95,7 +95,10 @@ def split_three(value: Column) -> Column:
 
 
 def box_mean(df: DataFrame, keys: list[str], radius: int, value: str) -> DataFrame:
-    """Mean over the (2r+1)**2 cells around each cell that exist and are not null: two separable range windows."""
+    """Mean over the (2r+1)**2 cells around each cell that are not null: two separable range windows.
+
+    The grid has a row for every cell; a missing value is null.
+    """
     across = Window.partitionBy(*keys, "iy").orderBy("ix").rangeBetween(-radius, radius)
     down = Window.partitionBy(*keys, "ix").orderBy("iy").rangeBetween(-radius, radius)
     rows = df.withColumn("s", F.sum(value).over(across)).withColumn("n", F.count(value).over(across))

@@ -35,6 +35,18 @@ GRID = """(SELECT iy, ix, v, z FROM
     JOIN (SELECT CAST((p_partkey // 20) % 20 AS INTEGER) AS iy, CAST(p_partkey % 20 AS INTEGER) AS ix, CAST(max(p_size) * 3 AS DOUBLE) AS z FROM part GROUP BY 1, 2) USING (iy, ix))"""
 
 
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field that grows with the tables: 700 columns, seven for each order; iy, ix, v (quantity, null where there is no item) and z (from the part)."""
+    cell = lambda key, number: [F.floor(F.col(key) / 100).cast("int").alias("iy"), (F.col(key) % 100 * 7 + number).cast("int").alias("ix")]
+    cells = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k")).select(*cell("o_orderkey", F.col("k")))
+    items = table(spark, sf_dir, "lineitem").select(*cell("l_orderkey", F.col("l_linenumber") % 7), "l_quantity", "l_partkey")
+    return cells.join(items.groupBy("iy", "ix").agg(F.max("l_quantity").alias("v"), F.max(F.col("l_partkey") % 300).cast("double").alias("z")), ["iy", "ix"], "left")
+
+
+WIDE = """(SELECT iy, ix, v, z FROM (SELECT CAST(o_orderkey // 100 AS INTEGER) AS iy, CAST(o_orderkey % 100 * 7 + k AS INTEGER) AS ix FROM orders, range(7) r(k)) LEFT JOIN
+    (SELECT CAST(l_orderkey // 100 AS INTEGER) AS iy, CAST(l_orderkey % 100 * 7 + l_linenumber % 7 AS INTEGER) AS ix, max(l_quantity) AS v, CAST(max(l_partkey % 300) AS DOUBLE) AS z FROM lineitem GROUP BY 1, 2) USING (iy, ix))"""
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sums of line items by supplier: id, day (days since 1970), v."""
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01")).cast("long").alias("day")

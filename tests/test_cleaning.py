@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from stratocast.functions import calendar as C
 from stratocast.functions import cleaning as Q
+from stratocast.operators import fields as K
 from stratocast.operators import neighbours as N
 from stratocast.operators import phenomena as P
+from stratocast.operators import radar as D
 from stratocast.operators import selection as S
 from stratocast.sources import listing as L
 from stratocast.sources import micaps
@@ -123,3 +125,52 @@ def test_equal_values_have_a_seeded_order(spark):
 def test_units_that_are_not_known_raise():
     with pytest.raises(KeyError):
         Q.converted(F.lit(1.0), "K", "mm")
+
+
+def test_components_follow_a_winding_area():
+    """A spiral is one area whatever its length; kinds and missing cells part areas."""
+    n = 61
+    kind = np.full((n, n), -1)
+    kind[::2, :] = 0
+    for k, y in enumerate(range(1, n, 2)):
+        kind[y, -1 if k % 2 == 0 else 0] = 0
+    assert set(np.unique(K.components(kind))) == {-1, 0}
+    assert K.components(np.array([[0, 1, 0], [0, 1, 0]])).tolist() == [[0, 1, 2], [0, 1, 2]]
+    assert K.components(np.array([[0, 1, 0], [0, 1, 0]]), wrap=True).tolist() == [[0, 1, 0], [0, 1, 0]]
+
+
+def test_unfolding_crosses_gaps_and_anchors():
+    true = np.add.outer(np.zeros(6), np.linspace(-4, 26, 24))
+    folded = (true + 10) % 20 - 10
+    assert np.allclose(D.unfolded(10.0, wrap=False)(folded) - true, (D.unfolded(10.0, wrap=False)(folded) - true)[0, 0])
+    holes = folded.copy()
+    holes[:, 9] = np.nan
+    filled = D.unfolded(10.0, gaps=(0, 1), wrap=False)(holes)
+    rest = ~np.isnan(holes)
+    assert np.allclose((filled - true)[rest], (filled - true)[0, 0]) and np.isnan(filled[0, 9])
+    assert np.allclose(D.anchored(10.0, gaps=(0, 1), wrap=False)(holes, true + 1.5)[rest], true[rest])
+
+
+def test_scan_order_of_convective_cells():
+    """Against a plain scan: columns first, covered cells are passed over as centres."""
+    rng = np.random.default_rng(4)
+    dbz = rng.normal(25, 12, (14, 17))
+    dbz[rng.random(dbz.shape) < 0.1] = np.nan
+    back = D.background(dbz, 4000.0, 1000.0, 1000.0)
+    want = np.where(np.isnan(dbz), np.nan, 1.0)
+    for i in range(17):
+        for j in range(14):
+            if np.isnan(dbz[j, i]) or want[j, i] == 2:
+                continue
+            b = back[j, i]
+            need = 10.0 if b < 0 else 10 - b * b / 180 if b < 42.43 else 0.0
+            if dbz[j, i] >= 42 or dbz[j, i] - b >= need:
+                reach = 5 if b >= 40 else 4 if b >= 35 else 3 if b >= 30 else 2 if b >= 25 else 1
+                for y in range(14):
+                    for x in range(17):
+                        if np.hypot(y - j, x - i) <= reach and not np.isnan(dbz[y, x]):
+                            want[y, x] = 2.0
+    got = D.convective_stratiform(1000.0, 1000.0, radius=4000.0)(dbz)
+    assert np.array_equal(got, want, equal_nan=True)
+    free = D.convective_stratiform(1000.0, 1000.0, radius=4000.0, in_order=False)(dbz)
+    assert (free >= got)[~np.isnan(dbz)].all()
