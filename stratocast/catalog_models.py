@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratocast.catalog import _embedded_fields, query, scalar
 from stratocast.functions import satellite as S
+from stratocast.operators import calibration, fields, radar
 from stratocast.operators import multimodel as M
 from stratocast.operators import nowcast as N
 from stratocast.operators import profiles as P
@@ -113,3 +114,25 @@ def nowcast_fields(spark, d):
     """Two members and two leads of every three successive embeddings, taken as steps of one field."""
     rows = _embedded_fields(spark, d).withColumn("step", (_c("id") % 3).cast("int")).withColumn("id", F.floor(_c("id") / 3)).withColumn("value", F.abs("value") * 10)
     return N.nowcast(rows, "id", 2, members=2, levels=3, half=3, fewest=20)
+
+
+@query("linear_fit", f"""
+    WITH r AS (SELECT hydro, att * 100 AS p, kdp AS q, t AS y FROM {T.MOMENTS}),
+    m AS (SELECT hydro, avg(p) AS mp, avg(q) AS mq, avg(y) AS my, covar_pop(p, p) AS pp, covar_pop(q, q) AS qq, covar_pop(p, q) AS pq, covar_pop(y, p) AS yp, covar_pop(y, q) AS yq FROM r GROUP BY hydro),
+    s AS (SELECT *, (yp * qq - yq * pq) / (pp * qq - pq * pq) AS b1, (yq * pp - yp * pq) / (pp * qq - pq * pq) AS b2 FROM m)
+    SELECT hydro, round(my - b1 * mp - b2 * mq, 4) AS a, round(b1, 4) AS b1, round(b2, 4) AS b2 FROM s""")
+def linear_fit(spark, d):
+    rows = T.moments(spark, d).select("hydro", (_c("att") * 100).alias("p"), _c("kdp").alias("q"), _c("t").alias("y"))
+    fits = calibration.linear_fit(rows, ["hydro"], ["p", "q"], "y")
+    return fits.select("hydro", *[F.round(F.get("coefficients", F.lit(i)), 4).alias(n) for i, n in enumerate(("a", "b1", "b2"))])
+
+
+@query("advected_along")
+def advected_along(spark, d):
+    rows = _embedded_fields(spark, d)
+    return fields.per_fields(rows.withColumn("u", _c("value") * 2).withColumn("v", _c("iy") * 0.1), "id", ["value", "u", "v"], fields.advect_along(2))
+
+
+@query("feature_classes")
+def feature_classes(spark, d):
+    return fields.per_field(_embedded_fields(spark, d).withColumn("value", _c("value") * 150 + 20), "id", radar.feature_classes(1000.0, 1000.0, radius=3000.0, least_cells=2))

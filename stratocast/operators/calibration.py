@@ -65,7 +65,7 @@ def nelder_mead(function: Callable[[np.ndarray], float], start: np.ndarray, roun
     return scored[0][2]
 
 
-def fit(pairs: DataFrame, keys: list[str], truncated: bool = False, fewest: int = 3) -> DataFrame:
+def fit(pairs: DataFrame, keys: list[str], truncated: bool = False, fewest: int = 3, most_bins: int = 65_536) -> DataFrame:
     """alpha, beta, gamma, delta of each key from rows (mean, var, truth): location alpha + beta mean, variance
     gamma**2 + delta**2 var, with the least mean score.
 
@@ -75,6 +75,12 @@ def fit(pairs: DataFrame, keys: list[str], truncated: bool = False, fewest: int
     """
     clean = pairs.select(*keys, *[F.col(c).cast("float").cast("double").alias(c) for c in ("mean", "var", "truth")]).dropna(subset=["mean", "var", "truth"])
     binned = clean.groupBy(*keys, "mean", "var", "truth").agg(F.count("*").alias("n"))
+    columns = ("mean", "var", "truth")
+    ranges = binned.groupBy(*keys).agg(F.count("*").alias("bins"), *[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("low", F.min), ("high", F.max))])
+    step = lambda c, n: F.when(F.col("bins") > most_bins, F.floor((F.col(c) - F.col(f"{c}_low")) / F.greatest(F.col(f"{c}_high") - F.col(f"{c}_low"), F.lit(1e-30)) * (n - 1e-9)).cast("double")).otherwise(F.col(c)).alias(f"{c}_step")
+    placed = binned.join(ranges, keys).select(*keys, *columns, "n", *[step(c, n) for c, n in zip(columns, (64, 16, 64), strict=True)])
+    weighted = [(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in columns]
+    binned = placed.groupBy(*keys, *[f"{c}_step" for c in columns]).agg(*weighted, F.sum("n").alias("n")).select(*keys, *columns, "n")
     kinds = ", ".join(f"{k} {t}" for k, t in pairs.select(*keys).dtypes)
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -100,6 +106,60 @@ def fit(pairs: DataFrame, keys: list[str], truncated: bool = False, fewest: int
     return binned.groupBy(*keys).applyInPandas(solve, f"{kinds}, alpha double, beta double, gamma double, delta double")
 
 
+def linear_fit(rows: DataFrame, keys: list[str], xs: list[str], y: str, ridge: float = 1e-9) -> DataFrame:
+    """intercept and slopes of each key's least-squares line through several predictors, as array `coefficients`.
+
+    One aggregation adds up products of predictors, so a key's rows never meet in one task; a key's few sums are then
+    solved. Rows with a missing number are left out; a predictor without spread gets slope 0.
+    """
+    terms = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
+    n = len(terms)
+    whole = rows.dropna(subset=[*xs, y])
+    sums = whole.groupBy(*keys).agg(
+        F.array(*[F.sum(terms[i] * terms[j]) for i in range(n) for j in range(n)]).alias("a"), F.array(*[F.sum(t * F.col(y)) for t in terms]).alias("b")
+    )
+
+    @F.pandas_udf("array<double>")
+    def solve(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for m, r in zip(a, b, strict=True):
+            m, r = np.array(m, float).reshape(n, n), np.array(r, float)
+            middle, weight = m[0, 1:] / m[0, 0], m[0, 0]
+            inner, right = m[1:, 1:] / weight - np.outer(middle, middle), r[1:] / weight - middle * r[0] / weight
+            flat = np.diag(inner) <= ridge
+            inner[flat], inner[:, flat] = 0, 0
+            inner[flat, flat], right[flat] = 1, 0
+            slopes = np.linalg.lstsq(inner, right, rcond=None)[0]
+            out.append([float(r[0] / weight - slopes @ middle), *slopes.tolist()])
+        return pd.Series(out)
+
+    return sums.select(*keys, solve("a", "b").alias("coefficients"))
+
+
+def fitted(rows: DataFrame, coefficients: DataFrame, keys: list[str], xs: list[str]) -> DataFrame:
+    """rows with the value of their key's line; without a fit the first predictor stands."""
+    at = lambda i: F.get("coefficients", F.lit(i))
+    line = at(0)
+    for i, x in enumerate(xs):
+        line = line + at(i + 1) * F.col(x)
+    return rows.join(coefficients, keys, "left").withColumn("fitted", F.coalesce(line, F.col(xs[0]))).drop("coefficients")
+
+
+def truncated_percentiles(df: DataFrame, percentiles: list[float]) -> DataFrame:
+    """A row for each percentile of the normal distribution of location and scale cut off below zero."""
+
+    @F.pandas_udf("double")
+    def quantile(location: pd.Series, scale: pd.Series, percentile: pd.Series) -> pd.Series:
+        inverse = np.vectorize(NormalDist().inv_cdf, otypes=[float])
+        m, s, p = (x.to_numpy(float) for x in (location, scale, percentile))
+        below = normal_cdf(-m / np.maximum(s, 1e-12))
+        share = np.clip(below + p / 100 * (1 - below), 1e-12, 1 - 1e-12)
+        return pd.Series(np.where(s > 0, np.maximum(m + s * inverse(share), 0), np.maximum(m, 0)))
+
+    rows = df.withColumn("percentile", F.explode(F.array(*[F.lit(float(p)) for p in percentiles])))
+    return rows.withColumn("value", quantile("location", "scale", "percentile"))
+
+
 def location_and_scale(members: DataFrame, keys: list[str], value: str) -> DataFrame:
     """mean and sample variance of each key's members (variance 0 for a lone one)."""
     return members.groupBy(*keys).agg(F.avg(value).alias("mean"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("var"))

@@ -22,6 +22,82 @@ def per_field(df: DataFrame, key: str, kernel: Callable[[np.ndarray], np.ndarray
     return df.select(key, "iy", "ix", "value").groupBy(key).applyInPandas(run, f"{key} {kind}, iy int, ix int, value double")
 
 
+def per_fields(df: DataFrame, key: str, columns: list[str], kernel: Callable[..., np.ndarray]) -> DataFrame:
+    """kernel over several dense fields of each key, given in the order of columns; the result is `value`."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y, x = rows["iy"].to_numpy(), rows["ix"].to_numpy()
+        fields = []
+        for c in columns:
+            field = np.full((y.max() + 1, x.max() + 1), np.nan)
+            field[y, x] = rows[c]
+            fields.append(field)
+        return pd.DataFrame({key: rows[key], "iy": y, "ix": x, "value": kernel(*fields)[y, x].astype(float)})
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, "iy", "ix", *columns).groupBy(key).applyInPandas(run, f"{key} {kind}, iy int, ix int, value double")
+
+
+def sampled(field: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Bilinear values at places inside the field; NaN outside."""
+    inside = (y >= 0) & (x >= 0) & (y <= field.shape[0] - 1) & (x <= field.shape[1] - 1)
+    y0, x0 = (np.clip(np.floor(c), 0, max(n - 2, 0)).astype(int) for c, n in ((y, field.shape[0]), (x, field.shape[1])))
+    y1, x1 = np.minimum(y0 + 1, field.shape[0] - 1), np.minimum(x0 + 1, field.shape[1] - 1)
+    b, a = y - y0, x - x0
+    out = (1 - b) * ((1 - a) * field[y0, x0] + a * field[y0, x1]) + b * ((1 - a) * field[y1, x0] + a * field[y1, x1])
+    return np.where(inside, out, np.nan)
+
+
+def advect_along(steps: int = 1, passes: int = 3) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Semi-Lagrangian steps along a field of velocities (u, v cells a step).
+
+    Each step's way back is found in `passes` rounds of taking the velocity at its middle, and the ways of all steps are
+    added before the field is read once, so it is not smoothed again and again. What comes from outside is NaN.
+    """
+
+    def kernel(field, u, v):
+        y, x = np.mgrid[: field.shape[0], : field.shape[1]].astype(float)
+        inner = lambda c, n: np.clip(c, 0, n - 1)
+        back_y, back_x = np.zeros(field.shape), np.zeros(field.shape)
+        for _ in range(steps):
+            at_y, at_x = y - back_y, x - back_x
+            dy, dx = np.zeros(field.shape), np.zeros(field.shape)
+            for _ in range(passes):
+                my, mx = inner(at_y - dy / 2, field.shape[0]), inner(at_x - dx / 2, field.shape[1])
+                dy, dx = sampled(v, my, mx), sampled(u, my, mx)
+            back_y, back_x = back_y + dy, back_x + dx
+        return sampled(field, y - back_y, x - back_x)
+
+    return kernel
+
+
+def resized(field: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """The field on another number of rows and columns over the same extent, bilinear."""
+    y, x = (np.linspace(0, n - 1, m) for n, m in zip(field.shape, shape, strict=True))
+    return sampled(field, *np.meshgrid(y, x, indexing="ij"))
+
+
+def mirrored(field: np.ndarray, border: int) -> np.ndarray:
+    """The field with a border in which it is mirrored at its edges."""
+    return np.pad(field, border, mode="symmetric")
+
+
+def bicubic(field: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Values at places by cubic convolution (a = -1/2) over 4 x 4 cells, edges held."""
+
+    def weights(t):
+        t = np.abs(t)
+        return np.where(t <= 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0.0))
+
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    out = np.zeros(np.shape(y))
+    for j in range(-1, 3):
+        for i in range(-1, 3):
+            cell = field[np.clip(y0 + j, 0, field.shape[0] - 1), np.clip(x0 + i, 0, field.shape[1] - 1)]
+            out = out + cell * weights(y - y0 - j) * weights(x - x0 - i)
+    return out
+
+
 def smooth9(times: int) -> Callable[[np.ndarray], np.ndarray]:
     """[1 2 1] by [1 2 1] over 16, times over; borders are extended linearly."""
 

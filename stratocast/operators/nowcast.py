@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stratocast.operators.blending import flow
 from stratocast.operators.fields import advect, cascade
@@ -133,3 +134,41 @@ def features(fields: np.ndarray, most: int = 100, apart: int = 3, edge: int = 1,
         if all((iy - b) ** 2 + (ix - c) ** 2 > apart * apart for b, c, _ in found):
             found.append((iy, ix, float(least[iy, ix])))
     return found
+
+
+# Growth of motion errors with the lead (minutes), along and across the motion: a t**b + c km/h.
+ALONG, ACROSS = (10.88, 0.23, -7.68), (5.76, 0.31, -2.72)
+
+
+def perturbed_motion(u: np.ndarray, v: np.ndarray, minutes: float, km: float, step_minutes: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) in cells a step with one Laplace-distributed error along and one across the motion, growing with the lead."""
+    length = np.hypot(u, v)
+    along_u, along_v = (np.divide(c, length, out=np.zeros_like(length), where=length > 1e-12) for c in (u, v))
+    size = [max(a * minutes**b + c, 0.0) for a, b, c in (ALONG, ACROSS)]
+    one, two = (rng.laplace(0, 1 / np.sqrt(2)) * s * step_minutes / 60 / km for s in size)  # km/h to cells a step
+    return u + one * along_u - two * along_v, v + one * along_v + two * along_u
+
+
+def mean_spectrum(fields: list[np.ndarray]) -> np.ndarray:
+    """Mean amplitude spectrum of fields (missing cells as the least value): a filter for noise of their texture."""
+    clean = [np.where(np.isnan(f), np.nanmin(f), f) for f in fields]
+    return np.mean([np.abs(np.fft.fft2(f - f.mean())) for f in clean], axis=0)
+
+
+def spectra(df: DataFrame, key: str, group: str) -> DataFrame:
+    """group, iy, ix, amplitude: mean_spectrum over each group's fields; fields are transformed one a task and then averaged."""
+
+    def transform(rows: pd.DataFrame) -> pd.DataFrame:
+        y, x = rows["iy"].to_numpy(), rows["ix"].to_numpy()
+        field = np.full((y.max() + 1, x.max() + 1), np.nan)
+        field[y, x] = rows["value"]
+        return pd.DataFrame({group: rows[group], "iy": y, "ix": x, "amplitude": mean_spectrum([field])[y, x]})
+
+    each = df.groupBy(key).applyInPandas(transform, f"{group} {dict(df.dtypes)[group]}, iy int, ix int, amplitude double")
+    return each.groupBy(group, "iy", "ix").agg(F.avg("amplitude").alias("amplitude"))
+
+
+def noise_of(spectrum: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """White noise shaped by the spectrum, with mean 0 and deviation 1."""
+    noise = np.real(np.fft.ifft2(np.fft.fft2(rng.normal(size=spectrum.shape)) * spectrum))
+    return (noise - noise.mean()) / max(noise.std(), 1e-12)

@@ -235,6 +235,37 @@ def convective_stratiform(dx: float, dy: float, intense: float = 42.0, radius: f
     return kernel
 
 
+def feature_classes(dx: float, dy: float, radius: float = 11000.0, always: float = 42.0, most: float = 10.0, zero_at: float = 42.43, least_cells: int = 1, edges: tuple[float, ...] = (25.0, 30.0, 35.0, 40.0), reach: float = 1000.0, weak: float | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    """2 for features, 1 for other echo, 0 for echo under `weak`, NaN without echo.
+
+    Cores stand out from their background by a difference that falls as a cosine; connected cores of under least_cells
+    cells are dropped; a core spreads over echo within reach times one more than the number of edges its background meets.
+    """
+
+    def kernel(dbz):
+        back, known = background(dbz, radius, dx, dy), ~np.isnan(dbz)
+        need = np.where(back < 0, most, np.maximum(most * np.cos(np.pi * np.where(np.isfinite(back), back, 0) / (2 * zero_at)), 0))
+        with np.errstate(invalid="ignore"):
+            core = known & ((dbz >= always) | (dbz - back >= need))
+        area = components(np.where(core, 0, -1))
+        sizes = np.bincount(area[area >= 0], minlength=dbz.size)
+        core &= sizes[np.maximum(area, 0)] >= least_cells
+        spread = reach * (1 + sum((back >= e).astype(int) for e in edges))
+        hit = np.zeros(dbz.shape, bool)
+        ny, nx = dbz.shape
+        for metres in np.unique(spread[core]):
+            here = core & (spread == metres)
+            for j, i in _disc(metres, dx, dy):
+                hit[max(j, 0) : ny - max(-j, 0), max(i, 0) : nx - max(-i, 0)] |= here[max(-j, 0) : ny - max(j, 0), max(-i, 0) : nx - max(i, 0)]
+        out = np.where(hit, 2.0, 1.0)
+        if weak is not None:
+            with np.errstate(invalid="ignore"):
+                out = np.where(dbz < weak, 0.0, out)
+        return np.where(known, out, np.nan)
+
+    return kernel
+
+
 def _edges(velocity: np.ndarray, label: np.ndarray, gaps: tuple[int, int], wrap: bool) -> dict[int, dict[int, list[float]]]:
     """edges[a][b] = [number, sum of a's velocity less b's] of neighbouring gates of different regions.
 

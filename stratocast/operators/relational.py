@@ -34,10 +34,14 @@ def missing_pairs(wanted: DataFrame, found: DataFrame, keys: list[str]) -> DataF
 
 def contingency(df: DataFrame, keys: list[str], forecast: str, observed: str, grades: list[float]) -> DataFrame:
     """hits, misses, false alarms, ts and bias of each grade: a single aggregation over all grades."""
-    graded = df.withColumn("grade", F.explode(F.array(*[F.lit(float(g)) for g in grades])))
-    f, o = F.col(forecast) >= F.col("grade"), F.col(observed) >= F.col("grade")
     n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    out = graded.groupBy(*keys, "grade").agg(n(f & o).alias("hits"), n(~f & o).alias("misses"), n(f & ~o).alias("false_alarms"))
+    f, o = F.col(forecast), F.col(observed)
+    counts = []
+    for i, g in enumerate(grades):  # a conditional sum a grade, so rows are not multiplied
+        counts += [n((f >= g) & (o >= g)).alias(f"h{i}"), n(~(f >= g) & (o >= g)).alias(f"m{i}"), n((f >= g) & ~(o >= g)).alias(f"x{i}")]
+    wide = df.groupBy(*keys).agg(*counts)
+    rows = F.array(*[F.struct(F.lit(float(g)).alias("grade"), F.col(f"h{i}").alias("hits"), F.col(f"m{i}").alias("misses"), F.col(f"x{i}").alias("false_alarms")) for i, g in enumerate(grades)])
+    out = wide.select(*keys, F.inline(rows))
     any_ = F.col("hits") + F.col("misses") + F.col("false_alarms")
     seen = F.col("hits") + F.col("misses")
     ts = F.when(any_ > 0, F.col("hits") / any_).otherwise(0.0)
@@ -173,15 +177,20 @@ def wet_mask(df: DataFrame, keys: list[str], value: str, share: float) -> DataFr
 def matched_levels(df: DataFrame, keys: list[str], forecast: str, observed: str, levels: list[float]) -> DataFrame:
     """For each observed level, the forecast value of the same relative rank: the frequency-matching map.
 
-    One aggregation counts observations below each level; the forecast quantile at that share follows from exact
-    percentiles.
+    One aggregation counts observations below each level. Forecasts are counted by value first, so the running count that
+    gives ranks goes over a key's different values, not over its rows; a level then takes the values at its two places.
     """
     shares = [F.avg((F.col(observed) < x).cast("double")).alias(f"s{i}") for i, x in enumerate(levels)]
-    wide = df.groupBy(*keys).agg(*shares, F.array_sort(F.collect_list(forecast)).alias("f"))
-    at = lambda s: s * (F.size("f") - 1)
-    pick = lambda s: F.element_at("f", F.floor(at(s)).cast("int") + 1) + (at(s) - F.floor(at(s))) * (F.element_at("f", F.least(F.floor(at(s)).cast("int") + 2, F.size("f"))) - F.element_at("f", F.floor(at(s)).cast("int") + 1))
-    rows = F.array(*[F.struct(F.lit(float(x)).alias("observed_level"), pick(F.col(f"s{i}")).alias("forecast_level")) for i, x in enumerate(levels)])
-    return wide.select(*keys, F.inline(rows))
+    wide = df.groupBy(*keys).agg(F.count(forecast).alias("total"), *shares)
+    at = lambda i: F.col(f"s{i}") * (F.col("total") - 1)
+    wanted = wide.select(*keys, "total", F.inline(F.array(*[F.struct(F.lit(float(x)).alias("observed_level"), at(i).alias("at")) for i, x in enumerate(levels)])))
+    counted = df.where(F.col(forecast).isNotNull()).groupBy(*keys, F.col(forecast).alias("value")).agg(F.count("*").alias("n"))
+    ranked = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    held = lambda place: (place >= F.col("upto") - F.col("n")) & (place < F.col("upto"))
+    low, high = F.floor("at"), F.least(F.floor("at") + 1, F.col("total") - 1)
+    met = wanted.join(ranked, keys).where(held(low) | held(high))
+    ends = met.groupBy(*keys, "observed_level", "at").agg(F.max(F.when(held(low), F.col("value"))).alias("a"), F.max(F.when(held(high), F.col("value"))).alias("b"))
+    return ends.select(*keys, "observed_level", (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("forecast_level"))
 
 
 def weighted_blend(df: DataFrame, keys: list[str], value: str, score: str, power: float = -2.0) -> DataFrame:

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from stratocast.functions import calendar as C
 from stratocast.functions import cleaning as Q
+from stratocast.operators import calibration as CAL
 from stratocast.operators import fields as K
 from stratocast.operators import neighbours as N
+from stratocast.operators import nowcast as NC
 from stratocast.operators import phenomena as P
 from stratocast.operators import radar as D
 from stratocast.operators import selection as S
 from stratocast.sources import listing as L
 from stratocast.sources import micaps
+from stratocast.streaming import state
 from tests.test_catalog import steps
 
 
@@ -174,3 +177,108 @@ def test_scan_order_of_convective_cells():
     assert np.array_equal(got, want, equal_nan=True)
     free = D.convective_stratiform(1000.0, 1000.0, radius=4000.0, in_order=False)(dbz)
     assert (free >= got)[~np.isnan(dbz)].all()
+
+
+def test_flow_follows_its_velocities():
+    y, x = np.mgrid[:20, :30].astype(float)
+    plane = 2 * y + 3 * x
+    ones = np.ones(plane.shape)
+    moved = K.advect_along(3)(plane, 2 * ones, -1 * ones)
+    assert np.allclose(moved[:17, 6:], (plane - 3 * (2 * -1 + 3 * 2))[:17, 6:]) and np.isnan(moved[:, :6]).all()
+    turn = K.advect_along(1, passes=8)(plane, -(y - 10) * 0.1, (x - 15) * 0.1)  # a rotation keeps its centre
+    assert turn[10, 15] == pytest.approx(plane[10, 15])
+
+
+def test_resizing_mirroring_and_cubic_values_keep_planes():
+    y, x = np.mgrid[:6, :9].astype(float)
+    plane = y - 2 * x
+    assert np.allclose(K.resized(plane, (11, 17))[::2, ::2], plane)
+    assert K.mirrored(plane, 2).shape == (10, 13) and K.mirrored(plane, 1)[0, 1] == plane[0, 0]
+    at = np.array([1.3, 3.5]), np.array([2.25, 5.5])
+    assert np.allclose(K.bicubic(plane, *at), at[0] - 2 * at[1])
+
+
+def test_motion_errors_are_seeded_and_noise_has_the_texture():
+    u, v = np.full((5, 5), 2.0), np.zeros((5, 5))
+    one, two = (NC.perturbed_motion(u, v, 60, 1.0, 10.0, np.random.default_rng(3)) for _ in range(2))
+    assert np.array_equal(one[0], two[0]) and np.ptp(one[0]) == 0 and not np.allclose(one[0], u)
+    field = np.add.outer(np.sin(np.arange(32) / 5), np.zeros(32))
+    noise = NC.noise_of(NC.mean_spectrum([field, field * 2]), np.random.default_rng(0))
+    assert noise.mean() == pytest.approx(0) and noise.std() == pytest.approx(1) and np.abs(np.diff(noise, axis=1)).max() < 1e-6
+
+
+def test_spectra_are_averaged_over_fields(spark):
+    rng = np.random.default_rng(1)
+    fields = rng.random((3, 4, 4))
+    rows = [(k, 7, y, x, float(fields[k, y, x])) for k in range(3) for y in range(4) for x in range(4)]
+    got = {(r.iy, r.ix): r.amplitude for r in NC.spectra(spark.createDataFrame(rows, "k int, g int, iy int, ix int, value double"), "k", "g").collect()}
+    want = NC.mean_spectrum(list(fields))
+    assert all(got[y, x] == pytest.approx(want[y, x]) for y in range(4) for x in range(4))
+
+
+def test_features_drop_single_cells():
+    dbz = np.full((15, 15), 15.0)
+    dbz[3, 3] = 50.0
+    dbz[9:12, 9:12] = 50.0
+    out = D.feature_classes(1000.0, 1000.0, radius=3000.0, least_cells=4)(dbz)
+    assert out[3, 3] == 1 and out[10, 10] == 2
+
+
+def test_lines_with_several_predictors(spark):
+    rng = np.random.default_rng(2)
+    p, q = rng.normal(size=200), rng.normal(size=200)
+    rows = [(int(i % 2), float(a), float(b), 5.0, float(1 + 2 * a - 3 * b + (i % 2))) for i, (a, b) in enumerate(zip(p, q, strict=True))] + [(0, None, 1.0, 5.0, 9.0)]
+    df = spark.createDataFrame(rows, "k int, p double, q double, c double, y double")
+    fits = CAL.linear_fit(df, ["k"], ["p", "q", "c"], "y")
+    got = {r.k: r.coefficients for r in fits.collect()}
+    assert got[0] == pytest.approx([1, 2, -3, 0], abs=1e-6) and got[1] == pytest.approx([2, 2, -3, 0], abs=1e-6)
+    out = CAL.fitted(df.where("p is not null"), fits, ["k"], ["p", "q", "c"]).collect()
+    assert all(r.fitted == pytest.approx(r.y, abs=1e-6) for r in out)
+
+
+def test_many_pairs_of_a_key_meet_in_bounded_bins(spark):
+    rng = np.random.default_rng(3)
+    mean = rng.normal(10, 3, 4000)
+    rows = [(1, float(m), float(v), float(2 + 0.9 * m + e)) for m, v, e in zip(mean, rng.random(4000), rng.normal(0, 0.5, 4000), strict=True)]
+    df = spark.createDataFrame(rows, "k int, mean double, var double, truth double")
+    whole, binned = (CAL.fit(df, ["k"], most_bins=n).first() for n in (65_536, 1000))
+    assert binned.alpha == pytest.approx(whole.alpha, abs=0.1) and binned.beta == pytest.approx(whole.beta, abs=0.01)
+
+
+def test_truncated_percentiles_are_not_negative(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (-3.0, 0.0)], "location double, scale double")
+    got = [r.value for r in CAL.truncated_percentiles(df, [50.0]).orderBy("location", ascending=False).collect()]
+    assert got == pytest.approx([0.67449, 0.0], abs=1e-4)
+
+
+def test_streams_remember_scores_and_write_once(spark, tmp_path):
+    for n, rows in enumerate([[(1, "a", 0, 1.0), (1, "b", 0, 4.0)], [(1, "a", 1, 3.0), (1, "b", 1, None)]]):
+        spark.createDataFrame(rows, "block long, model string, ts long, score double").coalesce(1).write.parquet(f"{tmp_path}/in/b{n}")
+    stream = spark.readStream.schema("block long, model string, ts long, score double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = state.remembered_scores(stream, 0.1).writeStream.format("memory").queryName("scores").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.model, round(r.score, 6)) for r in spark.table("scores").collect()}
+    assert ("a", 1.2) in got and ("b", 4.0) in got
+    write = state.written_once(f"{tmp_path}/out", ["ts"])
+    batch = spark.createDataFrame([(1, 5), (2, 6)], "ts long, v int")
+    for _ in range(2):
+        write(batch, 0)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_streams_take_allowed_cycles_once_and_pair(spark, tmp_path):
+    t = lambda h, m=0: datetime(2026, 3, 1, h, m)
+    spark.createDataFrame([(t(1), 1), (t(1), 1), (t(1, 10), 1), (t(2), 3)], "cycle timestamp, lead int").coalesce(1).write.parquet(f"{tmp_path}/f")
+    stream = spark.readStream.schema("cycle timestamp, lead int").parquet(f"{tmp_path}/f")
+    q = state.allowed_cycles(stream, [0], "1 hour").writeStream.format("memory").queryName("cycles").option("checkpointLocation", f"{tmp_path}/c1").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.cycle, r.lead) for r in spark.table("cycles").collect()) == [(t(1), 1), (t(2), 3)]
+    spark.createDataFrame([(7, t(1), 1.0), (7, t(2), 2.0)], "id int, valid timestamp, forecast double").write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame([(7, t(1), 5.0), (8, t(2), 6.0)], "id int, time timestamp, observed double").write.parquet(f"{tmp_path}/b")
+    a, b = (spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{n}").schema).parquet(f"{tmp_path}/{n}") for n in "ab")
+    q = state.paired(a, b, ["id"], "1 hour").writeStream.format("memory").queryName("pairs").option("checkpointLocation", f"{tmp_path}/c2").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r.id, r.forecast, r.observed) for r in spark.table("pairs").collect()] == [(7, 1.0, 5.0)]
