@@ -226,8 +226,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 1, max_patterns: int = 100_000) -> DataFrame:
     """The rows of docs as often as the mix takes them (taken / size), with all their columns.
 
-    Documents without words add nothing to the mix and go. The plan is broadcast and each row decides by its own
-    columns, so texts are not shuffled.
+    Documents without words (null texts too) add nothing to the mix and go. Null ids are taken like others, and equal
+    rows are taken alike, each as often. An empty table gives an empty one. The plan is broadcast and each row decides by
+    its own columns, so texts are not shuffled.
     """
     _, plan = plan_mix(docs, weights, share, most, seed, max_patterns)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text")

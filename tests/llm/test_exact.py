@@ -112,6 +112,34 @@ def test_trees_are_monotone():
     assert ((model.probability(x) > 0.5) == y).mean() > 0.85
 
 
+def slow_probability(model, x):
+    total = model.base
+    for root in model.roots:
+        at = root
+        while model.feature[at] >= 0:
+            at = model.left[at] if x[model.feature[at]] <= model.threshold[at] else model.right[at]
+        total += model.value[at]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_verdicts_equal_a_walk_down_each_tree(spark, texts):
+    docs, labels = (spark.read.parquet(f"{MID}/{t}.parquet") for t in ("documents", "labels"))
+    model = rules.fit_rules(docs, labels)
+    for r in rules.apply_rules(docs, model).collect():
+        p = slow_probability(model, rules.features_of(np.array([rules.counts_of(texts[r.doc_id].encode())]))[0])
+        assert r.score == pytest.approx(p) and r.kept == (not r.base_failed and p >= 0.5)
+    for r in rules.keep_good(docs, model).select("doc_id", "text").limit(50).collect():
+        assert slow_probability(model, rules.features_of(np.array([rules.counts_of(r.text.encode())]))[0]) >= 0.5
+
+
+def test_rules_keep_held_out_good_documents(spark):
+    """Over rows that the base rules do not fail, which the labels need not follow."""
+    sf = "/root/testdata/sf0.1"
+    rows = QUERIES["op3_quality_rules"](spark, sf).where("not base_failed and crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
+    rows = rows.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("quality is not null").collect()
+    assert len(rows) > 100 and sum(r.kept == (r.quality == 1) for r in rows) / len(rows) > 0.9
+
+
 @pytest.mark.parametrize("name,label,floor", [("op6_quality_classifier", "quality", 0.95), ("op9_toxicity", "toxic", 0.9)])
 def test_held_out_accuracy(spark, name, label, floor):
     scored = QUERIES[name](spark, "/root/testdata/sf0.1")
@@ -317,6 +345,47 @@ def test_overlapping_sources_share_capacity():
     assert mixing.capped_shares([100, 10, 50], [3, 1, 2], 240, 2) == pytest.approx([132, 20, 88])
 
 
+def test_flow_costs_what_the_best_enumerated_one_does():
+    """All ways to send whole words from two patterns (one in both sources) to two sources, up to two uses each."""
+    rng = random.Random(1)
+    for _ in range(20):
+        capacity, members, most = [rng.randint(1, 4), rng.randint(1, 4)], [[0], [0, 1]], 2
+        quota = [rng.randint(0, 6), rng.randint(0, 6)]
+        cost = lambda words, size: min(words, size) + 3 * max(words - size, 0)
+        best = (-1, 0)
+        for a in range(most * capacity[0] + 1):
+            for b in range(most * capacity[1] + 1):
+                for c in range(most * capacity[1] - b + 1):
+                    if a + b <= quota[0] and c <= quota[1]:
+                        best = max(best, (a + b + c, -cost(a, capacity[0]) - cost(b + c, capacity[1])))
+        flow = mixing.min_cost_flow(capacity, members, quota, most)
+        sent = [sum(sum(u) for u in f.values()) for f in flow]
+        assert (sum(sent), -sum(cost(w, n) for w, n in zip(sent, capacity, strict=True))) == best
+        assert all(sum(sum(f.get(s, [0])) for f in flow) <= quota[s] for s in (0, 1))
+
+
+def test_packing_leaves_little_over(spark, texts):
+    """No padding: but for each task's end, which is cut at powers of two, all sequences are full."""
+    rows = QUERIES["op4_packing"](spark, MID).collect()
+    filled = Counter()
+    for r in rows:
+        filled[r.sequence_id] += r.length
+    short = [n for n in filled.values() if n < 2048]
+    tasks = len({s >> 40 for s in filled})
+    assert all(n & (n - 1) == 0 for n in filled.values()) and len(short) <= 11 * tasks
+    assert sum(filled.values()) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+
+
+def test_repeat_counts_come_near_the_least_squares():
+    """The rounded counts use no piece twice, and leave hardly more than the unbounded least-squares fit does."""
+    rng = np.random.default_rng(0)
+    histogram = np.bincount(rng.integers(1, 64, 3000), minlength=65)
+    pattern, length, times = packing.combinations(histogram, 64)
+    counts = packing.repeat_counts(histogram, pattern, length, times)
+    used = np.bincount(length, weights=times * counts[pattern], minlength=65)
+    assert (used <= histogram).all() and used.sum() > 0.8 * histogram.sum()
+
+
 @pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 100_000, "chunk_bytes": 200_000, "fan": 4}])
 def test_kneser_ney_equals_dictionaries(spark, texts, sizes):
     """Order 3 against plain dictionaries; the second run deals packets over several levels."""
