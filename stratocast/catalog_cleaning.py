@@ -440,6 +440,44 @@ def local_peaks(spark, d):
     return N.local_peaks(T.grid(spark, d), [], "v", 2, 35.0).select("iy", "ix", "v")
 
 
+# --- stations on the sphere
+_SPOTS = f"(SELECT id, 100 + sx * 2 AS lon, 20 + sy * 1.5 AS lat, sx AS fx, sy AS fy, value FROM {T.STATIONS})"
+_CELLS = f"(SELECT iy * 100 + ix AS id, iy, ix, 100 + ix * 2.0 AS lon, 20 + iy * 1.5 AS lat, v FROM {T.GRID})"
+_CHORD = "sqrt(power(6371 * (cos(radians(s.lat)) * cos(radians(s.lon)) - cos(radians(c.lat)) * cos(radians(c.lon))), 2) + power(6371 * (cos(radians(s.lat)) * sin(radians(s.lon)) - cos(radians(c.lat)) * sin(radians(c.lon))), 2) + power(6371 * (sin(radians(s.lat)) - sin(radians(c.lat))), 2))"
+_RESIDUALS = f"""(SELECT s.id, any_value(s.lon) AS lon, any_value(s.lat) AS lat, any_value(s.value) - sum(g.v * (1 - abs(s.fy - g.iy)) * (1 - abs(s.fx - g.ix))) AS value
+    FROM {_SPOTS} s JOIN {T.GRID} g ON abs(s.fy - g.iy) < 1 AND abs(s.fx - g.ix) < 1 GROUP BY s.id HAVING abs(sum((1 - abs(s.fy - g.iy)) * (1 - abs(s.fx - g.ix))) - 1) < 1e-9)"""
+
+
+def _near_sql(source: str, k: int) -> str:
+    return f"SELECT c.id, s.value, {_CHORD} AS d FROM {_CELLS} c, {source} s QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY d, s.id) <= {k}"
+
+
+def _spots(spark, d):
+    return T.stations(spark, d).select("id", (100 + _c("sx") * 2).alias("lon"), (20 + _c("sy") * 1.5).alias("lat"), _c("sx").alias("fx"), _c("sy").alias("fy"), "value")
+
+
+def _sphere_cells(spark, d):
+    return T.grid(spark, d).select((_c("iy") * 100 + _c("ix")).alias("id"), (100 + _c("ix") * 2.0).alias("lon"), (20 + _c("iy") * 1.5).alias("lat"), "v")
+
+
+@query("sphere_idw", f"WITH n AS ({_near_sql(_SPOTS, 5)}) SELECT id, round(CASE WHEN min(d) + 1e-6 <= 300 THEN sum(value / power(d + 1e-6, 2)) / sum(1 / power(d + 1e-6, 2)) ELSE 0 END, 3) AS value FROM n GROUP BY id")
+def sphere_idw(spark, d):
+    out = N.sphere_analysis(_spots(spark, d), _sphere_cells(spark, d), 5, 300.0)
+    return out.select("id", F.round("value", 3).alias("value"))
+
+
+@query("sphere_idw_delta", f"WITH n AS ({_near_sql(_RESIDUALS, 4)}) SELECT c.id, round(any_value(c.v) + sum(value * exp(-power((d + 1e-6) / 500, 2)) / power(d + 1e-6, 2)) / sum(1 / power(d + 1e-6, 2)), 3) AS value FROM n JOIN {_CELLS} c USING (id) GROUP BY c.id")
+def sphere_idw_delta(spark, d):
+    left = N.residuals(_spots(spark, d), T.grid(spark, d), "v")
+    return N.sphere_analysis(left, _sphere_cells(spark, d), 4, 500.0, background="v").select("id", F.round("value", 3).alias("value"))
+
+
+@query("sphere_gaussian_delta", f"WITH n AS ({_near_sql(_RESIDUALS, 1)}) SELECT c.id, round(c.v + CASE WHEN d <= 400 THEN exp(-power(d / 400, 2)) * value ELSE 0 END, 3) AS value FROM n JOIN {_CELLS} c USING (id)")
+def sphere_gaussian_delta(spark, d):
+    left = N.residuals(_spots(spark, d), T.grid(spark, d), "v")
+    return N.sphere_analysis(left, _sphere_cells(spark, d), 1, 400.0, background="v").select("id", F.round("value", 3).alias("value"))
+
+
 # --- fields that grow with the tables
 def _near(radius: int) -> str:
     return f"(SELECT a.iy + dy AS iy, a.ix + dx AS ix, a.v, a.z FROM {T.WIDE} a, (VALUES {', '.join(f'({y}, {x})' for y in range(-radius, radius + 1) for x in range(-radius, radius + 1))}) o(dy, dx))"

@@ -205,3 +205,63 @@ def local_peaks(grid: DataFrame, keys: list[str], value: str, radius: int, least
 def region_greatest(grid: DataFrame, inside: Column, value: str) -> DataFrame:
     """Greatest value and number of the cells inside a region."""
     return grid.where(inside).agg(F.max(value).alias("greatest"), F.count("*").alias("cells"))
+
+
+EARTH = 6371.0  # km
+
+
+def _on_sphere(lon: str, lat: str) -> list[Column]:
+    a, b = F.radians(lon), F.radians(lat)
+    return [(EARTH * F.cos(b) * F.cos(a)).alias("x"), (EARTH * F.cos(b) * F.sin(a)).alias("y"), (EARTH * F.sin(b)).alias("z")]
+
+
+def sphere_neighbours(stations: DataFrame, cells: DataFrame, k: int, reach: float) -> DataFrame:
+    """id, place, d (chord in km), value: the k nearest stations (id, lon, lat, value) of each cell (id, lon, lat), at any distance.
+
+    Stations are dealt to the cubes of `reach` km around theirs, so a cell meets only those near it. Cells with under k
+    stations within reach go on with twice the reach, till the earth is covered: their number falls with every round.
+    """
+    spots = stations.where("value is not null").select(F.col("id").alias("station"), "value", *_on_sphere("lon", "lat"))
+    todo = cells.select("id", *[c.alias(f"{n}0") for c, n in zip(_on_sphere("lon", "lat"), "xyz", strict=True)])
+    done = None
+    while True:
+        cube = lambda c: F.floor(F.col(c) / reach).cast("long")  # noqa: B023, E731
+        moves = F.array(*[F.struct(*[F.lit(s).alias(n) for s, n in zip((a, b, c), "abc", strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+        spread = spots.select("*", F.explode(moves).alias("o")).select("station", "value", "x", "y", "z", *[(cube(c) + F.col(f"o.{n}")).alias(f"c{c}") for c, n in zip("xyz", "abc", strict=True)])
+        asked = todo.select("*", *[cube(f"{c}0").alias(f"c{c}") for c in "xyz"])
+        d = F.sqrt(F.pow(F.col("x") - F.col("x0"), 2) + F.pow(F.col("y") - F.col("y0"), 2) + F.pow(F.col("z") - F.col("z0"), 2))
+        near = asked.join(spread, ["cx", "cy", "cz"]).withColumn("d", d).where(F.col("d") <= reach)
+        ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("d", "station"))).where(F.col("place") <= k)
+        whole = ranked.withColumn("n", F.count("*").over(Window.partitionBy("id")))
+        last = reach >= 2 * EARTH
+        found = (whole if last else whole.where(F.col("n") == k)).select("id", "place", "d", "value")
+        done = found if done is None else done.unionByName(found)
+        if last:
+            return done
+        todo = todo.join(found.select("id").distinct(), "id", "left_anti")
+        reach = max(reach * 4, 2 * EARTH) if reach * 4 > EARTH else reach * 4
+
+
+def sphere_analysis(stations: DataFrame, cells: DataFrame, k: int = 8, effect: float = 1000.0, power: float = 2.0, background: str | None = None) -> DataFrame:
+    """Cells (id, lon, lat) with value: without a background the inverse-distance mean of the k nearest stations, 0 where the
+    nearest is beyond `effect`; with one (a column of cells), the background and the mean residual, each station's also
+    falling as a Gaussian of effect. Stations' values are residuals then (see residuals)."""
+    near = sphere_neighbours(stations, cells, k, effect).withColumn("d", F.col("d") + 1e-6 if k > 1 else F.col("d"))
+    w, gauss = 1 / F.pow("d", F.lit(power)), F.exp(-F.pow(F.col("d") / effect, 2))
+    if background is None:
+        mean = F.sum(w * F.col("value")) / F.sum(w) if k > 1 else F.max("value")
+        out = near.groupBy("id").agg(F.when(F.min("d") <= effect, mean).otherwise(0.0).alias("value"))
+        return cells.drop("value").join(out, "id", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    mean = F.sum(w * gauss * F.col("value")) / F.sum(w) if k > 1 else F.max(F.when(F.col("d") <= effect, gauss * F.col("value")).otherwise(0.0))
+    out = near.groupBy("id").agg(mean.alias("step"))
+    return cells.join(out, "id", "left").withColumn("value", F.col(background) + F.coalesce("step", F.lit(0.0))).drop("step")
+
+
+def residuals(stations: DataFrame, grid: DataFrame, value: str) -> DataFrame:
+    """Stations (id, fy, fx in cell units, value) with their value less the grid's at their place; those off the grid go."""
+    y0, x0 = F.floor("fy").cast("int"), F.floor("fx").cast("int")
+    wy, wx = F.col("fy") - y0, F.col("fx") - x0
+    corners = F.array(*[F.struct((y0 + a).alias("iy"), (x0 + b).alias("ix"), ((wy if a else 1 - wy) * (wx if b else 1 - wx)).alias("w")) for a in (0, 1) for b in (0, 1)])
+    met = stations.select("id", F.inline(corners)).where("w > 0").join(grid.select("iy", "ix", F.col(value).alias("at")), ["iy", "ix"], "left")
+    there = met.groupBy("id").agg(F.when(F.count("at") == F.count("*"), F.sum(F.col("w") * F.col("at"))).alias("at"))
+    return stations.join(there, "id").where("at is not null").withColumn("value", F.col("value") - F.col("at")).drop("at")
