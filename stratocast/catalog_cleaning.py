@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from stratocast.catalog import _codes_sql, query, scalar
 from stratocast.functions import calendar as C
 from stratocast.functions import cleaning as Q
+from stratocast.operators import datasets as DS
 from stratocast.operators import neighbours as N
 from stratocast.operators import phenomena as P
 from stratocast.operators import relational as R
@@ -440,6 +441,57 @@ def local_peaks(spark, d):
     return N.local_peaks(T.grid(spark, d), [], "v", 2, 35.0).select("iy", "ix", "v")
 
 
+# --- data sets
+def _station_rows(spark, d):
+    ts = F.make_timestamp(F.lit(2026), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(days=(_c("day") % 400).cast("int"))
+    return T.series(spark, d).select("id", ts.alias("time"), (_c("id") % 3 * 24).cast("int").alias("dtime"), _c("v").alias("value"))
+
+
+_ROWS = f"(SELECT id, TIMESTAMP '2026-01-01' + to_days(CAST(day % 400 AS INTEGER)) AS time, CAST(id % 3 * 24 AS INTEGER) AS dtime, v AS value FROM {T.SERIES})"
+_SOURCES = f"""(SELECT time + to_hours(dtime) AS valid, id % 5 AS id, NULL::INTEGER AS dtime, 'ob' AS source, value FROM {_ROWS} WHERE id < 10
+    UNION ALL SELECT time + to_hours(dtime), id % 5, dtime, 'm1', value FROM {_ROWS} WHERE id BETWEEN 10 AND 24 UNION ALL SELECT time + to_hours(dtime + 24), id % 5, dtime, 'm2', 2 * value FROM {_ROWS} WHERE id >= 25)"""
+
+
+def _sources(spark, d):
+    rows = _station_rows(spark, d)
+    part = lambda cond: rows.where(cond).withColumn("id", _c("id") % 5)
+    return part("id < 10"), {"m1": part("id between 10 and 24"), "m2": part("id >= 25")}, {"m2": 24}, {"m2": lambda c: 2 * c}
+
+
+@query("combined_outer", f"SELECT valid, id, max(value) FILTER (source = 'ob') AS ob, max(value) FILTER (source = 'm1') AS m1, max(value) FILTER (source = 'm2') AS m2 FROM {_SOURCES} GROUP BY 1, 2")
+def combined_outer(spark, d):
+    observed, models, shift, operations = _sources(spark, d)
+    return DS.combined(observed, models, "valid", "outer", shift, operations)
+
+
+@query("combined_inner", f"SELECT valid, id, max(value) FILTER (source = 'ob') AS ob, max(value) FILTER (source = 'm1') AS m1, max(value) FILTER (source = 'm2') AS m2 FROM {_SOURCES} GROUP BY 1, 2 HAVING ob IS NOT NULL AND m1 IS NOT NULL AND m2 IS NOT NULL")
+def combined_inner(spark, d):
+    observed, models, shift, operations = _sources(spark, d)
+    return DS.combined(observed, models, "valid", "inner", shift, operations)
+
+
+@query("combined_by_lead", f"""
+    SELECT valid, id, dtime, o.ob, m1, m2 FROM (SELECT valid, id, dtime, max(value) FILTER (source = 'm1') AS m1, max(value) FILTER (source = 'm2') AS m2 FROM {_SOURCES} WHERE source <> 'ob' GROUP BY 1, 2, 3)
+    JOIN (SELECT valid, id, max(value) AS ob FROM {_SOURCES} WHERE source = 'ob' GROUP BY 1, 2) o USING (valid, id)""")
+def combined_by_lead(spark, d):
+    observed, models, shift, operations = _sources(spark, d)
+    return DS.combined(observed, models, "issue", "left", shift, operations)
+
+
+@query("blend_by_function", f"SELECT block, round(sum(exp(-abs(o - 25) / 10) * f) / sum(exp(-abs(o - 25) / 10)), 4) AS blend FROM {T.MODELS} GROUP BY block")
+def blend_by_function(spark, d):
+    return _r(DS.weighted(T.models(spark, d), ["block"], "f", "o", lambda s: F.exp(-F.abs(s - 25) / 10)), "blend", keep=("block",))
+
+
+@query("land_lapse_rate", f"""
+    WITH g AS (SELECT iy, ix, v, z, CAST((iy + ix) % 4 > 0 AS INTEGER) AS land FROM {T.GRID}),
+    s AS (SELECT a.iy, a.ix, CASE WHEN var_pop(b.z) > 1e-9 THEN regr_slope(b.v, b.z) END AS slope FROM g a JOIN g b ON abs(a.iy - b.iy) <= 2 AND abs(a.ix - b.ix) <= 2 AND abs(a.z - b.z) <= 50 WHERE a.land = 1 AND b.land = 1 GROUP BY 1, 2)
+    SELECT g.iy, g.ix, round(coalesce(s.slope, -0.0065), 4) AS slope FROM g LEFT JOIN s USING (iy, ix)""")
+def land_lapse_rate(spark, d):
+    g = T.grid(spark, d).withColumn("land", ((_c("iy") + _c("ix")) % 4 > 0).cast("int"))
+    return _r(R.local_slope(g, 2, "v", "z", 50.0, -0.0065, land="land"), "slope", keep=("iy", "ix"))
+
+
 # --- stations on the sphere
 _SPOTS = f"(SELECT id, 100 + sx * 2 AS lon, 20 + sy * 1.5 AS lat, sx AS fx, sy AS fy, value FROM {T.STATIONS})"
 _CELLS = f"(SELECT iy * 100 + ix AS id, iy, ix, 100 + ix * 2.0 AS lon, 20 + iy * 1.5 AS lat, v FROM {T.GRID})"

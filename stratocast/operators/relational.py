@@ -121,8 +121,14 @@ def circle_percentiles(df: DataFrame, keys: list[str], radius: float, value: str
     return around(df, keys, radius, value).groupBy(*keys, "iy", "ix").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("p"))
 
 
-def local_slope(df: DataFrame, radius: int, y: str, x: str, most: float, default: float) -> DataFrame:
-    """Slope of y on x over the window around each cell, using neighbours within `most` of the cell's x."""
+def local_slope(df: DataFrame, radius: int, y: str, x: str, most: float, default: float, land: str | None = None) -> DataFrame:
+    """Slope of y on x over the window around each cell, using neighbours within `most` of the cell's x.
+
+    With a land column, sea cells (not 1) get the default and are no neighbours.
+    """
+    if land:
+        own = local_slope(df.where(F.col(land) == 1), radius, y, x, most, default)
+        return df.select("iy", "ix").join(own, ["iy", "ix"], "left").select("iy", "ix", F.coalesce("slope", F.lit(default)).alias("slope"))
     near = df.select("iy", "ix", F.col(x).alias("x0"))
     moves = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]))
     sides = df.select((F.col("iy")).alias("y1"), F.col("ix").alias("x1"), F.col(y).alias("v"), F.col(x).alias("z"), moves.alias("o"))
@@ -161,9 +167,13 @@ def snap_max(stations: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.join(at, ["iy", "ix"], "left").withColumn("value", F.coalesce("station", "value")).drop("station")
 
 
-def ensemble_reorder(raw: DataFrame, calibrated: DataFrame, keys: list[str]) -> DataFrame:
-    """Ensemble copula coupling: calibrated quantiles take the rank order of the raw members (ties by member)."""
-    a = raw.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("value", "member"))).drop("value")
+def ensemble_reorder(raw: DataFrame, calibrated: DataFrame, keys: list[str], seed: int | None = None) -> DataFrame:
+    """Ensemble copula coupling: calibrated quantiles take the rank order of the raw members.
+
+    Ties go by member; with a seed in a random order that the seed fixes.
+    """
+    tie = "member" if seed is None else F.xxhash64(F.lit(seed), *keys, "member")
+    a = raw.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("value", tie))).drop("value")
     b = calibrated.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("value", "percentile"))).drop("percentile")
     return a.join(b, [*keys, "r"]).select(*keys, "member", "value")
 

@@ -6,17 +6,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stratocast import run
 from stratocast.functions import calendar as C
 from stratocast.functions import cleaning as Q
 from stratocast.operators import calibration as CAL
+from stratocast.operators import datasets, relational
 from stratocast.operators import fields as K
 from stratocast.operators import neighbours as N
 from stratocast.operators import nowcast as NC
 from stratocast.operators import phenomena as P
 from stratocast.operators import radar as D
 from stratocast.operators import selection as S
+from stratocast.sources import config, micaps
 from stratocast.sources import listing as L
-from stratocast.sources import micaps
 from stratocast.streaming import state
 from tests.test_catalog import steps
 
@@ -282,3 +284,40 @@ def test_streams_take_allowed_cycles_once_and_pair(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.id, r.forecast, r.observed) for r in spark.table("pairs").collect()] == [(7, 1.0, 5.0)]
+
+
+def test_a_model_list_gives_its_run():
+    text = "\ufeff# note\nmodelNum=2\nec=/in/ec/YYYYMMDDHH.VVV.m4\ncma = /in/cma/YYYY/MMDDHH.VVV\nfact=/ob/YYYYMMDDHH.000\nstaoutputPath=/out/YYYYMMDDHH.VVV\nblock=5,5\ntitle=x\n"
+    run = config.run_of(text, datetime(2026, 3, 1, 8), (24, 120))
+    assert run.paths() == [("ec", 24, "/in/ec/2026030108.024.m4"), ("ec", 120, "/in/ec/2026030108.120.m4"), ("cma", 24, "/in/cma/2026/030108.024"), ("cma", 120, "/in/cma/2026/030108.120")]
+    assert run.observed()[0] == (24, "/ob/2026030208.000") and run.block == (5.0, 5.0) and run.other == {"title": "x"}
+    with pytest.raises(ValueError):
+        config.run_of("modelNum=3\na=/YYYY\n", datetime(2026, 3, 1), (24,))
+    assert config.settings("[a]\nb=1 = 2\n")["a"] == {"b": "1 = 2"}
+
+
+def test_the_latest_cycle_is_old_enough():
+    assert config.cycle_before(datetime(2026, 3, 1, 9), (8, 20), 6) == datetime(2026, 2, 28, 20)
+    assert config.cycle_before(datetime(2026, 3, 1, 14), (8, 20), 6) == datetime(2026, 3, 1, 8)
+
+
+def test_functions_are_fanned_out(spark):
+    import pandas as pd
+
+    parameters = pd.DataFrame({"n": [1, 2, 3]})
+    got = datasets.fanned_out(spark, lambda n, by: pd.DataFrame({"n": [n], "m": [n * by]}), parameters, "n long, m long", {"by": 10}).collect()
+    assert sorted(map(tuple, got)) == [(1, 10), (2, 20), (3, 30)]
+    assert datasets.in_turn(spark.range(5), [lambda d: d.where("id > 1"), lambda d: d.limit(2)]).count() == 2
+
+
+def test_a_query_runs_from_the_command_line_once(spark, small, tmp_path):
+    out = f"{tmp_path}/out"
+    assert run.main(["wind_chill", small, out]) and spark.read.parquet(out).count() > 0
+    assert not run.main(["wind_chill", small, out]) and run.main(["wind_chill", small, out, "--overwrite"])
+
+
+def test_ties_of_members_take_a_seeded_order(spark):
+    raw = spark.createDataFrame([(1, m, 0.0) for m in range(8)], "id int, member int, value double")
+    calibrated = spark.createDataFrame([(1, float(p), float(p)) for p in range(8)], "id int, percentile double, value double")
+    order = lambda seed: [r.value for r in relational.ensemble_reorder(raw, calibrated, ["id"], seed).orderBy("member").collect()]
+    assert order(None) == [float(p) for p in range(8)] and order(3) == order(3) != order(None) and sorted(order(3)) == order(None)
