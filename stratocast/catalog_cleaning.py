@@ -18,7 +18,7 @@ from stratocast.operators import selection as S
 from stratocast.plans import projections as T
 from stratocast.session import scratch_path
 from stratocast.sources import listing as L
-from stratocast.sources import micaps
+from stratocast.sources import micaps, netcdf
 
 _c = F.col
 _r = lambda df, *names, keep=(): df.select(*keep, *[F.round(n, 4).alias(n) for n in names])
@@ -605,6 +605,14 @@ def grid_text_back(spark, d):
     return micaps.ascending(micaps.read_grid(spark, path)).select("iy", "ix", "lat", "lon", "value")
 
 
+@query("netcdf_back", f"SELECT CAST(z % 3 AS DOUBLE) AS member, CAST(iy AS DOUBLE) AS lat, CAST(ix AS DOUBLE) AS lon, CAST(CAST(v AS FLOAT) AS DOUBLE) AS value FROM {T.GRID}")
+def netcdf_back(spark, d):
+    folder = scratch_path(spark, "netcdf")
+    cells = T.grid(spark, d).select((_c("z") % 3).cast("int").alias("k"), (_c("z") % 3).alias("member"), _c("iy").alias("lat"), _c("ix").alias("lon"), _c("v").alias("value"))
+    netcdf.write(cells, folder.removeprefix("file:"), ["k"], ["member", "lat", "lon"], attributes={"units": "1"}).collect()  # a row a file
+    return netcdf.read(spark, folder, "data0", ["member", "lat", "lon"]).where("value is not null").drop("file")
+
+
 @query("station_text_back", f"SELECT CAST(id AS BIGINT) AS id, sx AS lon, sy AS lat, value FROM {T.STATIONS} WHERE sx >= 2 AND sx < 18 AND sy >= 2 AND sy < 18 AND value >= 5")
 def station_text_back(spark, d):
     path = scratch_path(spark, "station-text")

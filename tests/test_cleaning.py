@@ -17,7 +17,7 @@ from stratocast.operators import nowcast as NC
 from stratocast.operators import phenomena as P
 from stratocast.operators import radar as D
 from stratocast.operators import selection as S
-from stratocast.sources import config, micaps
+from stratocast.sources import config, micaps, netcdf
 from stratocast.sources import listing as L
 from stratocast.streaming import state
 from tests.test_catalog import steps
@@ -321,3 +321,41 @@ def test_ties_of_members_take_a_seeded_order(spark):
     calibrated = spark.createDataFrame([(1, float(p), float(p)) for p in range(8)], "id int, percentile double, value double")
     order = lambda seed: [r.value for r in relational.ensemble_reorder(raw, calibrated, ["id"], seed).orderBy("member").collect()]
     assert order(None) == [float(p) for p in range(8)] and order(3) == order(3) != order(None) and sorted(order(3)) == order(None)
+
+
+def test_classic_files_hold_what_the_format_says(spark, tmp_path):
+    values = np.array([[1.5, np.nan], [3.0, 4.0]])
+    raw = netcdf.encoded({"lat": np.array([10.0, 20.0]), "lon": np.array([1.0, 2.0])}, "t", values, {"units": "K"}, version=1)
+    assert raw[:4] == b"CDF\x01" and raw[8:24] == b"\0\0\0\x0a\0\0\0\x02\0\0\0\x03lat\0"
+    nc = netcdf.Classic(raw)
+    assert nc.dims == {"lat": 2, "lon": 2} and nc.variables["t"].attributes["units"] == "K" and nc.variables["t"].dims == ["lat", "lon"]
+    assert np.array_equal(nc.values("t"), values, equal_nan=True) and raw[nc.variables["t"].begin :][:4] == b"\x3f\xc0\0\0"
+    with pytest.raises(ValueError):
+        netcdf.Classic(b"HDF stuff")
+
+
+def test_classic_records_scales_and_other_names(spark, tmp_path):
+    """A file made by hand: two record variables of shorts, so records interleave with padding; scale, offset and fill."""
+    import struct
+
+    name = lambda s: struct.pack(">I", len(s)) + s.encode() + b"\0" * (-len(s) % 4)
+    att = lambda k, kind, raw: name(k) + struct.pack(">II", kind, 1) + raw
+    dims = struct.pack(">II", 10, 2) + name("time") + struct.pack(">I", 0) + name("x") + struct.pack(">I", 3)
+    atts = struct.pack(">II", 12, 3) + att("scale_factor", 6, struct.pack(">d", 0.5)) + att("add_offset", 6, struct.pack(">d", 10.0)) + att("_FillValue", 3, struct.pack(">hxx", -1))
+    var = lambda n, a, begin: name(n) + struct.pack(">III", 2, 0, 1) + a + struct.pack(">III", 3, 8, begin)
+    head = lambda begin: b"CDF\x01" + struct.pack(">I", 2) + dims + b"\0" * 8 + struct.pack(">II", 11, 2) + var("a", atts, begin) + var("b", b"\0" * 8, begin + 8)
+    body = b"".join(struct.pack(">3hxx3hxx", *r) for r in [(0, 2, -1, 7, 8, 9), (4, 6, 8, 1, 2, 3)])
+    (tmp_path / "r.nc").write_bytes(head(len(head(0))) + body)
+    nc = netcdf.Classic((tmp_path / "r.nc").read_bytes())
+    assert nc.values("b").tolist() == [[7, 8, 9], [1, 2, 3]]
+    got = {(r.time, r.lon): r.value for r in netcdf.read(spark, f"{tmp_path}/r.nc", "data", ["time", "lon"], {"data": ("t", "a"), "lon": ("longitude", "x")}).collect()}
+    assert got == {(0, 0): 10.0, (0, 1): 11.0, (0, 2): None, (1, 0): 12.0, (1, 1): 13.0, (1, 2): 14.0}
+
+
+def test_files_that_are_there_stay(spark, tmp_path):
+    rows = spark.createDataFrame([("c1", 1.0, 1.0, 5.0), ("c2", 1.0, 1.0, 6.0), ("c2", 2.0, 1.0, None)], "channel string, lat double, lon double, value double")
+    first = netcdf.write(rows.where("channel = 'c1'"), f"{tmp_path}/n", ["channel"], ["lat", "lon"], pattern="{channel}/x.nc").collect()
+    again = netcdf.write(rows.withColumn("value", F.col("value") + 1), f"{tmp_path}/n", ["channel"], ["lat", "lon"], pattern="{channel}/x.nc", overwrite=False).collect()
+    assert [r.written for r in first] == [True] and {r.file.split("/")[-2]: r.written for r in again} == {"c1": False, "c2": True}
+    got = netcdf.read(spark, f"{tmp_path}/n/*/x.nc", "data0", ["lat", "lon"]).collect()
+    assert sorted((r.lat, r.value) for r in got if r.value is not None) == [(1.0, 5.0), (1.0, 7.0)]
