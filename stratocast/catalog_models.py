@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratocast.catalog import _embedded_fields, query, scalar
 from stratocast.functions import satellite as S
-from stratocast.operators import calibration, fields, radar
+from stratocast.operators import blending, calibration, fields, radar
 from stratocast.operators import multimodel as M
 from stratocast.operators import nowcast as N
 from stratocast.operators import profiles as P
@@ -136,3 +136,9 @@ def advected_along(spark, d):
 @query("feature_classes")
 def feature_classes(spark, d):
     return fields.per_field(_embedded_fields(spark, d).withColumn("value", _c("value") * 150 + 20), "id", radar.feature_classes(1000.0, 1000.0, radius=3000.0, least_cells=2))
+
+
+@query("salient_blend")
+def salient_blend(spark, d):
+    rows = _embedded_fields(spark, d)
+    return blending.per_pair(rows, rows.withColumn("value", _c("value") * -0.5 + 0.1), "id", blending.salient_blend(0.7))

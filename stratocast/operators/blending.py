@@ -88,6 +88,23 @@ def saliency(field: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return _smoothed(np.hypot(gx, gy), sigma)
 
 
+def salient_blend(weight: float, floor: float = 0.05, strength: float = 0.35, sigma: float = 1.0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Nowcast and model blended by a weight that leans to the one that stands out: strength 0 keeps the plain weight.
+
+    Each field's saliency counts relative to its own greatest; floor is what a flat place still counts.
+    """
+    strength = min(max(strength, 0.0), 1.0)
+
+    def kernel(nowcast, model):
+        a, b = (s / s.max() if (s := saliency(f, sigma)).max() > 0 else s for f in (nowcast, model))
+        one, two = weight * (a + floor), (1 - weight) * (b + floor)
+        leaning = np.divide(one, one + two, out=np.full(nowcast.shape, float(weight)), where=one + two > 1e-12)
+        share = (1 - strength) * weight + strength * leaning
+        return model + share * (nowcast - model)
+
+    return kernel
+
+
 def flow(before: list[np.ndarray], after: list[np.ndarray], half: int, wet: float = 0.1, change: float = 0.1, fewest: int = 100) -> list[tuple[int, int, float, float]]:
     """(iy, ix, u, v) in cells a step: least squares of the change on the mean gradient in overlapping windows.
 

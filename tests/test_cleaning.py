@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from stratocast import run
 from stratocast.functions import calendar as C
 from stratocast.functions import cleaning as Q
+from stratocast.operators import blending, datasets, relational
 from stratocast.operators import calibration as CAL
-from stratocast.operators import datasets, relational
 from stratocast.operators import fields as K
 from stratocast.operators import neighbours as N
 from stratocast.operators import nowcast as NC
@@ -359,3 +359,15 @@ def test_files_that_are_there_stay(spark, tmp_path):
     assert [r.written for r in first] == [True] and {r.file.split("/")[-2]: r.written for r in again} == {"c1": False, "c2": True}
     got = netcdf.read(spark, f"{tmp_path}/n/*/x.nc", "data0", ["lat", "lon"]).collect()
     assert sorted((r.lat, r.value) for r in got if r.value is not None) == [(1.0, 5.0), (1.0, 7.0)]
+
+
+def test_a_salient_blend_leans_to_what_stands_out():
+    flat, edge = np.full((9, 9), 2.0), np.zeros((9, 9))
+    edge[:, 5:] = 8.0
+    plain = blending.salient_blend(0.5, strength=0.0)(edge, flat)
+    assert np.allclose(plain, (edge + flat) / 2)
+    lean = blending.salient_blend(0.5, strength=1.0)(edge, flat)
+    at = blending.saliency(edge)[4, 5] / blending.saliency(edge).max()
+    share = (at + 0.05) / (at + 0.1)
+    assert lean[4, 5] == pytest.approx(2 + share * 6) and lean[4, 0] == pytest.approx(1.0)
+    assert np.allclose(blending.salient_blend(0.3)(flat, flat), flat)
