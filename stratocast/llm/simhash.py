@@ -244,6 +244,14 @@ def components(rows: DataFrame, most: int) -> DataFrame:
     return join_on_key(rows, known.withColumnRenamed("rows", "n"), "fp", rows.count())
 
 
+def _places(docs: DataFrame) -> list[F.Column]:
+    """File and place in it of each row of a scan, whatever its own columns are called; raises for other tables."""
+    hidden = docs.metadataColumn("_metadata")
+    found = [hidden["file_path"], hidden["row_index"]]
+    docs.select(*found)
+    return found
+
+
 def keep_one_of_each(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one of each near-duplicate group, with all its columns.
 
@@ -256,11 +264,10 @@ def keep_one_of_each(docs: DataFrame, most: int = 3, id_col: str = "doc_id", tex
     files are written to the shared folder first.
     """
     try:
-        places = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
-        docs.select(*places)
+        places = _places(docs)
     except AnalysisException:  # not a scan of files
         docs = materialize(docs, "documents")
-        places = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+        places = _places(docs)
     rows = materialize(fingerprints(docs, id_col, text_col, {"file": places[0], "place": places[1]}), "fingerprints")
     found = components(rows, most).where("doc_id <=> component_id")
     # the hex digits order fingerprints as unsigned numbers

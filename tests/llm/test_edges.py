@@ -108,6 +108,16 @@ def test_dedup_keeps_one_of_each_group(docs):
     assert sum(r.doc_id is None for r in kept) == 1  # the null-id text of its own; the other belongs to group 2
 
 
+def test_dedup_of_a_scan_whose_columns_clash(spark, docs, tmp_path):
+    """A scan of several files with a column called like the hidden one gives what the table itself does."""
+    clash = docs.withColumn("_metadata", F.lit(1)).withColumn("file", F.lit("x")).withColumn("place", F.lit(2))
+    clash.repartition(3).write.parquet(f"{tmp_path}/d")
+    scan = spark.read.parquet(f"{tmp_path}/d")
+    row = lambda r: (str(r.doc_id), r.text)
+    assert sorted(map(row, simhash.keep_one_of_each(scan).select("doc_id", "text").collect()), key=str) == sorted(map(row, simhash.keep_one_of_each(docs).select("doc_id", "text").collect()), key=str)
+    assert simhash.keep_one_of_each(scan).columns == scan.columns
+
+
 def test_dedup_judges_rows_that_share_an_id_by_their_own_text(spark):
     rows = [(3, "one two three four"), (7, "quite another text here"), (7, "one two three four"), (8, "first of eight"), (8, "second text of eight"), (8, "first of eight")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
