@@ -188,6 +188,8 @@ def join_on_key(rows: DataFrame, facts: DataFrame, key: str, n_rows: int, most_h
     no task of the shuffled join gets more than that share of the rows for one key.
     """
     hot = F.col("n") > max(n_rows // most_hot, floor)
+    if n_rows <= floor or facts.where(hot).isEmpty():
+        return rows.join(facts.drop("n"), key)
     often, seldom = facts.where(hot).drop("n"), facts.where(~hot).drop("n")
     flagged = rows.join(F.broadcast(often.select(key, F.lit(True).alias("hot"))), key, "left").where("hot is null").drop("hot")
     return rows.join(F.broadcast(often), key).unionByName(flagged.join(seldom, key))

@@ -131,18 +131,21 @@ def fit_pu(positive: list[Words], unlabelled: list[Words], prior: float, least:
     positive, unlabelled = _unlike(positive), _unlike(unlabelled)
     if not positive or not unlabelled:
         return ToxicModel(np.zeros(1 << BITS), -20.0)
-    texts = [*positive, *unlabelled]
-    rows = np.repeat(np.arange(len(texts)), [len(t.features) for t in texts])
-    columns = np.concatenate([t.features for t in texts])
-    n_pos, n = len(positive), len(texts)
-    in_pos = np.bincount(columns[rows < n_pos], minlength=1 << BITS)
-    in_rest = np.bincount(columns[rows >= n_pos], minlength=1 << BITS)
+    n_pos, n = len(positive), len(positive) + len(unlabelled)
+
+    def occurrences(texts):
+        total = np.zeros(1 << BITS, np.int64)
+        for at in range(0, len(texts), 256):  # a few texts at a time: the driver never holds all features twice
+            total += np.bincount(np.concatenate([t.features for t in texts[at : at + 256]]), minlength=1 << BITS)
+        return total
+
+    in_pos, in_rest = occurrences(positive), occurrences(unlabelled)
     sure_pos = (in_pos - 2 * np.sqrt(in_pos)) / n_pos
     kept = np.flatnonzero((in_pos >= least) & (sure_pos > ratio * in_rest / (n - n_pos)))
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    use = place[columns] >= 0
-    rows, columns = rows[use], place[columns[use]]
+    held = [(own := place[t.features])[own >= 0] for texts in (positive, unlabelled) for t in texts]
+    rows, columns = np.repeat(np.arange(n), [len(h) for h in held]), np.concatenate(held)
     w, bias = np.zeros(len(kept)), -1.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     is_pos = np.arange(n) < n_pos
