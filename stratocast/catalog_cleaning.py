@@ -212,7 +212,7 @@ def cycle_pairs_lacking(spark, d):
 
 
 @query("model_availability", f"""
-    WITH w AS (SELECT * FROM (SELECT DISTINCT m FROM {T.MODELS}), (SELECT DISTINCT block FROM {T.MODELS})), f AS (SELECT DISTINCT m, block FROM {T.MODELS} WHERE f >= 40 AND o >= 40)
+    WITH w AS (SELECT * FROM (SELECT DISTINCT m FROM {T.MODELS}), range(30) r(block)), f AS (SELECT DISTINCT m, block FROM {T.MODELS} WHERE f >= 40 AND o >= 40)
     SELECT w.m, count(*) AS wanted, CAST(count(f.block) AS BIGINT) AS found FROM w LEFT JOIN f ON w.m = f.m AND w.block = f.block GROUP BY w.m""")
 def model_availability(spark, d):
     rows = T.models(spark, d)
