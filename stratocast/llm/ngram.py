@@ -251,20 +251,20 @@ def choose_places(rows: DataFrame, n_rows: int, shards: int, side: int, sampled:
     share = min(1e-3, max(1 / (4 * shards), 1e-5))
 
     def count(batches):
-        totals: list[dict[int, int]] = [{}, {}]
-        n = 0
-        for batch in bounded(batches, "text"):
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        totals, n = [none, none], 0
+        for batch in bounded(batches, "text", max_bytes=2 << 20):
             u, v, _, _ = triples(batch.column(1))
             n += len(v)
-            for total, x in zip(totals, (v, mixed(u, v)), strict=True):
-                for k, c in zip(*(a.tolist() for a in np.unique(x, return_counts=True)), strict=True):
-                    total[k] = total.get(k, 0) + c
-                if len(total) > 500_000:
-                    for k in [k for k, c in total.items() if c <= n * share / 100]:
-                        del total[k]
-        words = sorted(((c, k) for k, c in totals[0].items() if c > 1), reverse=True)[:OWN]
-        pairs = sorted(((c, k) for k, c in totals[1].items() if c > n * share / 8), reverse=True)[:OWN]
-        rows = [(0, k, c) for c, k in words] + [(1, k, c) for c, k in pairs] + [(2, 0, n)]
+            for i, x in enumerate((v, mixed(u, v))):
+                keys, _, c = summed(np.r_[totals[i][0], x], np.r_[totals[i][1], np.ones(len(x), np.int64)])
+                kept = c > n * share / 100 if len(keys) > 300_000 else slice(None)
+                totals[i] = keys[kept], c[kept]
+        rows = []
+        for what, least in ((0, 1), (1, n * share / 8)):
+            keys, c = (x[totals[what][1] > least] for x in totals[what])
+            rows += [(what, int(keys[i]), int(c[i])) for i in np.lexsort((keys, -c))[:OWN]]
+        rows.append((2, 0, n))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)), pa.array([r[2] for r in rows], pa.int64())], names=["what", "k", "c"])
 
     sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n_rows // sampled))) == 0)
