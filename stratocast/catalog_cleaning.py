@@ -357,7 +357,9 @@ def masked_means(spark, d):
 @query("collapsed_layers", f"SELECT iy, ix, round(sum(w * mean) / CASE WHEN sum(w) <> 0 THEN sum(w) END, 4) AS mean FROM {_MASKED} JOIN {_BANDS} USING (band, iy, ix) WHERE mean IS NOT NULL GROUP BY 1, 2")
 def collapsed_layers(spark, d):
     bands = _bands(spark, d)
-    return _r(N.collapsed_layers(N.masked_mean(T.grid(spark, d), bands, [], 2, "v"), bands.select("band", "iy", "ix", "w"), []), "mean", keep=("iy", "ix"))
+    layers = N.collapsed_layers(N.masked_mean(T.grid(spark, d), bands, [], 2, "v"), bands.select("band", "iy", "ix", "w"), [])
+    # means of few whole numbers end in a 5 often: rounded as SQL does it, by the double that is 10^4 times as large, not by the shortest decimal
+    return layers.select("iy", "ix", (F.round(_c("mean") * 10000.0) / 10000.0).alias("mean"))
 
 
 @query("circular_means", f"SELECT ok, round(((degrees(atan2(y, x)) % 360) + 360) % 360, 3) AS direction, round(sqrt(x * x + y * y), 4) AS length FROM (SELECT ok, avg(cos(radians(refl * 7))) AS x, avg(sin(radians(refl * 7))) AS y FROM {T.MOMENTS} GROUP BY ok) WHERE x * x + y * y > 0.01")

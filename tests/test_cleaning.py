@@ -2,11 +2,12 @@
 
 from datetime import datetime
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratocast import run
+from stratocast import catalog, catalog_cleaning, run  # noqa: F401  the second registers its queries in the first
 from stratocast.functions import calendar as C
 from stratocast.functions import cleaning as Q
 from stratocast.operators import blending, datasets, relational
@@ -63,6 +64,16 @@ def test_masked_means_keep_to_their_layer(spark):
     assert free[1, 2] == pytest.approx(np.mean(values[:, 1]))
 
 
+def test_collapsed_layers_round_halves_as_their_sql(spark):
+    """sf0.01 holds means that end in a 5 at the fifth decimal."""
+    d = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    for name in ("lineitem", "part"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    want = {(y, x): m for y, x, m in duck.sql(catalog.ORACLES["collapsed_layers"]).select("iy, ix, mean").fetchall()}
+    assert {(r.iy, r.ix): r["mean"] for r in catalog.QUERIES["collapsed_layers"](spark, d).collect()} == want
+
+
 def test_radius_under_a_cell_is_refused():
     assert N.radius_in_cells(10_000, 2_000) == 5
     with pytest.raises(ValueError):
