@@ -10,6 +10,7 @@ import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stratocast.llm.common import bounded, materialize, posix_path, shared_path, unused_name
 
@@ -198,24 +199,25 @@ def join_on_key(rows: DataFrame, facts: DataFrame, key: str, n_rows: int, most_h
 def connected(links: DataFrame) -> DataFrame:
     """node, root (the least node of its component), for every node of the links (a, b).
 
-    Alternating large-star and small-star steps, each written to the shared folder; the driver sees two sums a round.
-    Nodes with many links meet them by broadcast (see join_on_key).
+    Alternating large-star and small-star steps, each written to the shared folder; the driver sees three sums a round.
+    A round counts each node's links first: no node that has both a smaller and a greater one, or two smaller, means that
+    all links are stars, and the nodes' least neighbours are the answer. Nodes with many links meet them by broadcast
+    (see join_on_key).
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    seen, n_edges = None, edges.count()
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = join_on_key(both.where("v > u"), low, "u", 2 * n_edges).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("u", "v", "m")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "star")
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if seen == state:
-            break
-        seen, n_edges = state, state.n
-    return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        both = edges.select("u", "v", F.lit(1).alias("up")).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("up")))
+        nodes = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"), F.sum("up").alias("up"))
+        nodes = materialize(nodes.select("u", F.least("m", "u").alias("m"), "n", "up"), "nodes")
+        within = (F.col("up") > 1) | ((F.col("up") == 1) & (F.col("n") > 1))
+        n_links, unsettled = nodes.agg(F.sum("n"), F.sum(within.cast("long"))).first()
+        if not unsettled:
+            return nodes.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = join_on_key(up, nodes.where("n > up").select("u", "m", (F.col("n") - F.col("up")).alias("n")), "u", n_links // 2).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        ends = F.inline(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        edges = materialize(small.select(ends).where("u <> v").distinct(), "star")
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from stratocast.llm import arrays, crf, html, mixing, ngram, packing, rans, rules, simhash, topk, toxicity
+from stratocast.llm.common import materialize
 from stratocast.llm.queries import BYTE_BPE, QUERIES, WORD_BPE, _tokenizer
 from stratocast.llm.tokens import Encoder
 
@@ -84,6 +85,19 @@ def test_crowded_buckets_lose_no_link(spark):
     assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want.values() if len(g) > 1}
 
 
+def test_components_end_once_all_links_are_stars(spark, monkeypatch):
+    """Stars need no round, and a chain and a crowded hub no more than they change in."""
+    written = []
+    monkeypatch.setattr(simhash, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    links = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    stars = [(1, i) for i in range(2, 400)] + [(-7, 500), (-7, -7)]
+    got = {r.node: r.root for r in simhash.connected(links(stars)).collect()}
+    assert got == {x: min(pair) for pair in stars for x in pair} and "star" not in written
+    chain = [(i, i + 1) for i in range(600, 640)] + [(i, 900) for i in range(640, 900)]
+    assert {r.node: r.root for r in simhash.connected(links(chain)).collect()} == dict.fromkeys(range(600, 901), 600)
+    assert simhash.connected(links([(3, 3)])).count() == 0
+
+
 def test_rule_counts(spark, texts):
     for r in QUERIES["op3_quality_rules"](spark, MID).collect():
         text = texts[r.doc_id]
