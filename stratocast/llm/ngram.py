@@ -103,7 +103,7 @@ class Places:
 
     Heavy middle words, with over a quarter of a shard's share of all tokens (a thousandth at most, a hundred thousandth at
     least), are dealt by (first, middle), and such pairs by the whole triple.
-    common: the most frequent words, which packets name in two bytes.
+    common: the most frequent words, most frequent first, which packets name in two bytes.
     """
 
     shards: int
@@ -123,32 +123,54 @@ class Places:
         return shard_of(key, self.shards)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of little-endian numbers, all lowest ones first, which compress better than whole numbers."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _numbers(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    """n numbers whose planes begin at a place of raw."""
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel()
+
+
 class Packets:
-    """Triples as bytes: runs of one middle word, words by two-byte codes or in full, times only where above 1."""
+    """Triples as bytes: runs of one middle word, words by two-byte codes or in full, times only where above 1.
+
+    Codes are places in `common`, most frequent first; triples stand by middle, first and last code.
+    """
+
+    KINDS = ("<u4", "<u2", "<u8", "<u2", "<u8", "<u2", "<u8", "<u4", "<u8")
 
     def __init__(self, common: np.ndarray):
-        self.common = common
+        self.common, self.order = common, np.argsort(common)
+        self.ascending = common[self.order]
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        known, i = among(x, self.common)
-        return np.where(known, i, OWN).astype("<u2")
+        known, i = among(x, self.ascending)
+        return np.where(known, self.order[i] if len(self.order) else 0, OWN).astype("<u2")
+
+    def _pressed(self, parts: list[np.ndarray]) -> bytes:
+        return pa.Codec("zstd", compression_level=3).compress(b"".join(map(_planes, parts)), asbytes=True)
 
     def pack(self, u, v, w, times) -> bytes:
+        a, b, c = (self.codes(x) for x in (u, v, w))
+        order = np.lexsort((c, a, v, b))
+        u, v, w, times, a, b, c = (x[order] for x in (u, v, w, times, a, b, c))
         runs = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
         parts = [np.diff(np.r_[runs, len(v)]).astype("<u4")]
-        for x in (v[runs], u, w):
-            code = self.codes(x)
+        for x, code in ((v[runs], b[runs]), (u, a), (w, c)):
             parts += [code, x[code == OWN]]
         often = np.flatnonzero(times > 1)
         parts += [often.astype("<u4"), times[often].astype("<u8")]
-        raw = np.array([p.size for p in parts], "<u4").tobytes() + b"".join(p.tobytes() for p in parts)
-        return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+        return np.array([*(p.size for p in parts), sum(p.nbytes for p in parts)], "<u4").tobytes() + self._pressed(parts)
 
     def unpack(self, packet: bytes) -> tuple[np.ndarray, ...]:
-        raw = pa.decompress(memoryview(packet)[4:], int.from_bytes(packet[:4], "little"), codec="zstd", asbytes=True)
-        sizes, at, parts = np.frombuffer(raw, "<u4", 9), 36, []
-        for size, kind in zip(sizes, ("<u4", "<u2", "<u8", "<u2", "<u8", "<u2", "<u8", "<u4", "<u8"), strict=True):
-            parts.append(np.frombuffer(raw, kind, size, at))
+        *sizes, size = np.frombuffer(packet, "<u4", 10).tolist()
+        raw = pa.decompress(memoryview(packet)[40:], size, codec="zstd", asbytes=True)
+        at, parts = 0, []
+        for n, kind in zip(sizes, self.KINDS, strict=True):
+            parts.append(_numbers(raw, kind, n, at))
             at += parts[-1].nbytes
         u, v, w = (self._words(parts[i], parts[i + 1]) for i in (3, 1, 5))
         times = np.ones(len(u), np.int64)
@@ -158,16 +180,18 @@ class Packets:
     def pack_words(self, words: np.ndarray, count: np.ndarray, before: np.ndarray) -> bytes:
         """Words with how often they stand and how many different words stand before them."""
         code = self.codes(words)
-        raw = b"".join(p.tobytes() for p in (code, words[code == OWN], count.astype("<u4"), before.astype("<u4")))
-        return np.array([len(words), len(raw)], "<u4").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+        order = np.argsort(code, kind="stable")
+        code, words = code[order], words[order]
+        parts = [code, words[code == OWN], count[order].astype("<u4"), before[order].astype("<u4")]
+        return np.array([len(words), sum(p.nbytes for p in parts)], "<u4").tobytes() + self._pressed(parts)
 
     def unpack_words(self, packet: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, size = np.frombuffer(packet, "<u4", 2).tolist()
         raw = pa.decompress(memoryview(packet)[8:], size, codec="zstd", asbytes=True)
-        code = np.frombuffer(raw, "<u2", n)
+        code = _numbers(raw, "<u2", n, 0)
         own = int((code == OWN).sum())
-        words = self._words(code, np.frombuffer(raw, "<u8", own, 2 * n))
-        count, before = (np.frombuffer(raw, "<u4", n, 2 * n + 8 * own + at) for at in (0, 4 * n))
+        words = self._words(code, _numbers(raw, "<u8", own, 2 * n))
+        count, before = (_numbers(raw, "<u4", n, 2 * n + 8 * own + at) for at in (0, 4 * n))
         return words, count, before
 
     def _words(self, code: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -275,7 +299,8 @@ def choose_places(rows: DataFrame, n_rows: int, shards: int, side: int, sampled:
     ascending = lambda found: np.sort(hashes(found))
     words = [r for r in top[0] if r.c > least]
     heavy_words = np.unique(np.r_[ascending(words), START])
-    return Places(shards, side, heavy_words, ascending([r for r in top[1] if r.c > least]), ascending(top[0]))
+    common = np.array([r.k for r in top[0]], np.int64).view(np.uint64)  # by falling count
+    return Places(shards, side, heavy_words, ascending([r for r in top[1] if r.c > least]), common)
 
 
 def _merged(packets: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -337,7 +362,7 @@ def train(docs: DataFrame, fold: int = 1, shard_bytes: int = 16 << 20, chunk_byt
         """A packet for each range of `width` shards."""
         code = Packets(places.common)
         ranges = places.shard(u, v, w) // width
-        order = np.lexsort((v, ranges))
+        order = np.argsort(ranges, kind="stable")
         u, v, w, times, ranges = (x[order] for x in (u, v, w, times, ranges))
         runs = runs_of(ranges)
         made = [code.pack(u[a:b], v[a:b], w[a:b], times[a:b]) for a, b in runs]
@@ -397,7 +422,6 @@ def train(docs: DataFrame, fold: int = 1, shard_bytes: int = 16 << 20, chunk_byt
             far_v, far_w = v[at][first], w[at][first]
 
             def far_packet(at):
-                at = at[np.argsort(far_v[at], kind="stable")]
                 return code.pack(np.full(len(at), END), far_v[at], far_w[at], far_after[at])
 
             out += _split("next", far, places.side, far_packet)

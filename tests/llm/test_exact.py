@@ -444,6 +444,27 @@ def test_kneser_ney_equals_dictionaries(spark, texts, sizes):
         assert r.score == pytest.approx(sum(math.log10(p(g)) for g in zip(["start", "start", *w], ["start", *w], w, strict=False)))
 
 
+def test_packets_come_back_and_are_small():
+    """Words by Zipf's law: under 3 bytes a triple, which needs codes by frequency (codes in the order of hashes, as whole numbers: 4.1)."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**64, 60_000, dtype=np.uint64, endpoint=False)
+    picked = np.minimum(rng.zipf(1.25, 300_000), 70_000) - 1
+    u, v, w = (np.where(i < 60_000, words[np.minimum(i, 59_999)], i.astype(np.uint64)) for i in (picked[:-2], picked[1:-1], picked[2:]))
+    key, first, times = arrays.summed(arrays.mixed(u, v, w), np.ones(len(u), np.int64))
+    u, v, w = u[first], v[first], w[first]
+    code = ngram.Packets(words)
+    packet = code.pack(u, v, w, times)
+    a, b, c, n = code.unpack(packet)
+    back, at, n = arrays.summed(arrays.mixed(a, b, c), n)
+    assert (back == key).all() and (n == times).all() and (b[at] == v).all()
+    assert len(packet) < 3 * len(key)
+    for some in (words[:5], words[:0], np.r_[words[7:3:-1], np.uint64(9)]):
+        count = np.arange(1, len(some) + 1)
+        for x in (code, ngram.Packets(words[:0])):
+            got = zip(*x.unpack_words(x.pack_words(some, count, count + 1)), strict=True)
+            assert sorted(got) == sorted(zip(some, count, count + 1, strict=True))
+
+
 def test_word_hashes_tell_words_apart():
     long = b"x" * 100
     some = [b" The  the\tTHE ", None, b"", b"ab ba a\x00 a", long + b" " + long + b"y " + long, b"\xc3\x89 \xc3\xa9"]
