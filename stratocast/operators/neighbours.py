@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stratocast.session import stored
+
 
 def kernel(radius: int, weighted: bool) -> list[tuple[int, int, float]]:
     """(dy, dx, weight) of the cells in a circle; weights fall from 1 by the square of the distance to 0 at its edge."""
@@ -219,10 +221,14 @@ def sphere_neighbours(stations: DataFrame, cells: DataFrame, k: int, reach: floa
     """id, place, d (chord in km), value: the k nearest stations (id, lon, lat, value) of each cell (id, lon, lat), at any distance.
 
     Stations are dealt to the cubes of `reach` km around theirs, so a cell meets only those near it. Cells with under k
-    stations within reach go on with twice the reach, till the earth is covered: their number falls with every round.
+    stations within reach go on with four times the reach, till the earth is covered: their number falls with every round.
+    Of the stations at one place only the first k can be among the k nearest of any cell. Rounds are written, so a
+    plan does not hold those before it, and the dealt stations are never broadcast: they are 27 times as many.
     """
-    spots = stations.where("value is not null").select(F.col("id").alias("station"), "value", *_on_sphere("lon", "lat"))
-    todo = cells.select("id", *[c.alias(f"{n}0") for c, n in zip(_on_sphere("lon", "lat"), "xyz", strict=True)])
+    there = stations.where("value is not null").select(F.col("id").alias("station"), "value", *_on_sphere("lon", "lat"))
+    first = F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("station"))
+    spots = stored(there.withColumn("turn", first).where(F.col("turn") <= k).drop("turn"), "spots")
+    todo = stored(cells.select("id", *[c.alias(f"{n}0") for c, n in zip(_on_sphere("lon", "lat"), "xyz", strict=True)]), "cells")
     done = None
     while True:
         cube = lambda c: F.floor(F.col(c) / reach).cast("long")  # noqa: B023, E731
@@ -230,15 +236,17 @@ def sphere_neighbours(stations: DataFrame, cells: DataFrame, k: int, reach: floa
         spread = spots.select("*", F.explode(moves).alias("o")).select("station", "value", "x", "y", "z", *[(cube(c) + F.col(f"o.{n}")).alias(f"c{c}") for c, n in zip("xyz", "abc", strict=True)])
         asked = todo.select("*", *[cube(f"{c}0").alias(f"c{c}") for c in "xyz"])
         d = F.sqrt(F.pow(F.col("x") - F.col("x0"), 2) + F.pow(F.col("y") - F.col("y0"), 2) + F.pow(F.col("z") - F.col("z0"), 2))
-        near = asked.join(spread, ["cx", "cy", "cz"]).withColumn("d", d).where(F.col("d") <= reach)
+        near = asked.join(spread.hint("merge"), ["cx", "cy", "cz"]).withColumn("d", d).where(F.col("d") <= reach)
         ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("d", "station"))).where(F.col("place") <= k)
         whole = ranked.withColumn("n", F.count("*").over(Window.partitionBy("id")))
         last = reach >= 2 * EARTH
-        found = (whole if last else whole.where(F.col("n") == k)).select("id", "place", "d", "value")
+        found = stored((whole if last else whole.where(F.col("n") == k)).select("id", "place", "d", "value"), "neighbours")
         done = found if done is None else done.unionByName(found)
         if last:
             return done
-        todo = todo.join(found.select("id").distinct(), "id", "left_anti")
+        todo = stored(todo.join(found.select("id").distinct(), "id", "left_anti"), "cells")
+        if todo.isEmpty():
+            return done
         reach = max(reach * 4, 2 * EARTH) if reach * 4 > EARTH else reach * 4
 
 
@@ -246,6 +254,7 @@ def sphere_analysis(stations: DataFrame, cells: DataFrame, k: int = 8, effect: f
     """Cells (id, lon, lat) with value: without a background the inverse-distance mean of the k nearest stations, 0 where the
     nearest is beyond `effect`; with one (a column of cells), the background and the mean residual, each station's also
     falling as a Gaussian of effect. Stations' values are residuals then (see residuals)."""
+    cells = stored(cells, "cells")
     near = sphere_neighbours(stations, cells, k, effect).withColumn("d", F.col("d") + 1e-6 if k > 1 else F.col("d"))
     w, gauss = 1 / F.pow("d", F.lit(power)), F.exp(-F.pow(F.col("d") / effect, 2))
     if background is None:
