@@ -124,9 +124,9 @@ def equal_steps(table: DataFrame, keys: list[str], time: str) -> DataFrame:
     return steps.groupBy(*keys).agg(F.count_distinct("step").alias("steps"), F.min("step").alias("least"))
 
 
-def last_rows(table: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Of rows with equal keys the last in order."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+def last_rows(table: DataFrame, keys: list[str], order: list[str], places: list[str] | None = None) -> DataFrame:
+    """Of rows with equal keys the last in order; of those that are equal in it the first by `places`, such as those of a scan."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order], *(places or []))
     return table.withColumn("turn", F.row_number().over(w)).where("turn = 1").drop("turn")
 
 

@@ -10,11 +10,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as radar gates and surface values: key columns ok and ln, then refl, kdp, att, hydro, t, w, rh."""
-    return table(spark, sf_dir, "lineitem").select(
+PLACES = ["file", "row"]
+
+
+def table_in_order(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table with each row's place in its scan: PLACES, its file and its number in it."""
+    rows = table(spark, sf_dir, name)
+    hidden = rows.metadataColumn("_metadata")
+    return rows.select("*", hidden["file_path"].alias("file"), hidden["row_index"].alias("row"))
+
+
+def moments(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
+    """Line items as radar gates and surface values: key columns ok and ln, then refl, kdp, att, hydro, t, w, rh; in_order adds PLACES."""
+    return (table_in_order if in_order else table)(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), F.col("l_quantity").alias("refl"), (F.col("l_discount") * 10).alias("kdp"), F.col("l_tax").alias("att"),
         (1 + F.col("l_linenumber") % 9).alias("hydro"), (F.col("l_quantity") - 20).alias("t"), (1 + F.col("l_tax") * 100).alias("w"), (F.col("l_discount") * 5 + 0.3).alias("rh"),
+        *(PLACES if in_order else []),
     )
 
 

@@ -1,7 +1,9 @@
 """Operators on crowded and tied tables: what their plans may hold, and the rows they must give."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from stratocast import catalog, catalog_cleaning  # noqa: F401  the second registers its queries in the first
 from stratocast.operators import neighbours as N
 
 
@@ -19,3 +21,15 @@ def test_crowded_stations_are_neither_multiplied_nor_lost(spark):
         got.setdefault(r.id, []).append(r.value)
     assert got[1] == [*map(float, range(0, 200, 5)), 1.0, 6.0] and got[2] == [*map(float, range(4, 200, 5)), 3.0, 8.0] and len(got[3]) == 42
     assert "Generate" not in plan(near) and "Exchange" not in plan(near)
+
+
+def test_lines_that_occur_twice_are_taken_as_the_file_has_them(spark, tmp_path):
+    """The scan meets the larger second file first; DuckDB on one thread keeps the first row of the first file."""
+    duck = duckdb.connect()
+    duck.execute("SET threads = 1")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, first, n in (("a", 0, 50), ("b", 1000, 5000)):
+        duck.execute(f"COPY (SELECT r % 40 AS l_orderkey, 1::INT AS l_linenumber, ({first} + r)::DOUBLE AS l_quantity, 0.1 AS l_discount, 0.1 AS l_tax FROM range({n}) t(r)) TO '{tmp_path}/lineitem.parquet/{name}.parquet'")
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(duck.sql(catalog.ORACLES["last_rows"]).select("ok, ln, refl").fetchall())
+    assert sorted((r.ok, r.ln, r.refl) for r in catalog.QUERIES["last_rows"](spark, str(tmp_path)).collect()) == want == [(k, 1, float(k)) for k in range(40)]
