@@ -396,7 +396,7 @@ def regridded(spark, d):
     n AS (SELECT t.id, s.value, sqrt(power(s.x - t.x, 2) + power(s.y - t.y, 2)) AS d FROM t JOIN s ON abs(s.x - t.x) <= 2500 AND abs(s.y - t.y) <= 2500 WHERE d <= 2500 QUALIFY row_number() OVER (PARTITION BY t.id ORDER BY d, s.x, s.y) <= 3)
     SELECT id, round(coalesce(max(CASE WHEN d < 1e-3 THEN value END), sum(value / power(greatest(d, 1e-3), 2)) / sum(1 / power(greatest(d, 1e-3), 2))), 4) AS value FROM n GROUP BY id""")
 def projected_nearest(spark, d):
-    source = T.stations(spark, d).groupBy((_c("sx") * 900.0).alias("x"), (_c("sy") * 1100.0).alias("y")).agg(F.max("value").alias("value"))
+    source = T.stations(spark, d).select(_c("id").alias("point"), (_c("sx") * 900.0).alias("x"), (_c("sy") * 1100.0).alias("y"), "value")
     target = T.grid(spark, d).select((_c("iy") * 100 + _c("ix")).alias("id"), (_c("ix") * 1000.0).alias("x"), (_c("iy") * 1000.0).alias("y"))
     return _r(N.nearest_weighted(source, target, 3, 2500.0), "value", keep=("id",))
 

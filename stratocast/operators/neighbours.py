@@ -124,17 +124,18 @@ def regridded(grid: DataFrame, keys: list[str], value: str, shape: tuple[int, in
 
 
 def nearest_weighted(source: DataFrame, target: DataFrame, k: int, reach: float) -> DataFrame:
-    """Inverse-square mean of the k nearest source points (x, y metres, value) within reach of each target (id, x, y).
+    """Inverse-square mean of the k nearest source points (point, x, y metres, value) within reach of each target (id, x, y).
 
-    Both sides are dealt into squares of the reach; a target asks its square and the eight around it. A point that a
-    target stands on gives its value alone.
+    Both sides are dealt into squares of the reach; a target asks its square and the eight around it. Every source row
+    is a point of its own, also where several share a place: the nearest by distance, x, y and point count. Points that
+    a target stands on give their greatest value alone.
     """
     cell = lambda c: F.floor(F.col(c) / reach).cast("long")
     asked = target.select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("o"))
     asked = asked.select("id", "x0", "y0", (cell("x0") + F.col("o.a")).alias("cx"), (cell("y0") + F.col("o.b")).alias("cy"))
-    near = asked.join(source.select("x", "y", "value", cell("x").alias("cx"), cell("y").alias("cy")), ["cx", "cy"])
+    near = asked.join(source.select("point", "x", "y", "value", cell("x").alias("cx"), cell("y").alias("cy")), ["cx", "cy"])
     near = near.withColumn("d", F.sqrt(F.pow(F.col("x") - F.col("x0"), 2) + F.pow(F.col("y") - F.col("y0"), 2))).where(F.col("d") <= reach)
-    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("d", "x", "y"))).where(F.col("place") <= k)
+    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("d", "x", "y", "point"))).where(F.col("place") <= k)
     w = 1 / F.pow(F.greatest("d", F.lit(1e-3)), 2)
     on = F.max(F.when(F.col("d") < 1e-3, F.col("value")))
     return ranked.groupBy("id").agg(F.coalesce(on, F.sum(w * F.col("value")) / F.sum(w)).alias("value"))
