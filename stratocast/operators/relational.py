@@ -16,15 +16,26 @@ def pair_on_valid_time(forecast: DataFrame, observed: DataFrame, ids: list[str])
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
     """For each left row (t seconds) the right row (t2) nearest in time within tolerance; ties to the earlier.
 
-    Both sides are cut into slots of the tolerance, so a row meets only its slot and the two beside it: an equi-join
-    whose candidates are bounded by density, never a cross join.
+    Both sides are cut into slots of the tolerance. Of the slots beside its own a row can only meet the last right row
+    before and the first one after, so these are lent to their neighbours, and in each slot one running window carries
+    the latest right row forward and one the next backward: rows go once, no pairs are made. Of right rows with equal
+    keys and time one is taken.
     """
-    a = left.withColumn("slot", F.explode(F.array(*[F.floor(F.col("t") / tolerance) + k for k in (-1, 0, 1)])))
-    b = right.withColumn("slot", F.floor(F.col("t2") / tolerance))
-    near = a.join(b, [*keys, "slot"]).where(F.abs(F.col("t") - F.col("t2")) <= tolerance).drop("slot")
     others = [c for c in right.columns if c not in keys]
-    best = F.min_by(F.struct(*others), F.struct(F.abs(F.col("t") - F.col("t2")), F.col("t2")))
-    return near.groupBy(*left.columns).agg(best.alias("m")).select(*left.columns, "m.*")
+    slot = lambda c: F.floor(F.col(c) / tolerance)
+    there = lambda df, time: df.where(F.col(time).isNotNull()).dropna(subset=keys)
+    own = there(right, "t2").select(*keys, slot("t2").alias("slot"), F.col("t2").alias("at"), F.struct(*others).alias("m"))
+    ends = own.groupBy(*keys, "slot").agg(F.min_by(F.struct("at", "m"), "at").alias("first"), F.max_by(F.struct("at", "m"), "at").alias("last"))
+    lent = F.inline(F.array(F.struct((F.col("slot") - 1).alias("slot"), F.col("first").alias("e")), F.struct((F.col("slot") + 1).alias("slot"), F.col("last").alias("e"))))
+    met = own.unionByName(ends.select(*keys, lent).select(*keys, "slot", "e.at", "e.m"))
+    asked = there(left, "t").select(*keys, slot("t").alias("slot"), F.col("t").alias("at"), F.struct(*left.columns).alias("l"))
+    both = asked.unionByName(met, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "slot")
+    carried = both.withColumn("before", F.last("m", ignorenulls=True).over(w.orderBy("at").rangeBetween(Window.unboundedPreceding, 0)))
+    carried = carried.withColumn("after", F.last("m", ignorenulls=True).over(w.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0))).where("l is not null")
+    back, ahead = F.col("l.t") - F.col("before.t2"), F.col("after.t2") - F.col("l.t")
+    best = F.when(ahead.isNull() | (back <= ahead), F.col("before")).otherwise(F.col("after"))
+    return carried.withColumn("m", best).where(F.least(back, ahead) <= tolerance).select("l.*", "m.*")
 
 
 def missing_pairs(wanted: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
