@@ -591,8 +591,8 @@ def time_parts(spark, d):
 
 @query("chunked_lists", "SELECT k, CAST((n - 1) // 4 AS INTEGER) AS chunk, list(x ORDER BY n) AS x FROM (SELECT p_size AS k, CAST(p_partkey AS VARCHAR) AS x, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM part) GROUP BY 1, 2")
 def chunked_lists(spark, d):
-    lists = T.table(spark, d, "part").groupBy(_c("p_size").alias("k")).agg(F.array_sort(F.collect_list("p_partkey")).alias("x"))  # parts of one size
-    return lists.select("k", F.posexplode(Q.chunked(_c("x"), 4)).alias("chunk", "x"))
+    rows = T.table(spark, d, "part").select(_c("p_size").alias("k"), "p_partkey", _c("p_partkey").alias("x"))
+    return S.chunked_rows(rows, ["k"], "p_partkey", 4, "x")
 
 
 @query("parsed_times", "SELECT o_orderkey, CAST(date_trunc('hour', o_orderdate) AS TIMESTAMP) AS t FROM orders")

@@ -193,7 +193,7 @@ def time_parts(text: Column) -> list[Column]:
 def chunked(values: Column, n: int) -> Column:
     """An array cut into arrays of n, the last one shorter."""
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / n).cast("int") - 1, F.lit(0)))
-    return F.when(F.size(values) == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(starts, lambda i: F.slice(values.cast("array<string>"), i * n + 1, n)))
+    return F.when(F.size(values) == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(starts, lambda i: F.slice(values, i * n + 1, n).cast("array<string>")))
 
 
 def lambert(lon: Column, lat: Column, lon0: float, lat1: float, lat2: float, lat0: float, radius: float = 6371229.0) -> tuple[Column, Column]:

@@ -130,6 +130,13 @@ def last_rows(table: DataFrame, keys: list[str], order: list[str], places: list[
     return table.withColumn("turn", F.row_number().over(w)).where("turn = 1").drop("turn")
 
 
+def chunked_rows(table: DataFrame, keys: list[str], order: str, n: int, value: str) -> DataFrame:
+    """Each key's values in order, as text, in rows of n (chunk from 0, the last one shorter): no array holds a whole key."""
+    placed = table.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    chunks = placed.groupBy(*keys, F.floor(F.col("n") / n).cast("int").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("n", F.col(value).cast("string").alias("x")))).alias("x"))
+    return chunks.select(*keys, "chunk", F.col("x.x").alias(value))
+
+
 def stacked(tables: list[DataFrame], distinct: bool = True) -> DataFrame:
     """All tables' rows, columns that one lacks as null; each different row once."""
     out = tables[0]

@@ -4,7 +4,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 from stratocast import catalog, catalog_cleaning  # noqa: F401  the second registers its queries in the first
+from stratocast.functions import cleaning
 from stratocast.operators import neighbours as N
+from stratocast.operators import relational, selection
 
 
 def plan(df) -> str:
@@ -44,3 +46,25 @@ def test_every_station_at_a_place_counts(spark):
     sql = catalog.ORACLES["projected_nearest"].replace("SELECT t.id, s.value,", "SELECT t.id, s.id AS point, s.value,").replace("ORDER BY d, s.x, s.y)", "ORDER BY d, s.x, s.y, s.id)")
     want = dict(duck.sql(sql).select("id, value").fetchall())
     assert sql != catalog.ORACLES["projected_nearest"] and {r.id: r.value for r in catalog.QUERIES["projected_nearest"](spark, d).collect()} == want
+
+
+def test_times_are_paired_without_making_pairs(spark):
+    """Each event meets its nearest, ties to the earlier, over slots, gaps and equal times; the plan holds no join."""
+    left = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate([0, 9, 10, 19, 20, 25, 40, 41, 70, 100, None])], "event_id int, u int, t int")
+    right = spark.createDataFrame([(u, t, 100 * u + t) for u in (0, 1) for t in (0, 5, 15, 29, 30, 51, 80)] + [(None, 9, 7)], "u int, t2 int, other int")
+    got = relational.nearest_in_time(left, right, ["u"], 10)
+    want = set()
+    for i, u, t in left.collect():
+        near = [(abs(t - r.t2), r.t2, r.other) for r in right.collect() if r.u == u and abs(t - r.t2) <= 10] if t is not None else []
+        want |= {(i, u, t, *min(near)[1:])} if near else set()
+    assert got.columns == ["event_id", "u", "t", "t2", "other"] and {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert "Join" not in plan(got)
+
+
+def test_lists_are_cut_without_an_array_of_all(spark):
+    rows = spark.range(11).select((F.col("id") % 2).alias("k"), (F.col("id") * 7 % 11).alias("p"), F.col("id").alias("x"))
+    got = {(r.k, r.chunk): r.x for r in selection.chunked_rows(rows, ["k"], "p", 4, "x").collect()}
+    want = {k: [str(x) for _, x in sorted((x * 7 % 11, x) for x in range(11) if x % 2 == k)] for k in (0, 1)}
+    assert got == {(k, c): want[k][4 * c : 4 * c + 4] for k in (0, 1) for c in (0, 1)}
+    assert "posexplode" not in plan(catalog.QUERIES["chunked_lists"](spark, "/root/testdata/sf0.001"))
+    assert spark.range(1).select(cleaning.chunked(F.sequence(F.lit(1), F.lit(5)), 2).alias("x")).first().x == [["1", "2"], ["3", "4"], ["5"]]
