@@ -185,14 +185,14 @@ def _moments(spark, d):
 @query("hydrometeor_class", _hydro_sql("C"))
 def hydrometeor_class(spark, d):
     rows, moments = _moments(spark, d)
-    return rows.withColumn("x", D.class_distances(moments, "C")).select("ok", "ln", D.nearest_class(_c("x")).alias("class"))
+    return D.with_distances(rows, moments, "C", "x").select("ok", "ln", D.nearest_class(_c("x")).alias("class"))
 
 
 @query("hydrometeor_entropy")
 def hydrometeor_entropy(spark, d):
     rows, moments = _moments(spark, d)
-    shares = rows.withColumn("x", D.class_distances(moments, "X")).withColumn("shares", D.class_shares(_c("x"), "X"))
-    return shares.select("ok", "ln", F.round(D.class_entropy(_c("shares")), 6).alias("entropy"), "shares")
+    shares = D.with_shares(D.with_distances(rows, moments, "X", "x").select("ok", "ln", "x"), "x", "X", "shares", "e")
+    return shares.select("ok", "ln", F.round("e", 6).alias("entropy"), "shares")
 
 
 @query("gate_filter", f"SELECT ok, ln, t IS NULL OR coalesce(rh < 0.5, true) OR coalesce(kdp < 0.05, true) OR coalesce(refl < 5 OR refl > 45, true) AS excluded FROM {T.MOMENTS}")

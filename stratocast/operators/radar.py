@@ -7,8 +7,10 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from stratocast.operators.fields import components
 
@@ -111,6 +113,47 @@ def class_entropy(shares: Column) -> Column:
     return F.aggregate(shares, F.lit(0.0), lambda a, s: a + part(s))
 
 
+def with_distances(table: DataFrame, moments: dict[str, Column], band: str, name: str) -> DataFrame:
+    """The table with class_distances as a column. Each moment is scaled once for a row, in a step before the distances.
+
+    As one expression the scaling stands in it 45 times, in a method too large to be compiled.
+    """
+    scaled = {f"{name}_{v}": centred_column(moments[v], v) for v in VARIABLES}
+    weights = {f"{name}_{v}_w": F.when(F.col(f"{name}_{v}").isNull(), F.lit(0.0)).otherwise(F.lit(w)) for v, w in zip(VARIABLES, WEIGHTS, strict=True)}
+    there = {f"{name}_{v}": F.coalesce(f"{name}_{v}", F.lit(0.0)) for v in VARIABLES}
+    steps = table.withColumns(scaled | {f"{name}_there": moments["Zh"].isNotNull()}).withColumns(weights | there)
+    distances = {}
+    for i, centre in enumerate(centred_centroids(band)):
+        total = F.lit(0.0)
+        for v, c in zip(VARIABLES, centre, strict=True):
+            away = F.lit(c) - F.col(f"{name}_{v}")
+            total = total + away * away * F.col(f"{name}_{v}_w")
+        distances[f"{name}_{i}"] = F.sqrt(total)
+    every = F.array(*distances)
+    return steps.withColumns(distances).withColumn(name, F.when(F.col(f"{name}_there"), every)).drop(*scaled, *weights, *distances, f"{name}_there")
+
+
+def with_shares(table: DataFrame, distances: str, band: str, name: str, entropy: str) -> DataFrame:
+    """The table with class_shares of a column of distances and their class_entropy, each class's share reckoned once for a row."""
+    rates, schema = np.array(decay(band)), StructType([*table.schema.fields, StructField(name, ArrayType(DoubleType())), StructField(entropy, DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(distances)
+            there = x.is_valid().to_numpy(zero_copy_only=False)
+            d = x.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(CLASSES))
+            raw = np.exp(-rates[np.where(np.isnan(d), np.inf, d).argmin(axis=1)][:, None] * d)
+            shares = 100 * raw / sum(raw.T)[:, None]
+            parts = np.where(shares > 0, -(shares / 100) * np.log(np.where(shares > 0, shares, 1.0) / 100) / math.log(len(CLASSES)), 0.0)
+            every = np.zeros(len(there))
+            every[there] = sum(parts.T)
+            offsets = np.concatenate([[0], np.cumsum(there * len(CLASSES))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(shares.ravel()), mask=pa.array(~there))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(every, mask=~there)], names=schema.names)
+
+    return table.mapInArrow(run, schema)
+
+
 def below(value: Column, limit: float, inclusive: bool = False, missing: bool = True) -> Column:
     """Gates under a limit; a missing value counts as `missing`. The other predicates follow the same rule."""
     return F.coalesce(value <= limit if inclusive else value < limit, F.lit(missing))

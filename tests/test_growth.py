@@ -1,12 +1,13 @@
 """Operators on crowded and tied tables: what their plans may hold, and the rows they must give."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from stratocast import catalog, catalog_cleaning  # noqa: F401  the second registers its queries in the first
+from stratocast import catalog, catalog_analysis, catalog_cleaning  # noqa: F401  the others register their queries in the first
 from stratocast.functions import cleaning
 from stratocast.operators import neighbours as N
-from stratocast.operators import relational, selection
+from stratocast.operators import radar, relational, selection
 
 
 def plan(df) -> str:
@@ -68,3 +69,15 @@ def test_lists_are_cut_without_an_array_of_all(spark):
     assert got == {(k, c): want[k][4 * c : 4 * c + 4] for k in (0, 1) for c in (0, 1)}
     assert "posexplode" not in plan(catalog.QUERIES["chunked_lists"](spark, "/root/testdata/sf0.001"))
     assert spark.range(1).select(cleaning.chunked(F.sequence(F.lit(1), F.lit(5)), 2).alias("x")).first().x == [["1", "2"], ["3", "4"], ["5"]]
+
+
+def test_hydrometeors_by_steps_equal_their_columns(spark):
+    rows = [(1, 30.0, 1.0, 0.1, 0.98, 500.0), (2, None, 1.0, 0.1, 0.98, 500.0), (3, 70.0, None, -3.0, 1.5, None), (4, -20.0, 9.0, None, None, -2000.0)]
+    table = spark.createDataFrame(rows, f"id int, {', '.join(f'{v} double' for v in radar.VARIABLES)}")
+    moments = {v: F.col(v) for v in radar.VARIABLES}
+    for band in "X":
+        x = radar.class_distances(moments, band)
+        want = table.select("id", x.alias("x"), radar.class_shares(x, band).alias("s"), radar.class_entropy(radar.class_shares(x, band)).alias("e")).orderBy("id").collect()
+        got = radar.with_shares(radar.with_distances(table, moments, band, "x"), "x", band, "s", "e").orderBy("id").collect()
+        for a, b in zip(got, want, strict=True):
+            assert (a.x, a.s, a.e) == ((None, None, None) if b.x is None else (pytest.approx(b.x), pytest.approx(b.s), pytest.approx(b.e)))
