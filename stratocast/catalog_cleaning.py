@@ -545,7 +545,7 @@ def wide_box_mean(spark, d):
 
 @query("wide_circle_mean", f"SELECT g.iy, g.ix, round(avg(n.v), 4) AS mean FROM {T.WIDE} g JOIN (SELECT a.iy + dy AS iy, a.ix + dx AS ix, a.v FROM {T.WIDE} a, (VALUES {', '.join(f'({y}, {x})' for y, x, _ in N.kernel(3, False))}) o(dy, dx)) n USING (iy, ix) GROUP BY 1, 2")
 def wide_circle_mean(spark, d):
-    return _r(N.circle_mean(T.wide(spark, d), [], 3, "v"), "mean", keep=("iy", "ix"))
+    return _r(N.circle_mean(T.wide(spark, d).select("iy", "ix", "v"), [], 3, "v"), "mean", keep=("iy", "ix"))
 
 
 @query("wide_dilated", f"SELECT g.iy, g.ix, coalesce(bool_or(n.v > 48), false) AS dilated FROM {T.WIDE} g JOIN {_near(1)} n USING (iy, ix) GROUP BY 1, 2")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from stratocast.session import stored
@@ -21,34 +24,36 @@ def kernel(radius: int, weighted: bool) -> list[tuple[int, int, float]]:
 
 
 def circle_mean(grid: DataFrame, keys: list[str], radius: int, value: str, weighted: bool = False) -> DataFrame:
-    """Mean (weighted or not) over the cells of a circle that exist and are not null, as a sum of row windows.
+    """Mean (weighted or not) over the cells of a circle that exist and are not null; a row for each cell.
 
-    Each row of the circle is one range window along x and one lag by rows: cells are not sent once for each neighbour.
-    Weights fall with the square of the distance, so a weighted row sum follows from sums of v, x v and x x v.
+    Cells are dealt to square tiles, those near an edge also to the tiles beyond it; a tile's sums are array operations.
     """
-    r2 = float(radius * radius)
-    across = lambda dy: int((radius * radius - dy * dy) ** 0.5 + 1e-9)
-    v = F.col(value).cast("double")
-    there = v.isNotNull().cast("double")
-    moments = [F.coalesce(v, F.lit(0.0)), there]
-    names, columns = [], []
-    for dy in range(-radius, radius + 1):
-        w = Window.partitionBy(*keys, "iy").orderBy("ix").rangeBetween(-across(dy), across(dy))
-        for i, m in enumerate(moments):
-            if weighted:
-                s0, s1, s2 = (F.sum(m * f).over(w) for f in (F.lit(1.0), F.col("ix"), F.col("ix") * F.col("ix")))
-                x = F.col("ix")
-                total = ((r2 - dy * dy) * s0 - (s2 - 2 * x * s1 + x * x * s0)) / r2
-            else:
-                total = F.sum(m).over(w)
-            names.append(f"m{i}_{dy + radius}")
-            columns.append(total.alias(names[-1]))
-    rows = grid.select(*keys, "iy", "ix", value, *columns)
-    # a cell takes the row sum of dy from the cell dy rows away; absent rows are met by an equi-join on keys that moved
-    parts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.col(f"m0_{dy + radius}").alias("s"), F.col(f"m1_{dy + radius}").alias("n")) for dy in range(-radius, radius + 1)])
-    moved = rows.select(*keys, "iy", "ix", F.inline(parts)).select(*keys, (F.col("iy") - F.col("dy")).alias("iy"), "ix", "s", "n")
-    sums = moved.groupBy(*keys, "iy", "ix").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    return grid.join(sums, [*keys, "iy", "ix"]).withColumn("mean", F.when(F.col("n") > 1e-9, F.col("s") / F.col("n"))).drop("s", "n")
+    side, offsets = max(128, 8 * radius), kernel(radius, weighted)
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / side), F.floor((F.col(c) + radius) / side)))
+    dealt = grid.dropna(subset=keys).withColumn("tile_y", tiles("iy")).withColumn("tile_x", tiles("ix"))
+    schema = StructType([*grid.schema.fields, StructField("mean", DoubleType())])
+
+    def run(key, cells):
+        ty, tx = key[-2].as_py(), key[-1].as_py()
+        y, x = (cells[c].to_numpy().astype(np.int64) - t * side + radius for c, t in (("iy", ty), ("ix", tx)))
+        there = cells[value].is_valid().to_numpy()
+        v = cells[value].cast(pa.float64()).to_numpy()
+        wide = side + 2 * radius
+        place = (y * wide + x)[there]
+        sums, counts = (np.bincount(place, w, wide * wide).reshape(wide, wide) for w in (v[there], np.ones(len(place))))
+        s, n = np.zeros((side, side)), np.zeros((side, side))
+        for dy, dx, w in offsets:
+            here = np.s_[radius + dy : radius + dy + side, radius + dx : radius + dx + side]
+            s += w * sums[here]
+            n += w * counts[here]
+        own = (y >= radius) & (y < radius + side) & (x >= radius) & (x < radius + side)
+        at = (y[own] - radius, x[own] - radius)
+        some = n[at] > 1e-9
+        mean = pa.array(s[at] / np.where(some, n[at], 1.0), mask=~some)
+        return cells.select(grid_columns).filter(pa.array(own)).append_column("mean", mean)
+
+    grid_columns = grid.columns
+    return dealt.groupBy(*keys, "tile_y", "tile_x").applyInArrow(run, schema)
 
 
 def masked_mean(grid: DataFrame, mask: DataFrame, keys: list[str], radius: int, value: str, remask: bool = True) -> DataFrame:

@@ -81,3 +81,15 @@ def test_hydrometeors_by_steps_equal_their_columns(spark):
         got = radar.with_shares(radar.with_distances(table, moments, band, "x"), "x", band, "s", "e").orderBy("id").collect()
         for a, b in zip(got, want, strict=True):
             assert (a.x, a.s, a.e) == ((None, None, None) if b.x is None else (pytest.approx(b.x), pytest.approx(b.s), pytest.approx(b.e)))
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_circles_across_tiles_send_cells_once(spark, weighted):
+    values = {(y, x): float((y * 7 + x * 3) % 11) for y in range(-4, 5) for x in range(122, 136) if (y + x) % 5}
+    grid = spark.createDataFrame([(y, x, v) for (y, x), v in values.items()], "iy int, ix int, v double")
+    out = N.circle_mean(grid, [], 3, "v", weighted)
+    got = {(r.iy, r.ix): r["mean"] for r in out.collect()}
+    for y, x in values:
+        near = [(w, values[y + a, x + b]) for a, b, w in N.kernel(3, weighted) if (y + a, x + b) in values]
+        assert got[y, x] == pytest.approx(sum(w * v for w, v in near) / sum(w for w, _ in near))
+    assert len(got) == len(values) and "Join" not in plan(out)
